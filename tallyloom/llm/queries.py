@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import html_text, mixing, quality_rules, simhash, token_counts
+from tallyloom.llm import decontaminate, html_text, mixing, quality_rules, simhash, token_counts
 from tallyloom.llm._shared import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.transform("leaks", lambda x: x["item"])
+    return found.select("doc_id", F.size("leaks").alias("n_items"), items.alias("item_ids"), F.array_max(F.transform("leaks", lambda x: x["coverage"])).alias("coverage"), (F.size("leaks") > 0).alias("contaminated"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
