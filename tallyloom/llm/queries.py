@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_text, mixing, quality_rules, simhash, token_counts
+from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, quality_rules, simhash, token_counts
 from tallyloom.llm._shared import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.with_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.size("lines.removed").cast("long")
+    return found.select("doc_id", "lines.n_lines", n.alias("n_removed"), "lines.n_near", F.sha2(F.coalesce("lines.text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.transform("leaks", lambda x: x["item"])
