@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, quality_rules, simhash, token_counts
+from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts
 from tallyloom.llm._shared import table
 
 
@@ -53,5 +53,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("position", "doc_id")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
