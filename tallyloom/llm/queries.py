@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, quality_rules, simhash, suffix_dedup, token_counts
+from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, ppm, quality_rules, simhash, suffix_dedup, token_counts
 from tallyloom.llm._shared import table
 
 
@@ -23,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("leaks").alias("n_items"), items.alias("item_ids"), F.array_max(F.transform("leaks", lambda x: x["coverage"])).alias("coverage"), (F.size("leaks") > 0).alias("contaminated"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
