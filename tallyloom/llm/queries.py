@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, ppm, quality_rules, simhash, suffix_dedup, token_counts
+from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, passages, ppm, quality_rules, simhash, suffix_dedup, token_counts
 from tallyloom.llm._shared import table
 
 
@@ -31,6 +31,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers

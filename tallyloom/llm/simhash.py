@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm import components
@@ -171,8 +172,12 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """Documents without those that are near-duplicates of a smaller id.
 
-    Rows without an id, and rows that share the kept id, all stay.
+    Of rows that repeat an id and its text one stays. Rows without an id are
+    kept as they are. Columns as given.
     """
-    found = near_components(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, radius)
+    named = docs.filter(F.col(doc_id).isNotNull())
+    found = near_components(named, doc_id, text, radius)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    same = W.partitionBy(doc_id, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).orderBy(doc_id)
+    left = named.join(gone, doc_id, "left_anti").withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").drop("__nth")
+    return left.select(docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
