@@ -201,14 +201,7 @@ def leaks(
     parts = []
     for items in benchmark_blocks(benchmark, item_id, item_text, block_tokens):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        key = uuid.uuid4().hex
-
-        @F.pandas_udf(f"array<struct<item:{kind},coverage:double>>")
-        def found(batch: pd.Series, shared=shared, key=key) -> pd.Series:
-            block = _block(key, shared, least, coverage)
-            return batch.map(lambda t: [{"item": k, "coverage": c} for k, c in block.leaked(t)])
-
-        parts.append(found(F.col(text)))
+        parts.append(_finder(uuid.uuid4().hex, shared, least, coverage, kind)(F.col(text)))
     empty = F.array().cast(f"array<struct<item:{kind},coverage:double>>")
     return docs.withColumn(name, F.array_sort(F.concat(*parts)) if parts else empty)
 
@@ -224,6 +217,15 @@ def _block(key: str, shared, least: int, coverage: float) -> Block:
     return _blocks[key]
 
 
+def _finder(key: str, shared, least: int, coverage: float, kind: str):
+    @F.pandas_udf(f"array<struct<item:{kind},coverage:double>>")
+    def found(batch: pd.Series) -> pd.Series:
+        block = _block(key, shared, least, coverage)
+        return batch.map(lambda t: [{"item": k, "coverage": c} for k, c in block.leaked(t)])
+
+    return found
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """Documents that leak no benchmark item; columns as given."""
     name = "__leaks"

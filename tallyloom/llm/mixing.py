@@ -113,7 +113,7 @@ def position(consumed, target, slope):
     """The t in [0, 1] at which the cumulative demand of a source is ``consumed``."""
     share = F.when(target > 0, F.least(consumed / target, F.lit(1.0))).otherwise(F.lit(0.0))
     b = 1 - slope
-    return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope))
+    return F.when(slope == 0, share).otherwise(F.abs((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope)))
 
 
 def curriculum(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:

@@ -85,7 +85,7 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, size, source_size, target,
        CAST(passes * size + least(greatest(whole - passes * source_size - start, 0), size) AS BIGINT) AS taken,
-       round(CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END, 9) AS position
+       round(CASE WHEN slope = 0 THEN share ELSE abs((sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope)) END, 9) AS position
 FROM y
 """
 
