@@ -7,6 +7,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = (1 << 64) - 1
 
@@ -103,17 +104,17 @@ def utf16_slice(text: str, start: int, stop: int) -> str:
     return raw[2 * start : 2 * stop].decode("utf-16-le", "replace")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def dice_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else dice(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lis_share_udf(a: pd.Series) -> pd.Series:
     return a.map(lambda v: 1.0 if v is None or len(v) == 0 else lis_length(list(v)) / len(v))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcp_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Common prefix in UTF-8 bytes."""
 
@@ -125,6 +126,6 @@ def lcp_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcp(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def utf16_slice_udf(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else utf16_slice(x, int(i), int(j)) for x, i, j in zip(t, a, b)])

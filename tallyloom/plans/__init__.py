@@ -1,6 +1,6 @@
 """The queries of the assessment and document engine, by name."""
 
-from tallyloom.plans import assessment
+from tallyloom.plans import assessment, library
 from tallyloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "assessment"]
+__all__ = ["QUERIES", "SQL", "assessment", "library"]
