@@ -25,12 +25,18 @@ BEACON = "attemptId string, terminalId string, batchId string, paperId string, c
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(ready, not ready) files below ``root``/terminal: a snapshot is ready
     once its marker stands beside it. Dot files don't count."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{sqlite,ready}").load(root)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    rows = []
+    while found.hasNext():  # markers are empty files, which a scan skips
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getLen()))
+    files = spark.createDataFrame(rows, "path string, length long").filter(F.col("path").rlike(r"\.(sqlite|ready)$"))
     name = F.element_at(F.split("path", "/"), -1)
     named = files.select("path", F.element_at(F.split("path", "/"), -2).alias("terminal"), F.regexp_replace(name, r"\.(sqlite|ready)$", "").alias("stem"), F.regexp_extract(name, r"\.(\w+)$", 1).alias("kind"), "length").filter(~name.startswith("."))
     marks = named.filter("kind = 'ready'").select("terminal", "stem")
-    found = named.filter("kind = 'sqlite'").drop("kind")
-    return found.join(marks, ["terminal", "stem"], "left_semi"), found.join(marks, ["terminal", "stem"], "left_anti")
+    databases = named.filter("kind = 'sqlite'").drop("kind")
+    return databases.join(marks, ["terminal", "stem"], "left_semi"), databases.join(marks, ["terminal", "stem"], "left_anti")
 
 
 def metadata(spark: SparkSession, root: str, versions: tuple[tuple[int, int], ...] = ((1, 1), (2, 2))) -> DataFrame:
@@ -98,4 +104,4 @@ def paper_ids(rows: DataFrame, column: str) -> DataFrame:
     own = F.get_json_object(doc, "$.paperId")
     locked = F.from_json(F.coalesce(F.get_json_object(doc, "$.lockedSequence"), F.when(doc.rlike(r"^\s*\["), doc)), "array<struct<paperId:string>>")
     many = F.array_distinct(F.array_compact(F.transform(locked, lambda x: x["paperId"])))
-    return rows.withColumn("paper_id", F.coalesce(own, F.when(F.size(many) == 1, many[0]))).withColumn("paper_conflict", own.isNull() & (F.size(many) > 1))
+    return rows.withColumn("paper_id", F.coalesce(own, F.when(F.size(many) == 1, many[0]))).withColumn("paper_conflict", F.coalesce(own.isNull() & (F.size(many) > 1), F.lit(False)))
