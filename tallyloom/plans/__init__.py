@@ -1,6 +1,6 @@
 """The queries of the assessment and document engine, by name."""
 
-from tallyloom.plans import assessment, documents, library
+from tallyloom.plans import assessment, documents, library, more
 from tallyloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "assessment", "documents", "library"]
+__all__ = ["QUERIES", "SQL", "assessment", "documents", "library", "more"]
