@@ -172,3 +172,19 @@ def token_estimate(c: Column, images: Column | int = 0) -> Column:
     ascii_ = F.length(c) - other
     images = F.lit(images) if isinstance(images, int) else images
     return F.ceil((ascii_ * 3 + other * 6) / 10) + images * 1024
+
+
+#: Cues of block roles, first match first (fixed values).
+ROLES = (
+    ("instruction", r"(?i)\b(choose|complete|write|answer) (the|no more|one|your)\b"),
+    ("question", r"^\s*\d{1,2}[.)]\s"),
+    ("option", r"^\s*[A-H][.)]\s"),
+    ("heading", r"^[^a-z.!?]{3,60}$"),
+)
+
+
+def block_role(c: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for role, pattern in ROLES:
+        out = out.when(c.rlike(pattern), role)
+    return out.otherwise("text")

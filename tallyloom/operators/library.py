@@ -188,3 +188,11 @@ def range_assign(numbers: DataFrame, segments: DataFrame, key: str) -> DataFrame
 def set_coverage(declared: Column, actual: Column) -> Column:
     missing, extra = F.array_except(declared, actual), F.array_except(actual, declared)
     return F.when((F.size(declared) == 0) | declared.isNull(), "undetermined").when((F.size(missing) == 0) & (F.size(extra) == 0), "complete").otherwise("missing")
+
+
+def assign_answers(numbers: DataFrame, segments: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+    """Numbers with their segment; a document of which under ``least`` of the
+    numbers find one falls back to whole pages: no segment at all."""
+    placed = range_assign(numbers, segments, key)
+    share = placed.groupBy(key).agg((F.count("segment") / F.count("*")).alias("_s"))
+    return placed.join(share, key).select(key, "number", F.when(F.col("_s") >= least, F.col("segment")).alias("segment"))

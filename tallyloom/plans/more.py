@@ -308,3 +308,21 @@ def stm_late(spark: S, d: str) -> DataFrame:
 def agg_usage_by_command(spark: S, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     return c.groupBy("role").agg(F.count("*").alias("calls"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("seg_answer_assign", """
+WITH s AS (SELECT s_nationkey AS k, s_suppkey AS segment, s_suppkey AS low, s_suppkey * 12 AS high FROM supplier), n AS (SELECT DISTINCT c_nationkey AS k, c_custkey AS number FROM customer)
+, p AS (SELECT n.k, n.number, min(segment) AS segment FROM n LEFT JOIN s ON s.k = n.k AND n.number BETWEEN low AND high GROUP BY 1, 2)
+SELECT k AS key, number, CASE WHEN count(segment) OVER (PARTITION BY k) >= 0.8 * count(*) OVER (PARTITION BY k) THEN segment END AS segment FROM p""")
+def seg_answer_assign(spark: S, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), k.alias("segment"), k.alias("low"), (k * 12).alias("high"))
+    n = read(spark, d, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("number")).distinct()
+    return library.assign_answers(n, s, "key")
+
+
+@query("str_role", """
+SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b(choose|complete|write|answer) (the|no more|one|your)\\b') THEN 'instruction' WHEN regexp_matches(text, '^\\s*\\d{1,2}[.)]\\s') THEN 'question'
+  WHEN regexp_matches(text, '^\\s*[A-H][.)]\\s') THEN 'option' WHEN regexp_matches(text, '^[^a-z.!?]{3,60}$') THEN 'heading' ELSE 'text' END AS role FROM conversations""")
+def str_role(spark: S, d: str) -> DataFrame:
+    return read(spark, d, "conversations").select("conv_id", "turn", text.block_role(F.col("text")).alias("role"))
