@@ -32,7 +32,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import SPACE, let, materialise
+from tallyloom.llm._shared import let, materialise
 
 
 def shapes(edits: int, pieces: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
@@ -176,40 +176,40 @@ def finer_keys(line: Column, length: Column, edits: int, pieces: int, probe: boo
 def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
     """(doc, no, line, h1, h2) of the lines that are compared."""
     lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "raw"))
-    lines = lines.select("doc", "no", F.lower(F.regexp_replace("raw", f"^{SPACE}+|{SPACE}+$", "")).alias("line"))
+    lines = lines.select("doc", "no", F.lower(F.trim("raw", F.lit(" \t\n\x0b\f\r"))).alias("line"))
     lines = lines.filter(F.length("line") >= least_chars)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
-def _pairs(lines: DataFrame, edits: int, pieces: int, most: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (id of the longer, id of the shorter) and, with
-    ``most``, the ids of the lines that meet in larger groups."""
+def _pairs(lines: DataFrame, edits: int, pieces: int, most: int | None) -> DataFrame:
+    """Candidate pairs (a, b) of ids, b < a. With ``most``, keys with more
+    index lines give b = -1 instead: each line of such a group probes the key
+    too, as a line's own keys are among its probes."""
     length = F.col("n")
     line, few = F.col("line"), pieces <= edits + 2
     keys = (index_keys(line, length, edits, pieces), probe_keys(line, length, edits, pieces)) if few else [finer_keys(line, length, edits, pieces, x) for x in (False, True)]
     index, probe = (lines.select("id", F.explode(k).alias("k")).filter(F.col("k").isNotNull()) for k in keys)
-    crowded = None
+    probe = probe.alias("p")
     if most is not None:
+        # A crowded key stays as one row with the id -1: who meets it is crowded.
         hot = materialise(index.groupBy("k").count().filter(F.col("count") > most).select("k"), "line-hot")
-        if not hot.isEmpty():
-            index_hot = index.join(hot, "k", "left_semi").select("id")
-            crowded = index_hot.union(probe.join(hot, "k", "left_semi").select("id")).distinct()
-            index = index.join(hot, "k", "left_anti")
-    met = probe.alias("p").join(index.alias("i"), (F.col("p.k") == F.col("i.k")) & (F.col("p.id") != F.col("i.id")))
-    return met.select(F.greatest("p.id", "i.id").alias("a"), F.least("p.id", "i.id").alias("b")), crowded
+        index = index.join(hot, "k", "left_anti").unionByName(hot.withColumn("id", F.lit(-1).cast("long")))
+    met = probe.join(index.alias("i"), (F.col("p.k") == F.col("i.k")) & (F.col("p.id") != F.col("i.id")))
+    return met.select(F.greatest("p.id", "i.id").alias("a"), F.least("p.id", "i.id").alias("b"))
 
 
-def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 20, most: int = 16, finer: int = 8) -> DataFrame:
+def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 20, most: int = 16, finer: int = 5) -> DataFrame:
     """(h1, h2, doc, no, near): the first place of every distinct line, and
     whether it is within ``edits`` of a line that first occurs before it."""
     found = _lines(docs, doc_id, text, least_chars)
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("at"), F.first("line").alias("line"))
     first = materialise(first.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at.doc", "at.no", "line", F.length("line").alias("n")), "lines")
-    pairs, crowded = _pairs(first.select("id", "line", "n"), edits, edits + 1, most)
-    if crowded is not None:
-        again = materialise(first.select("id", "line", "n").join(crowded, "id", "left_semi"), "lines-crowded")
-        pairs = pairs.union(_pairs(again, edits, finer, None)[0])
-    pairs = materialise(pairs.distinct(), "line-pairs")
+    lines = first.select("id", "line", "n")
+    pairs = materialise(_pairs(lines, edits, edits + 1, most).distinct(), "line-pairs")
+    crowded = pairs.filter("b = -1").select(F.col("a").alias("id"))
+    if not crowded.isEmpty():
+        again = materialise(lines.join(crowded, "id", "left_semi"), "lines-crowded")
+        pairs = pairs.filter("b >= 0").union(materialise(_pairs(again, edits, finer, None).distinct(), "line-pairs")).distinct()
     side = lambda x: first.select(F.col("id").alias(x), F.struct("doc", "no").alias(f"at_{x}"), F.col("line").alias(f"line_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     linked = both.filter(within(F.col("line_a"), F.col("line_b"), edits))
