@@ -27,19 +27,24 @@ from tallyloom.llm._shared import _written, parts_for, shared_folder
 BLOCK = "batch int, bucket int, n int, data binary"
 
 
-def batch_table(docs: DataFrame, key: list[str], text: str = "text", each: int = 4_000_000) -> tuple[DataFrame, int]:
-    """``docs`` (no null texts) with an int ``batch``, bucketed by it."""
+def batch_table(docs: DataFrame, key: list[str], text: str = "text", each: int = 4_000_000, only: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``docs`` (no null texts) with an int ``batch``, bucketed by it.
+
+    ``only`` keeps the rows whose ``key`` it holds. The texts move once: the
+    batch is the partition in which they meet it.
+    """
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = parts_for(n_bytes, each, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"tallyloom_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    dealt = docs.withColumn("batch", F.pmod(F.hash(*key), F.lit(n))).repartition(n, "batch")
+    dealt = docs.repartition(n, *key)
+    if only is not None:
+        dealt = dealt.join(only.repartition(n, *key), key, "left_semi")
+    dealt = dealt.withColumn("batch", F.pmod(F.hash(*key), F.lit(n)))
     dealt.write.bucketBy(n, "batch").sortBy("batch").option("path", path).option("compression", "zstd").saveAsTable(name)
     _written.append((spark, path))
-    out = spark.table(name)
-    spark.catalog.refreshTable(name)
-    return out, n
+    return spark.table(name), n
 
 
 def pack(values: np.ndarray) -> bytes:

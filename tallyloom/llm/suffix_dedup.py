@@ -349,7 +349,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     facts = named.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
     classes = materialise(facts.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "suffix-classes")
     single = classes.filter(F.col("n_bytes") >= length).select(F.col("rep").alias("doc_id"), "sha")
-    table, n = B.batch_table(named.join(single, ["doc_id", "sha"], "left_semi"), ["doc_id"])
+    table, n = B.batch_table(named, ["doc_id", "sha"], only=single)
     buckets = B.bucket_count(n)
     kind0 = materialise(B.answer(B.send(table, _anchor_blocks(length, gram, buckets)), _anchor_answers), "suffix-anchors")
     windows = B.apply(table, kind0, _window_blocks(length, gram, buckets), B.BLOCK)
