@@ -25,6 +25,9 @@ symbol costs log10(256) and the base is that of an empty table.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,28 +48,33 @@ def held_out(doc_id: object) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def coded(text: bytes) -> bytes:
-    return b"\xfe" * ORDER + b" ".join(text.lower().split()) + b"\xff"
+def coded(tokens: list[bytes]) -> bytes:
+    return b"\xfe" * ORDER + b" ".join(tokens) + b"\xff"
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (ORDER + 1)-byte strings that end at each coded symbol, and how
-    many of them each text has."""
+def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The (ORDER + 1)-byte strings that end at each coded symbol of texts
+    given as words, and how many of them each text has."""
     parts = [coded(t) for t in texts]
-    a = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    g = np.zeros(len(a), np.uint64)
-    for j in range(ORDER + 1):
-        g[ORDER:] = (g[ORDER:] << _U8) | a[j : len(a) - ORDER + j]
+    # Big-endian eight-byte words at every place, less the bytes before.
+    raw = b"".join([b"\0\0", *parts])
+    a = np.frombuffer(raw, np.uint8)
+    g = np.ndarray((len(a) - 7,), ">u8", buffer=raw, strides=(1,)).astype(np.uint64)
+    g &= np.uint64((1 << (8 * (ORDER + 1))) - 1)
     sizes = np.array([len(p) for p in parts], np.int64)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    real = np.arange(len(a)) - first >= ORDER
-    return g[real], sizes - ORDER
+    # The string that ends at place i of the texts is g[i - ORDER].
+    real = np.ones(len(a) - 2, bool)
+    starts = np.cumsum(sizes) - sizes
+    for j in range(ORDER):
+        real[starts + j] = False
+    return g[real[ORDER:]], sizes - ORDER
 
 
-def _pieces(texts: list[bytes], most: int = 1_000_000):
+def _pieces(texts: list[list[bytes]], most: int = 400_000):
+    """Ranges of texts with about ``most`` words."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        size += len(t) + ORDER + 1
+        size += len(t) + 1
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
@@ -74,11 +82,15 @@ def _pieces(texts: list[bytes], most: int = 1_000_000):
         yield start, len(texts)
 
 
-def _tally(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _words(t: pa.Table) -> list[list[bytes]]:
+    return [x.lower().split() for x in B.texts(t)]
+
+
+def _tally(arrays: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, sorted, and their counts."""
-    if not arrays:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     found = [pc.value_counts(pa.array(a)) for a in arrays]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     v = np.concatenate([f.field(0).to_numpy() for f in found])
     c = np.concatenate([f.field(1).to_numpy() for f in found])
     keys, at = np.unique(v, return_inverse=True)
@@ -102,31 +114,25 @@ def _place(keys: np.ndarray) -> np.ndarray:
     return B.mixed((keys >> _U8) & np.uint64(0xFFFF))
 
 
-def _train(texts: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _train(texts: list[list[bytes]], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of a batch with their training counts."""
-    train, other = [], []
-    for group, out in ((np.flatnonzero(learn), train), (np.flatnonzero(~learn), other)):
-        own = [texts[i] for i in group]
-        out += [grams(own[a:b])[0] for a, b in _pieces(own)]
-    keys, counts = _tally(train)
-    rest = np.setdiff1d(_tally(other)[0], keys, assume_unique=True)
+    own, others = ([texts[i] for i in np.flatnonzero(x)] for x in (learn, ~learn))
+    keys, counts = _tally(grams(own[a:b])[0] for a, b in _pieces(own))
+    rest = np.setdiff1d(_tally(grams(others[a:b])[0] for a, b in _pieces(others))[0], keys, assume_unique=True)
     every = np.concatenate([keys, rest])
     order = np.argsort(every)
     return every[order], np.concatenate([counts, np.zeros(len(rest), np.int64)])[order]
 
 
-def word_tally(texts: list[bytes], learn: np.ndarray) -> dict[bytes, int]:
-    """Training count of every distinct word of a batch, in order of first use."""
-    out: dict[bytes, int] = {}
-    get = out.get
-    for t, own in zip(texts, learn.tolist()):
-        if own:
-            for w in t.lower().split():
-                out[w] = get(w, 0) + 1
-        else:
-            for w in t.lower().split():
-                if w not in out:
-                    out[w] = 0
+def word_tally(tokens: list[list[bytes]], learn: np.ndarray) -> dict[bytes, int]:
+    """Training count of every distinct word of a batch."""
+    out: Counter[bytes] = Counter()
+    for own, learned in zip(tokens, learn.tolist()):
+        if learned:
+            out.update(own)
+    for own, learned in zip(tokens, learn.tolist()):
+        if not learned:
+            out.update(dict.fromkeys(set(own).difference(out), 0))
     return out
 
 
@@ -138,7 +144,7 @@ def _word_keys(words) -> tuple[np.ndarray, np.ndarray]:
 
 def _send(buckets: int):
     def work(batch: int, t: pa.Table):
-        texts = list(B.texts(t))
+        texts = _words(t)
         learn = np.array([not held_out(x) for x in t.column("doc_id").to_pylist()], bool)
         keys, counts = _train(texts, learn)
         place = _place(keys)
@@ -277,11 +283,12 @@ def _answer(buckets: int, pairs):
 
 def _score(buckets: int, end_count: int, n_train: int, n_distinct: int, kind: pa.DataType):
     def work(batch: int, left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = list(B.texts(left))
+        texts = _words(left)
         ids = left.column("doc_id").to_pylist()
         learn = np.array([not held_out(x) for x in ids], bool)
         number, codes, data = right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("data").to_pylist()
-        keys, _ = _train(texts, learn)
+        parts = [(a, b, *grams(texts[a:b])) for a, b in _pieces(texts)]
+        keys, _ = _tally(g for _, _, g, _ in parts)
         shift = np.uint64(64 - (buckets.bit_length() - 1))
         order = np.argsort((_place(keys) >> shift).astype(np.int64), kind="stable")
         logs = np.empty(len(keys), np.float32)
@@ -289,11 +296,10 @@ def _score(buckets: int, end_count: int, n_train: int, n_distinct: int, kind: pa
         logs[order] = np.concatenate(got) if got else np.zeros(0, np.float32)
         value_set = pa.array(keys)
         score = np.zeros(len(texts))
-        for a, b in _pieces(texts):
-            g, sizes = grams(texts[a:b])
+        for a, b, g, sizes in parts:
             each = logs[pc.index_in(pa.array(g), value_set=value_set).to_numpy()].astype(np.float64)
             score[a:b] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-        words = word_tally(texts, learn)
+        words = dict.fromkeys(chain.from_iterable(texts))
         k, c = _word_keys(words)
         order = np.lexsort((c, k))
         got_n = [_widen(d, code) for b, code, d in zip(number, codes, data) if b >= buckets]
@@ -305,7 +311,7 @@ def _score(buckets: int, end_count: int, n_train: int, n_distinct: int, kind: pa
         at = index.__getitem__
         n_tokens, n_known, base = [], [], []
         for t in texts:
-            own = np.fromiter(map(at, t.lower().split()), np.int64)
+            own = np.fromiter(map(at, t), np.int64, len(t))
             own = np.append(own, len(words))
             n_tokens.append(len(own))
             n_known.append(int((counts[own] > 0).sum()))
