@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
+from tallyloom.llm import decontaminate, line_dedup, mixing, near_copies, quality_rules
 from tallyloom.llm._shared import materialise, table
 
-#: No SQL text: edit distance joins, tiling and fingerprints are beyond it.
+#: No SQL text: edit distance joins, tiling and shingle similarity are beyond it.
 ORACLE_SQL: str | None = None
 
 
@@ -35,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return near_copies.first_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
+    ("near-dedup", near_duplicate_stage),
     ("benchmark decontamination", benchmark_stage),
     ("mixing to target weights", mixing_stage),
 ]

@@ -1,0 +1,223 @@
+"""Near copies by exact similarity of word shingles, found by prefix filtering.
+
+A text is the set of its ``width``-word shingles (64-bit hashes); two texts are
+near copies when intersection over union is at least ``similarity``. In one
+order of all shingles such a pair shares a shingle among the first
+n - ceil(similarity * n) + 1 of either text, so those prefixes are joined and
+nothing else need meet. The order puts shingles that are frequent in a sample
+last, which only saves rows: the theorem holds for any order.
+
+Neighbours in size under a shingle are compared first; their components leave
+to the second round only pairs of different components, all of which are
+compared that the bounds of size and place do not rule out. A group of near
+copies so costs its size, and components are those of all pairs.
+
+Defined cases: texts with the same words are one node, texts without a word
+too; a text under ``width`` words is one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tallyloom.llm import components
+from tallyloom.llm._shared import materialise, parts_for
+from tallyloom.llm.passages import Words, seeds
+
+_SLACK = 1e-9
+_PIECE = 1 << 22
+_SAMPLE, _OFTEN, _LISTED = 16, 8, 100_000
+
+
+def node(text: str | None) -> int:
+    """Signed hash of the words of a text; zero without words."""
+    tokens = text.encode().lower().split() if text else []
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(tokens))).view(np.int64)) if tokens else 0
+
+
+def shingles(known: Words, text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    words = known.of(text.encode()) if text else np.zeros(0, np.uint64)
+    return seeds(words, min(width, len(words)), 1)[0] if len(words) else np.zeros(0, np.uint64)
+
+
+def _each(width: int, work):
+    """``work`` (node, shingles) -> columns, for each text once in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = Words(), set()
+        for batch in batches:
+            for text in batch.column(0):
+                t = text.as_py()
+                n = node(t)
+                if n and n not in seen:
+                    seen.add(n)
+                    yield work(n, shingles(known, t, width))
+            if len(known.known) > 1_000_000:
+                known = Words()
+
+    return run
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([node(t.as_py()) for t in b.column(2)], pa.int64())], names=["doc_id", "sha", "node"])
+
+
+def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts repeats, sorted, and their counts."""
+    keys = lambda n, s: pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["key"])
+    part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE)) == 0)
+    got = part.mapInArrow(_each(width, keys), "key long").groupBy("key").count().filter(F.col("count") >= _OFTEN).orderBy(F.desc("count"), "key").limit(_LISTED).toArrow()
+    key = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], got.column("count").to_numpy()[order]
+
+
+def prefix(s: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of sorted ``s`` in the order (frequency, hash)."""
+    n = len(s)
+    size = n - int(np.ceil(similarity * n - _SLACK)) + 1
+    if not len(hot[0]):
+        return s[:size]
+    at = np.minimum(np.searchsorted(hot[0], s), len(hot[0]) - 1)
+    return s[np.argsort(np.where(hot[0][at] == s, hot[1][at], 0), kind="stable")[:size]]
+
+
+def _prefixes(similarity: float, hot: tuple[np.ndarray, np.ndarray]):
+    def work(n: int, s: np.ndarray) -> pa.RecordBatch:
+        p = prefix(s, similarity, hot)
+        whole = lambda v, kind: pa.array(np.full(len(p), v, kind))
+        return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), whole(len(s), np.int32), pa.array(np.arange(len(p), dtype=np.int32)), whole(n, np.int64)], names=["key", "n", "at", "node"])
+
+    return work
+
+
+def _columns(batches: Iterator[pa.RecordBatch], kind: list[str]) -> tuple[np.ndarray, ...] | None:
+    got = [b for b in batches if b.num_rows]
+    return tuple(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in kind) if got else None
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose shingle lies in the prefix of two texts, each once."""
+    c = _columns(batches, ["key", "n", "at", "node"])
+    if c is None:
+        return
+    order = np.lexsort((c[3], c[0]))
+    key, n, at, who = (x[order] for x in c)
+    new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])]
+    key, n, at, who = key[new], n[new], at[new], who[new]
+    same = key[1:] == key[:-1]
+    more = np.r_[False, same] | np.r_[same, False]
+    yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (key, n, at, who)], names=["key", "n", "at", "node"])
+
+
+def _pairs(similarity: float, near: bool):
+    """Distinct pairs under one shingle that may be near copies: neighbours in
+    size, or all of different classes."""
+
+    def fits(n, at, a, b):
+        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        most = np.minimum(n[a] - at[a], n[b] - at[b])
+        return (low >= similarity * high - _SLACK) & (most >= similarity / (1 + similarity) * (n[a] + n[b]) - _SLACK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = _columns(batches, ["key", "n", "at", "node", "class"])
+        if c is None:
+            return
+        order = np.lexsort((c[3], c[1], c[0]))
+        key, n, at, who, of = (x[order].astype(np.int64) for x in c)
+        if near:
+            a = np.arange(len(key) - 1)
+            last = a + 1
+        else:
+            # From each row to the last of its shingle that is not too long.
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            run_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+            wide = np.int64(1) << 33
+            last = np.searchsorted(run_of * wide + n, run_of * wide + np.floor(n / similarity + _SLACK).astype(np.int64), "right") - 1
+            a = np.arange(len(key))
+        many = last - a
+        ends = np.cumsum(many)
+        i = 0
+        while i < len(a):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PIECE, "right")))
+            x = np.repeat(a[i:j], many[i:j])
+            y = x + 1 + np.arange(len(x)) - np.repeat(ends[i:j] - many[i:j] - (ends[i - 1] if i else 0), many[i:j])
+            ok = (key[x] == key[y]) & (of[x] != of[y])
+            x, y = x[ok], y[ok]
+            ok = fits(n, at, x, y)
+            x, y = x[ok], y[ok]
+            if len(x):
+                both = np.unique(np.stack([np.minimum(who[x], who[y]), np.maximum(who[x], who[y])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            i = j
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            ok = []
+            for x, y in zip(t.column("x"), t.column("y")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= similarity * (len(x) + len(y) - common) - _SLACK)
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, sha, class_id): class_id is the smallest id reachable; ``sha``
+    is of the text as it stands, for ids that have several."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"), F.col(text).alias("text"))
+    facts = materialise(named.mapInArrow(_nodes, f"doc_id {kind}, sha string, node long"), "near-facts")
+    texts = named.select("text")
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts_for(n_bytes, 4_000_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = "key long, n int, at int, node long"
+    shared = texts.mapInArrow(_each(width, _prefixes(similarity, frequent(texts, width))), rows)
+    shared = materialise(shared.repartition(parts, "key").mapInArrow(_shared, rows), "near-shared")
+    sets = lambda n, s: pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["node", "set"])
+
+    def verified(classes: DataFrame, near: bool) -> DataFrame:
+        pairs = materialise(classes.repartition(parts, "key").mapInArrow(_pairs(similarity, near), "a long, b long").distinct(), "near-pairs")
+        # The sets of the texts in pairs only, each read from one document.
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        reps = facts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("sha", F.struct("doc_id", "sha")).alias("sha")).select("doc_id", "sha")
+        held = materialise(named.join(reps, ["doc_id", "sha"], "left_semi").select("text").mapInArrow(_each(width, sets), "node long, set binary"), "near-sets")
+        one, two = held.select(F.col("node").alias("a"), F.col("set").alias("x")), held.select(F.col("node").alias("b"), F.col("set").alias("y"))
+        return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "near-links")
+
+    links = verified(shared.withColumn("class", F.col("node")), True)
+    roots = components.connected(links)
+    known = shared.join(roots.toDF("node", "root"), "node", "left").select("key", "n", "at", "node", F.coalesce("root", "node").alias("class"))
+    roots = components.connected(links.union(verified(known, False))).toDF("node", "root")
+    full = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = full.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return full.join(least, "root").select("doc_id", "sha", "class_id")
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Documents without those that are near copies of a smaller id.
+
+    Of rows that repeat an id and its text one stays; other texts under the
+    id of a near copy stay. Rows without an id are kept as they are.
+    """
+    named = docs.filter(F.col(doc_id).isNotNull())
+    found = near_classes(named, doc_id, text, width, similarity)
+    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(doc_id), F.col("sha").alias("__sha")).distinct()
+    named = named.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    same = W.partitionBy(doc_id, "__sha").orderBy(doc_id)
+    left = named.join(gone, [doc_id, "__sha"], "left_anti").withColumn("__nth", F.row_number().over(same)).filter("__nth = 1")
+    return left.select(docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
