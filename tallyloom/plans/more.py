@@ -118,7 +118,7 @@ def srt_null_order(spark: S, d: str) -> DataFrame:
 
 @query("srt_locale")
 def srt_locale(spark: S, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", "p_name").orderBy(F.collate("p_name", "zh"), "p_partkey").limit(100)
+    return read(spark, d, "part").select("p_partkey", "p_name").orderBy(F.collate("p_name", "zh"), "p_partkey")
 
 
 @query("set_intersection", BASE + MERGE + "SELECT id FROM a INTERSECT SELECT id FROM b")
