@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,36 +37,67 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (local tests) a temporary folder takes its place.
+    Where it is unset a local session gets a temporary folder; a cluster,
+    whose machines don't share one, is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes in this block go when each has ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    The files outlive executors; they go when the application ends.
+    The files outlive executors; they go by ``forget`` or when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Remove the files behind a materialised frame that is no longer read."""
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        for entry in [w for w in _written if w[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
-            _remove(*entry)
-            _written.remove(entry)
+def forget(*frames: DataFrame) -> None:
+    """Remove the files behind materialised frames that nothing reads later."""
+    for df in frames:
+        for name in {p.rsplit("/", 2)[-2] for p in df.inputFiles()}:
+            for entry in [w for w in _written if w[1].rsplit("/", 1)[-1] == name]:
+                _remove(*entry)
+                _written.remove(entry)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -1,10 +1,10 @@
 """Near-duplicate lines by a segment-partition edit join, DataFrames only.
 
-Lines are compared trimmed and lower-cased, from ``least_chars`` characters
-on. Equal lines are collapsed first. A distinct line of length l is cut into
-``edits`` + 1 even segments; two lines within ``edits`` edits share a segment
-of the shorter one, at a place in the longer one that lies within as many
-positions as edits fit before and after it. Segments are the index, those
+Lines are compared trimmed and lower-cased. Equal lines of any length are
+collapsed first. A distinct line of ``least_chars`` characters or more is cut
+into ``edits`` + 1 even segments; two lines within ``edits`` edits share a
+segment of the shorter one, at a place in the longer one that lies within as
+many positions as edits fit before and after it. Segments are the index, those
 substrings the probes, and the hash of (length, segments kept, characters) the
 join key, so only lines of fitting lengths meet. Candidates are verified by a
 banded bit-parallel automaton: one bit for each diagonal of the band, one word
@@ -13,16 +13,23 @@ for each number of edits, one step for each character.
 An index key with more than ``most`` lines would pair its whole group. Those
 lines are cut again, into ``finer`` segments, and meet only where they agree
 on all but ``edits`` of them: the same theorem with longer keys, so no pair is
-lost and a group of copies that differ in many places isn't paired out.
+lost. Two things keep a group from being paired out there. A line only needs
+one earlier neighbour, so each is first compared with the line before it and
+the first line under each of its keys, and a line that is decided so asks no
+more. The others meet under a key only if the parities of their characters,
+64 bits, differ in at most 2 * ``edits`` places, which every edit changes by
+two at most: lines with other words in one place never become rows.
 
-A line goes if a line that first occurs earlier, by (document, line number),
-is within ``edits`` edits, or is the same line. Lines without a word and
-shorter lines stay.
+A line goes if a line that first occurs earlier, by (document id, hash of the
+row's text, line number), is within ``edits`` edits, or is the same line.
+Lines without a word stay.
 
 Defined cases: null and empty texts have no lines to remove and stay as they
-are; rows that share a document id count as one document and keep the same
+are; rows that share an id but not their text are documents of their own, and
+each loses its own lines; rows that repeat an id and its text keep the same
 lines; a null id sorts first; very long lines and documents are whole; an
-empty table gives an empty result; extra columns pass through.
+empty table gives an empty result; extra columns pass through, and a new
+column whose name is taken gets an underscore.
 """
 
 from __future__ import annotations
@@ -30,9 +37,10 @@ from __future__ import annotations
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import let, materialise
+from tallyloom.llm._shared import forget, free, let, materialise
 
 
 def shapes(edits: int, pieces: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
@@ -71,39 +79,6 @@ def kept_runs(kept: list[int]) -> list[tuple[int, int]]:
     return runs
 
 
-def _start(length: Column, i: int, pieces: int) -> Column:
-    """0-based start of piece i; the last pieces take the remainder."""
-    rest = pieces - length % pieces
-    return (F.floor(length / pieces) * i + F.greatest(F.lit(0), F.lit(i) - rest)).cast("int")
-
-
-def _key(line: Column, length: Column, bits: int, shifts: list[int], pieces: int) -> Column:
-    runs = kept_runs([p for p in range(pieces) if bits >> p & 1])
-    parts = []
-    for (a, b), shift in zip(runs, shifts):
-        s = _start(length, a, pieces)
-        parts.append(line.substr(s + (shift + 1), _start(length, b + 1, pieces) - s))
-    return F.xxhash64(F.lit(bits), length, *parts)
-
-
-def index_keys(line: Column, length: Column, edits: int, pieces: int) -> Column:
-    """The keys of a line as the shorter one."""
-    return F.array(*[_key(line, length, bits, [0] * len(kept_runs([p for p in range(pieces) if bits >> p & 1])), pieces) for bits, _ in shapes(edits, pieces)])
-
-
-def probe_keys(line: Column, length: Column, edits: int, pieces: int) -> Column:
-    """The keys of a line as the longer one (or of equal length)."""
-    keys = []
-    for bits, tries in shapes(edits, pieces):
-        for d, shifts in tries:
-            fits = F.lit(True)
-            for (a, _), shift in zip(kept_runs([p for p in range(pieces) if bits >> p & 1]), shifts):
-                if shift < 0:
-                    fits = fits & (_start(length - d, a, pieces) + shift >= 0)
-            keys.append(F.when(fits, _key(line, length - d, bits, shifts, pieces)))
-    return F.array(*keys)
-
-
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are within ``edits`` edits: banded, bit-parallel.
 
@@ -147,104 +122,159 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return let(F.split(a, ""), sized)
 
 
-def finer_keys(line: Column, length: Column, edits: int, pieces: int, probe: bool) -> Column:
-    """The same keys for many pieces: the choices are rows of one literal, as
-    an expression for each of them would be too long to compile."""
+def keyed(lines: DataFrame, edits: int, pieces: int, probe: bool) -> DataFrame:
+    """``lines`` (line, n and more) with one row for each join key ``k``: as
+    the shorter line, or with ``probe`` as the longer (or equally long) one.
+
+    The choices are rows of a literal, and the key one expression over them.
+    """
+    all_runs = [kept_runs([p for p in range(pieces) if bits >> p & 1]) for bits, _ in shapes(edits, pieces)]
+    width = max(map(len, all_runs))
     rows = []
-    for bits, tries in shapes(edits, pieces):
-        runs = kept_runs([p for p in range(pieces) if bits >> p & 1])
+    for (bits, tries), runs in zip(shapes(edits, pieces), all_runs):
         for d, shifts in tries if probe else [(0, [0] * len(runs))]:
             flat = [x for (a, b), shift in zip(runs, shifts) for x in (a, b + 1, shift)]
-            rows.append([bits, d, *flat, *[0] * (3 * (edits + 1) - len(flat))])
-
-    def key(r: Column) -> Column:
-        n = length - r[1]
+            rows.append([bits, d, *flat, *[0] * (3 * width - len(flat))])
+    c, n = F.col("c"), F.col("n") - F.col("c")[1]
+
+    def start(i: Column) -> Column:
+        """0-based start of piece i; the last pieces take the remainder."""
+        return (F.floor(n / pieces) * i + F.greatest(F.lit(0), i - (pieces - n % pieces))).cast("int")
+
+    parts, fits = [], F.lit(True)
+    for r in range(width):
+        a, b, shift = c[2 + 3 * r], c[3 + 3 * r], c[4 + 3 * r]
+        part = F.col("line").substr(start(a) + shift + 1, start(b) - start(a))
+        parts.append(part if width == 1 else F.when(b > a, part))
+        fits = fits & ((b == a) | (start(a) + shift >= 0))
+    rest = [x for x in lines.columns if x != "line"]
+    every = lines.select("*", F.explode(F.array(*[F.array(*map(F.lit, r)) for r in rows])).alias("c"))
+    return every.filter(fits).select(*rest, F.xxhash64(c[0], n, *parts).alias("k")).drop("n")
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, row, no, line, h1, h2) of the lines that hold a word."""
+    t = F.col(f"`{text}`")
+    lines = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(t).alias("row"), F.posexplode(F.split(t, "\n")).alias("no", "raw"))
+    lines = lines.select("doc", "row", "no", F.lower(F.trim("raw", F.lit(" \t\n\x0b\f\r"))).alias("line")).filter("line != ''")
+    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
-        def start(i: Column) -> Column:
-            return (F.floor(n / pieces) * i + F.greatest(F.lit(0), i - (pieces - n % pieces))).cast("int")
 
-        parts, fits = [], F.lit(True)
-        for k in range(edits + 1):
-            a, b, shift = r[2 + 3 * k], r[3 + 3 * k], r[4 + 3 * k]
-            parts.append(F.when(b > a, line.substr(start(a) + shift + 1, start(b) - start(a))))
-            fits = fits & ((b == a) | (start(a) + shift >= 0))
-        return F.when(fits, F.xxhash64(r[0], n, *parts))
+def _crowded_pairs(lines: DataFrame, edits: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), b < a, under keys of ``most`` lines at most, and
+    the ids of the lines that meet fuller keys."""
+    index = keyed(lines, edits, edits + 1, False)
+    hot = materialise(index.groupBy("k").count().filter(F.col("count") > most).select("k"), "line-hot")
+    # A crowded key stays as one row with the id -1: who meets it is crowded,
+    # as are its own lines, whose keys are among their probes.
+    index = index.join(hot, "k", "left_anti").unionByName(hot.withColumn("id", F.lit(-1).cast("long")))
+    met = keyed(lines, edits, edits + 1, True).alias("p").join(index.alias("i"), (F.col("p.k") == F.col("i.k")) & (F.col("p.id") != F.col("i.id")))
+    pairs = materialise(met.select(F.greatest("p.id", "i.id").alias("a"), F.least("p.id", "i.id").alias("b")).distinct(), "line-pairs")
+    forget(hot)
+    return pairs.filter("b >= 0"), pairs.filter("b < 0").select(F.col("a").alias("id"))
 
-    return F.transform(F.array(*[F.array(*map(F.lit, r)) for r in rows]), key)
 
+def _linked(pairs: DataFrame, lines: DataFrame, edits: int, few: int = 1 << 20) -> DataFrame:
+    """The ``pairs`` (a, b) of line ids that are within ``edits`` edits.
 
-def _lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
-    """(doc, no, line, h1, h2) of the lines that are compared."""
-    lines = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "raw"))
-    lines = lines.select("doc", "no", F.lower(F.trim("raw", F.lit(" \t\n\x0b\f\r"))).alias("line"))
-    lines = lines.filter(F.length("line") >= least_chars)
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
+    Only lines in pairs move; up to ``few`` ids are broadcast, more are joined.
+    """
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-asked")
+    few_ids = asked.count() <= few
+    held = materialise(lines.join(F.broadcast(asked) if few_ids else asked, "id", "left_semi").select("id", "line"), "line-held")
+    both = pairs.join(held.toDF("a", "line_a"), "a").join(held.toDF("b", "line_b"), "b")
+    out = materialise(both.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b"), "line-links")
+    forget(asked, held)
+    return out
 
 
-def _pairs(lines: DataFrame, edits: int, pieces: int, most: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of ids, b < a. With ``most``, keys with more
-    index lines give b = -1 instead: each line of such a group probes the key
-    too, as a line's own keys are among its probes."""
-    length = F.col("n")
-    line, few = F.col("line"), pieces <= edits + 2
-    keys = (index_keys(line, length, edits, pieces), probe_keys(line, length, edits, pieces)) if few else [finer_keys(line, length, edits, pieces, x) for x in (False, True)]
-    index, probe = (lines.select("id", F.explode(k).alias("k")).filter(F.col("k").isNotNull()) for k in keys)
-    probe = probe.alias("p")
-    if most is not None:
-        # A crowded key stays as one row with the id -1: who meets it is crowded.
-        hot = materialise(index.groupBy("k").count().filter(F.col("count") > most).select("k"), "line-hot")
-        index = index.join(hot, "k", "left_anti").unionByName(hot.withColumn("id", F.lit(-1).cast("long")))
-    met = probe.join(index.alias("i"), (F.col("p.k") == F.col("i.k")) & (F.col("p.id") != F.col("i.id")))
-    return met.select(F.greatest("p.id", "i.id").alias("a"), F.least("p.id", "i.id").alias("b"))
+def parities(line: Column) -> Column:
+    """64 bits, each flipped by every character that hashes to it."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))))
+
+
+def _near_crowded(lines: DataFrame, edits: int, finer: int) -> DataFrame:
+    """(id) of crowded lines with an earlier neighbour among them."""
+    # Numbers in the order of first places.
+    again = lines.orderBy("doc", "row", "no").select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("was"), "line", "n", parities(F.col("line")).alias("sig"))
+    again = materialise(again, "lines-crowded")
+    most = 2 * edits
+    few = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most
+    # First the neighbours at hand: under each key the line before and the
+    # first one of a range of numbers, so that a key is dealt by ranges.
+    by = W.partitionBy("k", F.shiftright("id", 33)).orderBy("id")
+    at = keyed(again.select("id", "sig", "line", "n"), edits, finer, False)
+    at = at.select("id", "sig", F.lag(F.struct("id", "sig")).over(by).alias("x"), F.first(F.struct("id", "sig")).over(by).alias("y"))
+    at = at.select("id", "sig", F.explode(F.array("x", "y")).alias("o")).filter("o.id < id").select("id", "sig", "o.*").toDF("a", "sig", "b", "o_sig")
+    links = _linked(materialise(at.filter(few("sig", "o_sig")).select("a", "b").distinct(), "line-pairs"), again, edits)
+    done = materialise(links.select(F.col("a").alias("id")).distinct(), "line-near")
+    # Then all that are still undecided, whichever line is the longer one.
+    known = again.join(done.withColumn("done", F.lit(True)), "id", "left").select("id", "sig", F.coalesce("done", F.lit(False)).alias("done"), "line", "n")
+    known = materialise(known, "lines-known")
+    p, i = keyed(known, edits, finer, True).alias("p"), keyed(known, edits, finer, False).alias("i")
+    undecided = F.when(F.col("p.id") > F.col("i.id"), ~F.col("p.done")).when(F.col("p.id") < F.col("i.id"), ~F.col("i.done")).otherwise(False)
+    met = p.join(i, (F.col("p.k") == F.col("i.k")) & undecided & few("p.sig", "i.sig"))
+    more = _linked(materialise(met.select(F.greatest("p.id", "i.id").alias("a"), F.least("p.id", "i.id").alias("b")).distinct(), "line-pairs"), again, edits)
+    near = done.union(more.select("a")).distinct()
+    out = materialise(again.join(near, "id", "left_semi").select(F.col("was").alias("id")), "line-near")
+    forget(known, done, again)
+    return out
 
 
 def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 20, most: int = 16, finer: int = 5) -> DataFrame:
-    """(h1, h2, doc, no, near): the first place of every distinct line, and
-    whether it is within ``edits`` of a line that first occurs before it."""
-    found = _lines(docs, doc_id, text, least_chars)
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("at"), F.first("line").alias("line"))
-    first = materialise(first.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at.doc", "at.no", "line", F.length("line").alias("n")), "lines")
-    lines = first.select("id", "line", "n")
-    pairs = materialise(_pairs(lines, edits, edits + 1, most).distinct(), "line-pairs")
-    crowded = pairs.filter("b = -1").select(F.col("a").alias("id"))
+    """(h1, h2, doc, row, no, near): the first place of every distinct line
+    that occurs twice or is near, and whether it is within ``edits`` of a line
+    that first occurs before it."""
+    found = _lines(docs, doc_id, text)
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "no")).alias("at"), F.first("line").alias("line"), F.count("*").alias("times"))
+    first = materialise(first.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "at.*", "times", "line", F.length("line").alias("n")), "lines")
+    lines = first.filter(F.col("n") >= least_chars).select("id", "line", "n")
+    pairs, crowded = _crowded_pairs(lines, edits, most)
+    links = _linked(pairs, lines, edits)
+    place = first.join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", F.struct("doc", "row", "no").alias("at"))
+    both = links.join(place.toDF("a", "at_a"), "a").join(place.toDF("b", "at_b"), "b")
+    near = both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
     if not crowded.isEmpty():
-        again = materialise(lines.join(crowded, "id", "left_semi"), "lines-crowded")
-        pairs = pairs.filter("b >= 0").union(materialise(_pairs(again, edits, finer, None).distinct(), "line-pairs")).distinct()
-    side = lambda x: first.select(F.col("id").alias(x), F.struct("doc", "no").alias(f"at_{x}"), F.col("line").alias(f"line_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    linked = both.filter(within(F.col("line_a"), F.col("line_b"), edits))
-    near = linked.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("near", F.lit(True))
-    return first.join(near, "id", "left").select("h1", "h2", "doc", "no", F.coalesce("near", F.lit(False)).alias("near"))
+        near = near.union(_near_crowded(first.join(crowded, "id", "left_semi"), edits, finer))
+    near = near.distinct().withColumn("near", F.lit(True))
+    out = first.join(near, "id", "left").filter("near or times > 1").select("h1", "h2", "doc", "row", "no", F.coalesce("near", F.lit(False)).alias("near"))
+    out = materialise(out, "line-verdicts")
+    forget(first, pairs)
+    return out
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """(doc, removed, n_near): the numbers of the lines that each document
-    loses, and how many of them as near and not as equal lines."""
-    verdicts = line_verdicts(docs, doc_id, text, **how).toDF("h1", "h2", "first_doc", "first_no", "near")
-    placed = _lines(docs, doc_id, text, how.get("least_chars", 20)).drop("line").join(verdicts, ["h1", "h2"])
-    first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("no") == F.col("first_no"))
+    """(doc, row, removed, n_near): the numbers of the lines that each row
+    loses (``row`` is the hash of its text), and how many of them as near and
+    not as equal lines."""
+    verdicts = line_verdicts(docs, doc_id, text, **how).toDF("h1", "h2", "first_doc", "first_row", "first_no", "near")
+    placed = _lines(docs, doc_id, text).drop("line").join(verdicts, ["h1", "h2"])
+    first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("row") == F.col("first_row")) & (F.col("no") == F.col("first_no"))
     gone = placed.filter(F.col("near") | ~first)
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("removed"), F.count_distinct(F.when(first, F.col("no"))).alias("n_near"))
+    return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("removed"), F.count_distinct(F.when(first, F.col("no"))).alias("n_near"))
 
 
 def with_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "lines", **how) -> DataFrame:
     """``docs`` plus a struct: n_lines, removed (line numbers), n_near, text."""
-    gone = removed_lines(docs, doc_id, text, **how).toDF("__doc", "__removed", "__near")
-    joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")), "left")
-    removed = F.coalesce("__removed", F.array().cast("array<int>"))
-    lines = F.split(F.col(text), "\n")
-    kept = F.when(F.size(removed) == 0, F.col(text)).otherwise(
-        let(lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), removed), lambda i: ls[i]), "\n"))
+    name = free(docs.columns, name)
+    doc, row, removed, near = new = [free([*docs.columns, name], x) for x in ("__doc", "__row", "__removed", "__near")]
+    gone = removed_lines(docs, doc_id, text, **how).toDF(*new)
+    t = F.col(f"`{text}`")
+    joined = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(doc)) & (F.xxhash64(t) == F.col(row)), "left")
+    numbers = F.coalesce(removed, F.array().cast("array<int>"))
+    lines = F.split(t, "\n")
+    kept = F.when(F.size(numbers) == 0, t).otherwise(
+        let(lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), numbers), lambda i: ls[i]), "\n"))
     )
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
-    struct = F.struct(n.cast("long").alias("n_lines"), removed.alias("removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"), kept.alias("text"))
-    return joined.withColumn(name, struct).drop("__doc", "__removed", "__near")
+    n = F.when(t.isNull(), F.lit(0)).otherwise(F.size(lines))
+    struct = F.struct(n.cast("long").alias("n_lines"), numbers.alias("removed"), F.coalesce(near, F.lit(0)).cast("long").alias("n_near"), kept.alias("text"))
+    return joined.withColumn(name, struct).drop(*new)
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Documents without their removed lines; one that loses lines and has no
     word left goes, others stay. Columns as given."""
-    name = "__lines"
+    name = free(docs.columns, "__lines")
     out = with_verdicts(docs, doc_id, text, name, **how)
     left = F.col(name)["text"].rlike(r"[^\x20\x09-\x0D]") | (F.size(F.col(name)["removed"]) == 0)
     return out.filter(left).withColumn(text, F.col(name)["text"]).drop(name)

@@ -83,21 +83,31 @@ def test_within_is_edit_distance(spark):
 @pytest.mark.parametrize("most", [16, 1])
 def test_line_dedup(spark, most):
     rnd = random.Random(4)
-    base = ["".join(rnd.choice("abcd ") for _ in range(rnd.randint(19, 32))) for _ in range(20)]
-    docs = [(i, "\n".join(changed(rnd, rnd.choice(base), rnd.choice([0, 1, 2, 3, 4])) for _ in range(rnd.randint(1, 7)))) for i in range(25)] + [(90, None), (91, "")]
+    base = ["".join(rnd.choice("abcd ") for _ in range(rnd.randint(12, 32))) for _ in range(20)] + ["Read more here", "x"]
+    docs = [(i % 20, "\n".join(changed(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 3, 4])) for _ in range(rnd.randint(1, 7)))) for i in range(30)]
+    docs += [(90, None), (91, ""), (5, docs[3][1]), (None, docs[4][1] + "\nonly under no id at all"), (7, docs[7][1]), (92, "long line " * 5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    key = {t: r for t, r in df.select("text", F.xxhash64("text")).collect()}
     first, gone = {}, {}
-    places = [(i, n, l.strip().lower()) for i, t in docs for n, l in enumerate((t or "").split("\n")) if len(l.strip()) >= 20]
-    for i, n, l in places:
-        first.setdefault(l, (i, n))
+    places = sorted({((i is not None, i or 0, key[t], n), l.strip().lower()) for i, t in docs if t for n, l in enumerate(t.split("\n")) if l.strip()})
+    for at, l in places:
+        first.setdefault(l, at)
     order = list(first)
-    near = {l for k, l in enumerate(order) if any(abs(len(l) - len(o)) < 3 and distance(l, o) <= 2 for o in order[:k])}
-    for i, n, l in places:
-        if first[l] != (i, n) or l in near:
-            gone.setdefault(i, []).append(n)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r.doc: r.removed for r in line_dedup.removed_lines(df, most=most).collect()} == gone
-    left = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(df, most=most).collect()}
-    assert left[90] is None and left[91] == "" and left[0] == docs[0][1] or 0 in gone
+    near = {l for k, l in enumerate(order) if len(l) >= 20 and any(abs(len(l) - len(o)) < 3 and len(o) >= 20 and distance(l, o) <= 2 for o in order[:k])}
+    for at, l in places:
+        if first[l] != at or l in near:
+            gone.setdefault((at[1] if at[0] else None, at[2]), []).append(at[3])
+    assert {(r.doc, r.row): r.removed for r in line_dedup.removed_lines(df, most=most).collect()} == gone
+    left = line_dedup.without_repeated_lines(df.withColumn("lines", F.lit("own")), most=most).collect()
+    want = []
+    for i, t in docs:
+        lost = gone.get((i, key[t]), []) if t else []
+        kept = "\n".join(l for n, l in enumerate(t.split("\n")) if n not in lost) if t else t
+        if not lost or kept.strip():
+            want.append((i, kept))
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(want, key=str) and left[0].lines == "own"
+    clash = line_dedup.with_verdicts(df.withColumn("Lines", F.lit(1)), most=most)
+    assert clash.columns == ["doc_id", "text", "Lines", "lines_"] and clash.count() == len(docs)
 
 
 def test_mixing(docs):
