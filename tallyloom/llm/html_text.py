@@ -1,17 +1,27 @@
 """Main text of web pages by two passes over blocks.
 
-A page is cut into blocks at block-level tags. Pass one decides a block by
-stop-word density, length and link density, with what the mark-up says about
-its place: inside an element that is page furniture (menu, header, footer,
-sidebar, notice, advert, form, comments) it is boilerplate; inside the
-article it is text unless it is mostly links. Blocks too short to tell stay
-open. Pass two gives an open block the label of its nearest decided
-neighbours: theirs if they agree, else that of the nearer, text on a tie; the
-borders of the article count as text, the borders of the page as boilerplate.
+A page is cut into blocks at block-level tags. Pass one adds up the evidence
+on a block: stop-word density and length speak for text, link density against
+it; what the mark-up says weighs in as well. Elements that are page furniture
+(menu, header, footer, sidebar, notice, advert, form, comments) weigh against
+their blocks; a mark that would take two thirds of a page of prose is not
+believed, save for comments. ``article`` and ``main`` weigh for their blocks
+and against the rest, unless there is more prose outside than text in them. Blocks
+too short to tell stay open. Pass two gives an open block the label of its
+nearest decided neighbours: theirs if they agree, else that of the nearer,
+text on a tie; the borders of the article count as text, the borders of the
+page as boilerplate.
+
+Marks are whole words of class, id and role; a class such as has-sidebar
+(a state) or post-header (a part of the article) is none. An element that is
+never closed marks its first block only. Inline elements that are hidden or
+adverts lose their text.
 
 Defined cases: a null, empty or text-free page gives an empty string and 0
 characters. Tags may be unclosed, mis-nested or cut off; text after the last
-tag counts. Repeated rows are extracted one by one.
+tag counts. Time is linear in the page, broken or not. Repeated rows are
+extracted one by one; an empty table gives an empty result; other columns of
+``pages`` are not read.
 """
 
 from __future__ import annotations
@@ -34,121 +44,297 @@ STOP_WORDS = frozenset(
     ).split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("nav footer aside form button select option dialog menu svg canvas object audio video map head".split())
 MAIN = frozenset(("article", "main"))
+#: A start tag ends an open element of these, up to the list or table it is in.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = frozenset("ul ol menu dl table select".split())
 #: Words in class, id or role that mark page furniture (fixed values).
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|adbox|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|pagination|pager|toc|sidebar|aside|complementary|widget|related|recommended|"
-    r"comment|comments|commentlist|respond|reply|replies|disqus|footer|header|masthead|contentinfo|topbar|share|sharing|social|newsletter|subscribe|signup|login|search|form|skip|copyright|legal)(?=$|[\s_-])",
-    re.I,
+ADVERT = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored promo promotion".split())
+COMMENT = frozenset("comment comments commentlist respond reply replies disqus".split())
+MARK = (
+    ADVERT
+    | COMMENT
+    | frozenset(
+        "banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc sidebar aside complementary widget "
+        "related recommended footer header masthead contentinfo topbar share sharing social newsletter subscribe signup login search form skip copyright legal".split()
+    )
 )
-HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Words that make a class name a state, or a part of the article (fixed values).
+STATE = frozenset("has with no without is not hide show".split())
+PART = frozenset("post article entry story content section".split())
+SPLIT = re.compile(r"[_-]+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORDS = re.compile(r"\w+")
 
-Block = tuple[str, int, bool, bool]  # text, characters in links, in furniture, in the article
+
+class Element:
+    """A marked element: whether its end tag came, its blocks, its parent."""
+
+    __slots__ = ("closed", "comment", "first", "last", "up")
+
+    def __init__(self, comment: bool, first: int, up: Element | None):
+        self.closed, self.comment, self.first, self.last, self.up = False, comment, first, -1, up
+
+
+Block = tuple[str, int, Element | None, bool]  # text, characters in links, innermost marked element, in the article
+
+
+def marks(value: str) -> set[str]:
+    """The furniture words among the names in a class, id or role."""
+    found: set[str] = set()
+    for name in value.split():
+        words = SPLIT.split(HUMP.sub("-", name).lower())
+        if STATE.intersection(words):
+            continue
+        own = MARK.intersection(words)
+        found |= own - {"header"} if words[0] in PART else own
+    return found
+
+
+def attributes(raw: str) -> tuple[set[str], bool]:
+    """(furniture words, hidden) of the attributes of a tag."""
+    found: set[str] = set()
+    hidden = False
+    for name, a, b, c in ATTRIBUTE.findall(raw):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            found |= marks(value)
+        elif name == "hidden":
+            hidden |= value.lower() not in ("false", "until-found")
+        elif name == "aria-hidden":
+            hidden |= value.lower() == "true"
+        elif name == "style":
+            style = value.lower().replace(" ", "")
+            hidden |= "display:none" in style or "visibility:hidden" in style
+    return found, hidden
+
+
+class Reader:
+    """Tags and texts of a page from left to right, each character once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none_left: set[str] = set()  # characters that don't come again
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none_left:
+            return -1
+        p = self.page.find(what, at)
+        if p < 0:
+            self.none_left.add(what)
+        return p
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``."""
+        p = at
+        while True:
+            m = STOP.search(self.page, p) if ">" not in self.none_left or p == at else None
+            if not m:
+                return self.find(">", at)
+            if m[0] == ">":
+                return m.start()
+            q = self.find(m[0], m.end())
+            if q < 0:  # the quote stays open: the tag ends where it can
+                return self.find(">", at)
+            p = q + 1
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+    open_tags: list[tuple[str, Element | None, bool]] = []  # tag, marked element, article
+    counts: dict[str, int] = {}
     parts: list[str] = []
     linked: list[str] = []
-    in_link, furniture, article = False, 0, 0
+    in_link, article = False, 0
+    element: Element | None = None  # innermost marked one
+    own: Element | None = None  # of the paragraph at hand
+    skipped, depth = "", 0  # inline element whose text is left out
+    read = Reader(page)
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal own, skipped
+        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
             links = " ".join(html.unescape("".join(linked)).split())
-            out.append((text, len(links), furniture > 0, article > 0))
+            out.append((text, len(links), own or element, article > 0))
         parts.clear()
         linked.clear()
+        own, skipped = None, ""
+
+    def pop(explicit: bool) -> str:
+        nonlocal article, element
+        tag, e, a = open_tags.pop()
+        counts[tag] -= 1
+        article -= a
+        if e is not None:
+            e.closed, e.last, element = explicit, len(out), e.up
+        return tag
 
     at, end = 0, len(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
+        p = page.find("<", at)
+        stop = end if p < 0 else p
+        m = NAME.match(page, p + 1) if p >= 0 else None
+        if p >= 0 and not m and page[p + 1 : p + 2] not in ("!", "?"):
+            stop = p + 1  # a bare "<"
+        if stop > at and not skipped:
             parts.append(page[at:stop])
             if in_link:
                 linked.append(page[at:stop])
-        if not m:
+        if p < 0:
             break
-        at = m.end()
-        if not m[2]:
+        if not m:
+            if stop == p:
+                long = page.startswith("<!--", p)
+                q = read.find("-->" if long else ">", p + 2)
+                at = end if q < 0 else q + (3 if long else 1)
+            else:
+                at = stop
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        q = read.tag_end(m.end())
+        if q < 0:  # no tag ends any more: the rest is text
+            if not skipped:
+                parts.append(page[p:])
+            break
+        raw, at = page[m.end() : q], q + 1
+        tag, closing = m[1].lower(), page[p + 1] == "/"
         if tag in RAW and not closing:
             found = RAW_END[tag].search(page, at)
-            at = found.end() if found else end
+            q = read.find(">", found.end()) if found else -1
+            at = q + 1 if q >= 0 else end
             continue
-        if tag == "a":
-            in_link = not closing
+        if skipped and tag == skipped:
+            depth += -1 if closing else 1
+            if not depth:
+                skipped = ""
             continue
-        if tag == "br" or tag in INLINE:
+        if tag in INLINE or tag == "br":
+            if tag == "a" and not skipped:
+                in_link = not closing
             if tag == "br":
                 parts.append(" ")
+            elif raw and not closing and not skipped and not raw.endswith("/"):
+                found, hidden = attributes(raw)
+                if hidden or found & ADVERT:
+                    skipped, depth = tag, 1
             continue
         flush()
         in_link = False
         if closing:
             # A stray end tag closes nothing; others close what they contain.
-            if any(t == tag for t, _, _ in open_tags):
-                while open_tags:
-                    t, f, a = open_tags.pop()
-                    furniture -= f
-                    article -= a
-                    if t == tag:
-                        break
-        elif tag not in VOID and tag != "p":
-            hints = " ".join(a or b or c for a, b, c in HINT.findall(m[3])) if m[3] else ""
-            # A heading group inside the article is part of it.
-            f = tag in FURNITURE or (tag == "header" and not article) or (tag not in ("html", "body", *MAIN) and bool(hints) and bool(MARKS.search(hints))) or (bool(m[3]) and bool(HIDDEN.search(m[3])))
-            if tag == "article" and furniture:
-                f = True
-            a = tag in MAIN and not furniture
-            if not m[3].rstrip().endswith("/"):
-                open_tags.append((tag, f, a))
-                furniture += f
-                article += a
+            if counts.get(tag):
+                while pop(open_tags[-1][0] == tag) != tag:
+                    pass
+            continue
+        if tag in VOID:
+            continue
+        for inner in ENDS.get(tag, ()):
+            # An item ends the one before it in the same list.
+            k = len(open_tags) - 1
+            if counts.get(inner):
+                while k >= 0 and open_tags[k][0] != inner and open_tags[k][0] not in LISTS and len(open_tags) - k < 40:
+                    k -= 1
+                if k >= 0 and open_tags[k][0] == inner:
+                    while len(open_tags) > k:
+                        pop(True)
+        found, hidden = attributes(raw) if raw else (set(), False)
+        plain = tag in ("html", "body", *MAIN)
+        f = tag in FURNITURE or (tag == "header" and not article) or (bool(found) and not plain) or hidden
+        if f and article and tag != "header" and not hidden and found <= {"header"} and tag not in FURNITURE:
+            f = False  # a heading group inside the article is part of it
+        if tag == "p":  # ends at the next block, marked or not
+            if f:
+                own = Element(bool(found & COMMENT), len(out), element)
+                own.closed, own.last = True, len(out) + 1
+            continue
+        if raw.rstrip().endswith("/"):
+            continue
+        a = tag in MAIN
+        e = Element(bool(found & COMMENT), len(out), element) if f else None
+        open_tags.append((tag, e, a))
+        counts[tag] = counts.get(tag, 0) + 1
+        article += a
+        element = e or element
     flush()
+    while open_tags:
+        pop(False)
     return out
 
 
+def densities(text: str) -> tuple[int, float]:
+    """(length, share of stop words)."""
+    words = WORDS.findall(text.lower())
+    return len(text), sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def believed(found: list[Block], prose: list[int], sizes: list[int], least: int = 400) -> dict[int, bool]:
+    """For each marked element, by identity, whether its mark holds.
+
+    It holds if the element is closed and, but for comments, doesn't hold more
+    than two thirds of the page with ``least`` characters of prose or more; or
+    if the element lies in one whose mark holds."""
+    text, all_prose = [0], [0]
+    for n, m in zip(sizes, prose):
+        text.append(text[-1] + n)
+        all_prose.append(all_prose[-1] + m)
+    holds: dict[int, bool] = {}
+    for _, _, e, _ in found:
+        chain = []
+        while e is not None and id(e) not in holds:
+            chain.append(e)
+            e = e.up
+        for x in reversed(chain):
+            stop = min(x.last, len(sizes))
+            page = not x.comment and 3 * (text[stop] - text[x.first]) > 2 * text[-1] and all_prose[stop] - all_prose[x.first] >= least
+            holds[id(x)] = (x.closed and not page) or (x.up is not None and holds[id(x.up)])
+    return holds
+
+
 def classify(found: list[Block], most_links: float = 0.5, short: int = 70, some_stop: float = 0.1, many_stop: float = 0.25) -> list[bool]:
     """Whether each block is text, by the two passes."""
-    has_article = any(a and not f for _, _, f, a in found)
+    facts = [densities(b[0]) for b in found]
+    dense = [b[1] / n for b, (n, _) in zip(found, facts)]
+    prose = [n if n >= short and stop >= some_stop and links <= most_links else 0 for (n, stop), links in zip(facts, dense)]
+    sizes = [n for n, _ in facts]
+    holds = believed(found, prose, sizes)
+    # An element without an end marks its first block only.
+    marked = [e is not None and (holds[id(e)] or (not e.closed and e.first == i)) for i, (_, _, e, _) in enumerate(found)]
+    inside = sum(n for n, b, m in zip(sizes, found, marked) if b[3] and not m)
+    outside = sum(n for n, b, m in zip(prose, found, marked) if not b[3] and not m)
+    any_inside = any(b[3] and not m for b, m in zip(found, marked))
+    whole = any_inside and inside >= outside  # the article holds the prose of the page
     labels: list[bool | None] = []
-    for text, links, furniture, article in found:
-        words = WORDS.findall(text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        density = links / len(text)
-        if furniture or (has_article and not article):
-            labels.append(False)
-        elif density > most_links and not (article and len(text) >= short and stop >= many_stop):
-            labels.append(None if article and stop >= some_stop else False)
-        elif len(text) < short:
-            labels.append(None)
-        elif article or stop >= some_stop:
-            labels.append(True)
-        else:
-            labels.append(None)
-    border = has_article
+    for (n, stop), links, (_, _, _, article), mark in zip(facts, dense, found, marked):
+        article = article and whole
+        score = 0
+        if links > most_links:
+            score -= 2
+            if article and stop >= some_stop:
+                score += 2 + (n >= short and stop >= many_stop)
+        elif n >= short:
+            score += (stop >= some_stop) + (stop >= many_stop) + article
+        if whole and not article:
+            score -= 3
+        if mark:
+            score -= 4
+        labels.append(None if score == 0 else score > 0)
+    border = whole
     ahead: list[tuple[int, bool]] = [(0, border)] * len(labels)
     near = (len(labels), border)
     for i in range(len(labels) - 1, -1, -1):
         ahead[i] = near
-        article_ends = has_article and not found[i][3]
-        if labels[i] is not None and not found[i][2]:
-            near = (i, border if article_ends else bool(labels[i]))
-        elif not has_article and found[i][2]:
+        if labels[i] is not None and not marked[i]:
+            near = (i, border if whole and not found[i][3] else bool(labels[i]))
+        elif not whole and marked[i]:
             near = (i, False)
     out, before = [], (-1, border)
     for i, label in enumerate(labels):
@@ -159,11 +345,10 @@ def classify(found: list[Block], most_links: float = 0.5, short: int = 70, some_
             else:
                 gap = (i - before[0]) - (after[0] - i)
                 label = True if gap == 0 else (before[1] if gap < 0 else after[1])
-        else:
-            if not found[i][2]:
-                before = (i, border if has_article and not found[i][3] else label)
-            elif not has_article:
-                before = (i, False)
+        elif not marked[i]:
+            before = (i, border if whole and not found[i][3] else label)
+        elif not whole:
+            before = (i, False)
         out.append(bool(label))
     return out
 
