@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import _written, parts_for, shared_folder
+from tallyloom.llm._shared import _written, parts_for, shared_folder, tidy_shuffles
 
 BLOCK = "batch int, bucket int, n int, data binary"
 
@@ -42,7 +42,8 @@ def batch_table(docs: DataFrame, key: list[str], text: str = "text", each: int =
     if only is not None:
         dealt = dealt.join(only.repartition(n, *key), key, "left_semi")
     dealt = dealt.withColumn("batch", F.pmod(F.hash(*key), F.lit(n)))
-    dealt.write.bucketBy(n, "batch").sortBy("batch").option("path", path).option("compression", "zstd").saveAsTable(name)
+    with tidy_shuffles(spark):
+        dealt.write.bucketBy(n, "batch").sortBy("batch").option("path", path).option("compression", "zstd").saveAsTable(name)
     _written.append((spark, path))
     return spark.table(name), n
 

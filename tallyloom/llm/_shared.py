@@ -104,6 +104,9 @@ def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return
+    name = path.rsplit("/", 1)[-1]
+    if name.startswith("tallyloom_"):  # a bucketed table is in the catalogue
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -119,7 +119,7 @@ def test_repeated_bytes(spark):
 
 
 def test_chains_and_alignment():
-    x, y, size = passages.merged(np.array([0, 3, 50, 53, 200]), np.array([10, 13, 61, 64, 5]), 5, 8)
+    x, y, size = passages.merged(np.array([0, 3, 50, 53, 200]), np.array([10, 13, 61, 64, 5]), np.full(5, 5), 3)
     assert passages.chains(x, y, size, 0.05, 100)[0] == (0, 58, 10, 69)
     rnd = random.Random(1)
     for _ in range(100):
@@ -139,7 +139,7 @@ def test_passages(spark):
     for _ in range(10):
         p, g = [rnd.choice(voc) for _ in range(70)], rnd.sample(range(60), 3)
         for d in g:
-            q, k = list(p), rnd.randint(0, len(docs[d]))
+            q, k = list(p), rnd.choice([0, len(docs[d])])  # whole: no passage lands inside another
             q[35] = rnd.choice(voc)
             docs[d][k:k] = q
         groups.append(g)
@@ -150,3 +150,44 @@ def test_passages(spark):
     assert all(r.n_links == 0 and r.class_id == i for i, r in got.items() if i not in inside and i not in (70, 90))
     assert got[90].class_id == 70 and {got[k].class_id for k in (91, 92, 93)} == {91, 92, 93}
     assert all(got[d].repeated_words >= 60 for d in inside)
+
+
+def test_passages_in_pieces_elsewhere(spark):
+    """Texts that hold pieces of a passage don't hide it from others; links by
+    brute force over runs of words."""
+    rnd = random.Random(8)
+    voc = [f"w{k}" for k in range(5000)]
+    own = lambda n: [rnd.choice(voc) for _ in range(n)]
+    docs, groups = {}, []
+    for g in range(6):
+        p, ids = own(62), []
+        for size in [62, 62, 62] + [20] * 22 + [28] * 15:
+            i, k = len(docs), rnd.randint(0, 62 - size)
+            docs[i] = own(rnd.randint(0, 80)) + p[k : k + size] + own(rnd.randint(0, 80))
+            ids.append(i)
+        groups.append(ids[:3])
+    order = list(docs)
+    rnd.shuffle(order)
+    rows = [(i, " ".join(docs[i])) for i in order]
+    grams = {}
+    for i, w in docs.items():
+        for k in range(len(w) - 44):
+            grams.setdefault(tuple(w[k : k + 45]), set()).add(i)
+    want = {(a, b) for g in grams.values() for a in g for b in g if a < b}
+    assert want == {(g[a], g[b]) for g in groups for a, b in ((0, 1), (0, 2), (1, 2))}
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] for a, b in want)
+    linked = {x for p in want for x in p}
+    assert all(got[i] == i for i in docs if i not in linked)
+
+
+def test_passages_defined_cases(spark):
+    rnd = random.Random(9)
+    own = lambda n: " ".join(f"v{rnd.randrange(4000)}" for _ in range(n))
+    p, other = own(200), own(60)
+    rows = [(None, p + " " + own(50), "x"), (None, own(40) + " " + p, "y"), (7, own(30) + " " + p, "z"), (8, other, ""), (8, own(70), ""), (9, other.upper(), None), (10, "w " * 200_000, ""), (11, p[: len(p) // 2], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    got = passages.passage_classes(df).collect()
+    assert len(got) == len(rows) and passages.passage_classes(df.limit(0)).collect() == []
+    assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 7), (0, 7), (7, 7), (8, 8), (8, 8), (9, 8), (10, 10), (11, 7)]
+    assert sum(r.n_links > 0 for r in got) == 4
