@@ -137,8 +137,11 @@ def apply(table: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, p
 
 
 def texts(t: pa.Table, column: str = "text") -> Iterator[bytes]:
-    """The UTF-8 bytes of a text column."""
-    for chunk in t.column(column).cast(pa.large_string()).cast(pa.large_binary()).chunks:
+    """The UTF-8 bytes of a column of texts or of bytes."""
+    values = t.column(column)
+    if not pa.types.is_binary(values.type):
+        values = values.cast(pa.large_string())
+    for chunk in values.cast(pa.large_binary()).chunks:
         for v in chunk:
             yield v.as_py() or b""
 

@@ -174,50 +174,57 @@ def _crowded_pairs(lines: DataFrame, edits: int, most: int) -> tuple[DataFrame,
     return pairs.filter("b >= 0"), pairs.filter("b < 0").select(F.col("a").alias("id"))
 
 
-def _linked(pairs: DataFrame, lines: DataFrame, edits: int, few: int = 1 << 20) -> DataFrame:
-    """The ``pairs`` (a, b) of line ids that are within ``edits`` edits.
-
-    Only lines in pairs move; up to ``few`` ids are broadcast, more are joined.
-    """
-    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-asked")
-    few_ids = asked.count() <= few
-    held = materialise(lines.join(F.broadcast(asked) if few_ids else asked, "id", "left_semi").select("id", "line"), "line-held")
-    both = pairs.join(held.toDF("a", "line_a"), "a").join(held.toDF("b", "line_b"), "b")
-    out = materialise(both.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b"), "line-links")
-    forget(asked, held)
-    return out
-
-
 def parities(line: Column) -> Column:
     """64 bits, each flipped by every character that hashes to it."""
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))))
 
 
+def _alike(x: str, y: str, edits: int) -> Column:
+    """Whether two parity words leave room for ``edits`` edits."""
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits
+
+
+def _by_ids(lines: DataFrame, ids: DataFrame, how: str = "left_semi", few: int = 1 << 20) -> DataFrame:
+    """``lines`` joined with materialised ``ids`` on id. Up to ``few`` rows of
+    ids are broadcast, so that the lines stay where they are; more are dealt
+    by id."""
+    return lines.join(F.broadcast(ids) if ids.count() <= few else ids, "id", how)
+
+
+def _linked(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """The ``pairs`` (a, b) of line ids that are within ``edits`` edits; only
+    lines in pairs move."""
+    asked = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-asked")
+    held = materialise(_by_ids(lines.select("id", "line"), asked).withColumn("sig", parities(F.col("line"))), "line-held")
+    both = pairs.join(held.toDF("a", "line_a", "sig_a"), "a").join(held.toDF("b", "line_b", "sig_b"), "b")
+    out = materialise(both.filter(_alike("sig_a", "sig_b", edits) & within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b"), "line-links")
+    forget(asked, held)
+    return out
+
+
 def _near_crowded(lines: DataFrame, edits: int, finer: int) -> DataFrame:
     """(id) of crowded lines with an earlier neighbour among them."""
     # Numbers in the order of first places.
     again = lines.orderBy("doc", "row", "no").select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("was"), "line", "n", parities(F.col("line")).alias("sig"))
     again = materialise(again, "lines-crowded")
-    most = 2 * edits
-    few = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most
     # First the neighbours at hand: under each key the line before and the
     # first one of a range of numbers, so that a key is dealt by ranges.
     by = W.partitionBy("k", F.shiftright("id", 33)).orderBy("id")
     at = keyed(again.select("id", "sig", "line", "n"), edits, finer, False)
     at = at.select("id", "sig", F.lag(F.struct("id", "sig")).over(by).alias("x"), F.first(F.struct("id", "sig")).over(by).alias("y"))
     at = at.select("id", "sig", F.explode(F.array("x", "y")).alias("o")).filter("o.id < id").select("id", "sig", "o.*").toDF("a", "sig", "b", "o_sig")
-    links = _linked(materialise(at.filter(few("sig", "o_sig")).select("a", "b").distinct(), "line-pairs"), again, edits)
+    links = _linked(materialise(at.filter(_alike("sig", "o_sig", edits)).select("a", "b").distinct(), "line-pairs"), again, edits)
     done = materialise(links.select(F.col("a").alias("id")).distinct(), "line-near")
     # Then all that are still undecided, whichever line is the longer one.
-    known = again.join(done.withColumn("done", F.lit(True)), "id", "left").select("id", "sig", F.coalesce("done", F.lit(False)).alias("done"), "line", "n")
+    known = _by_ids(again, done.withColumn("done", F.lit(True)), "left").select("id", "sig", F.coalesce("done", F.lit(False)).alias("done"), "line", "n")
     known = materialise(known, "lines-known")
     p, i = keyed(known, edits, finer, True).alias("p"), keyed(known, edits, finer, False).alias("i")
     undecided = F.when(F.col("p.id") > F.col("i.id"), ~F.col("p.done")).when(F.col("p.id") < F.col("i.id"), ~F.col("i.done")).otherwise(False)
-    met = p.join(i, (F.col("p.k") == F.col("i.k")) & undecided & few("p.sig", "i.sig"))
+    met = p.join(i, (F.col("p.k") == F.col("i.k")) & undecided & _alike("p.sig", "i.sig", edits))
     more = _linked(materialise(met.select(F.greatest("p.id", "i.id").alias("a"), F.least("p.id", "i.id").alias("b")).distinct(), "line-pairs"), again, edits)
-    near = done.union(more.select("a")).distinct()
-    out = materialise(again.join(near, "id", "left_semi").select(F.col("was").alias("id")), "line-near")
-    forget(known, done, again)
+    near = materialise(done.union(more.select(F.col("a").alias("id"))).distinct(), "line-near")
+    out = materialise(_by_ids(again, near).select(F.col("was").alias("id")), "line-near")
+    forget(known, done, near, again)
     return out
 
 
@@ -231,15 +238,16 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", e
     lines = first.filter(F.col("n") >= least_chars).select("id", "line", "n")
     pairs, crowded = _crowded_pairs(lines, edits, most)
     links = _linked(pairs, lines, edits)
-    place = first.join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", F.struct("doc", "row", "no").alias("at"))
+    asked = materialise(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "line-asked")
+    place = materialise(_by_ids(first, asked).select("id", F.struct("doc", "row", "no").alias("at")), "line-places")
     both = links.join(place.toDF("a", "at_a"), "a").join(place.toDF("b", "at_b"), "b")
     near = both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"))
     if not crowded.isEmpty():
-        near = near.union(_near_crowded(first.join(crowded, "id", "left_semi"), edits, finer))
-    near = near.distinct().withColumn("near", F.lit(True))
-    out = first.join(near, "id", "left").filter("near or times > 1").select("h1", "h2", "doc", "row", "no", F.coalesce("near", F.lit(False)).alias("near"))
+        near = near.union(_near_crowded(_by_ids(first, crowded), edits, finer))
+    near = materialise(near.distinct().withColumn("near", F.lit(True)), "line-near")
+    out = _by_ids(first, near, "left").filter("near or times > 1").select("h1", "h2", "doc", "row", "no", F.coalesce("near", F.lit(False)).alias("near"))
     out = materialise(out, "line-verdicts")
-    forget(first, pairs)
+    forget(first, pairs, asked, place, near)
     return out
 
 

@@ -2,7 +2,9 @@
 
 Every byte covered by a string of ``length`` bytes that also starts anywhere
 else is removed. Texts that occur more than once are settled first, by their
-hash: one row stands for them all. The others are dealt to shards.
+hash: one row stands for them all. The others are dealt to shards, texts over
+``stretch`` bytes as stretches that overlap by ``length`` - 1 bytes, so that
+every window lies in one of them and a task holds no longer text.
 
 Anchors choose what the suffix arrays must hold: a window of ``length`` bytes
 has as its anchor the least rolling hash of its ``gram``-byte strings, equal
@@ -14,13 +16,17 @@ property, evaluated for all suffixes at once: a suffix whose predecessor
 agrees one byte earlier has the common prefix of the one before it less one.
 Runs of suffixes with a common prefix of ``length`` or more are one window
 each. Shards are merged by binary search: each sends the sorted keys of its
-windows, once each, to the buckets, which look every key up in all others.
+windows, once each, to the buckets, which look every key up among all others.
 
-Window keys are 80 bits of two rolling hashes; other equality is exact.
+Inside a shard windows are compared byte for byte. Between shards they are
+compared by 128 bits of two rolling hashes; for n windows the chance of any
+false match is about n * n / 2**129, 1.5e-11 for 1e14 windows.
 
 Defined cases: a null text is empty and loses nothing; texts under ``length``
 bytes lose nothing; repeated rows are occurrences of their own, so both lose
-all; matches never cross documents; overlaps within a document count.
+all; rows are told apart by place and not by id, so null and repeated ids do
+no harm; matches never cross documents; overlaps within a document count;
+other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import _batches as B
-from tallyloom.llm._shared import materialise
+from tallyloom.llm._shared import forget, materialise
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _TABLES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,19 +183,20 @@ class Shard:
             a = np.frombuffer(d, np.uint8)
             m, _ = anchors(a, length, gram)
             heads = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-            at = np.minimum(np.searchsorted(repeated, m[heads]), len(repeated) - 1)
-            hit = np.repeat(repeated[at] == m[heads], np.diff(np.r_[heads, len(m)]))
+            own = B.mixed(m[heads])
+            at = np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)
+            hit = np.repeat(repeated[at] == own, np.diff(np.r_[heads, len(m)]))
             where = np.flatnonzero(hit)
             if not len(where):
                 continue
             self.spots.append((n, where))
             keys.append(rolling(a, length)[where])
-            checks.append((rolling(a, length, 1)[where] >> np.uint64(48)).astype(np.uint16))
+            checks.append(rolling(a, length, 1)[where])
             cuts = np.flatnonzero(np.diff(where) > 1)
             for x, y in zip(where[np.r_[0, cuts + 1]].tolist(), where[np.r_[cuts, len(where) - 1]].tolist()):
                 stretches.append((a[x : y + length], y - x + 1))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.checks = np.concatenate(checks) if checks else np.zeros(0, np.uint16)
+        self.checks = np.concatenate(checks) if checks else np.zeros(0, np.uint64)
         self.stretches = stretches
 
     def local(self) -> np.ndarray:
@@ -222,7 +229,8 @@ def _anchor_blocks(length: int, gram: int, buckets: int):
         found = [anchors(np.frombuffer(d, np.uint8), length, gram)[1] for d in B.texts(t) if len(d) >= length]
         if not found:
             return []
-        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        # Least hashes lie low in their range: spread them over the buckets.
+        keys, counts = np.unique(B.mixed(np.concatenate(found)), return_counts=True)
         cut = B.bounds(keys, buckets)
         return [(batch, b, int(y - x), B.framed([B.pack_sorted(keys[x:y]), np.packbits(counts[x:y] > 1).tobytes()])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
 
@@ -278,7 +286,7 @@ def _window_answers(bucket_of: int):
     def work(batches: list[int], blocks: list[bytes]):
         parts = [B.unframed(x) for x in blocks]
         keys = [B.unpack_sorted(p[0]) for p in parts]
-        checks = [B.unpack(p[1], np.uint16) for p in parts]
+        checks = [B.unpack(p[1], np.uint64) for p in parts]
         local = [_flags(p[2], len(k)) for p, k in zip(parts, keys)]
         k, c = np.concatenate(keys), np.concatenate(checks)
         order = np.lexsort((c, k))
@@ -303,10 +311,23 @@ def spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], np.r_[starts[np.flatnonzero(new)[1:] - 1], starts[-1]] + length
 
 
-RESULT = "doc_id {0}, sha string, spans array<struct<start:long,stop:long>>, n_removed long, kept_sha256 string, kept string"
+RESULT = "row long, spans array<struct<start:long,stop:long>>, n_removed long, kept_sha256 string, kept string"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def _apply(length: int, gram: int, with_text: bool, kind: pa.DataType):
+def without(text: bytes, cut: list[tuple[int, int]]) -> tuple[int, bytes]:
+    """Number of bytes in the sorted, separate spans, and the text without."""
+    rest, at = [], 0
+    for x, y in cut:
+        rest.append(text[at:x])
+        at = y
+    rest.append(text[at:])
+    return sum(y - x for x, y in cut), b"".join(rest)
+
+
+def _apply(length: int, gram: int, stretch: int, with_text: bool):
+    names = [x.split()[0] for x in RESULT.split(", ")]
+
     def work(batch: int, left: pa.Table, right: pa.Table) -> pa.Table:
         docs = list(B.texts(left))
         kinds = right.column("kind").to_numpy() if right.num_rows else np.zeros(0, np.int64)
@@ -316,50 +337,70 @@ def _apply(length: int, gram: int, with_text: bool, kind: pa.DataType):
         answers = right.filter(pa.array(kinds == 1)) if right.num_rows else right
         flags = [_flags(d, n) for d, n in zip(answers.column("data").to_pylist(), answers.column("n").to_pylist())]
         hit = np.concatenate(flags)[number] if flags else np.zeros(0, bool)
-        found, at = {}, 0
+        ids, parts, whole, at = left.column("row").to_pylist(), left.column("part").to_pylist(), left.column("whole").to_pylist(), 0
+        rows: list[tuple] = []
         for n, where in shard.spots:
             own = where[hit[at : at + len(where)]]
             at += len(where)
-            if len(own):
-                found[n] = spans(own, length)
-        ids, shas = left.column("doc_id"), left.column("sha").to_pylist()
-        rows: list[list] = [[], [], [], [], [], []]
-        for n, (x, y) in found.items():
-            keep = np.ones(len(docs[n]), bool)
-            for p, q in zip(x.tolist(), y.tolist()):
-                keep[p:q] = False
-            rest = np.frombuffer(docs[n], np.uint8)[keep].tobytes()
-            rows[0].append(ids[n].as_py())
-            rows[1].append(shas[n])
-            rows[2].append([{"start": p, "stop": q} for p, q in zip(x.tolist(), y.tolist())])
-            rows[3].append(int((~keep).sum()))
-            rows[4].append(hashlib.sha256(rest).hexdigest())
-            rows[5].append(rest.decode("utf-8", "ignore") if with_text else None)
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.table([pa.array(rows[0], kind), pa.array(rows[1], pa.string()), pa.array(rows[2], span), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.string()), pa.array(rows[5], pa.string())], names=["doc_id", "sha", "spans", "n_removed", "kept_sha256", "kept"])
+            if not len(own):
+                continue
+            cut = [(p + stretch * parts[n], q + stretch * parts[n]) for p, q in zip(*(x.tolist() for x in spans(own, length)))]
+            size, rest = without(docs[n], cut) if whole[n] else (None, b"")
+            rows.append((ids[n], [{"start": p, "stop": q} for p, q in cut], size, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
+        cols = list(zip(*rows)) if rows else [[] for _ in names]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), _SPANS, pa.int64(), pa.string(), pa.string()))], names=names)
 
     return work
 
 
-def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 320, with_text: bool = False) -> DataFrame:
+def _joined(with_text: bool):
+    """Spans of the stretches of one long text, as one result."""
+    names = [x.split()[0] for x in RESULT.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for row, text, found in zip(*(c.to_pylist() for c in b.columns)):
+                cut: list[list[int]] = []
+                for x in sorted((x["start"], x["stop"]) for x in found):
+                    if cut and x[0] <= cut[-1][1]:
+                        cut[-1][1] = max(cut[-1][1], x[1])
+                    else:
+                        cut.append(list(x))
+                size, rest = without(text.encode(), cut)
+                rows.append((row, [{"start": p, "stop": q} for p, q in cut], size, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
+            cols = list(zip(*rows)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), _SPANS, pa.int64(), pa.string(), pa.string()))], names=names)
+
+    return run
+
+
+def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 320, stretch: int = 16_000_000, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, n_removed, kept_sha256, kept): what each text
     loses, and with ``with_text`` what is left of it."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), B.low(text).alias("text"))
-    named = named.withColumn("sha", F.sha2("text", 256))
-    facts = named.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
-    classes = materialise(facts.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "suffix-classes")
-    single = classes.filter(F.col("n_bytes") >= length).select(F.col("rep").alias("doc_id"), "sha")
-    table, n = B.batch_table(named, ["doc_id", "sha"], only=single)
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    texts = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    texts = materialise(texts, "suffix-texts")
+    facts = texts.drop("text")
+    classes = materialise(facts.groupBy("sha").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "suffix-classes")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("n_bytes") - 1, F.lit(0)) / stretch))).alias("part")
+    single = classes.filter(F.col("n_bytes") >= length).select(F.col("rep").alias("row"), part)
+    cut_up = texts.select("row", part, "n_bytes", "text").select(
+        "row", "part", (F.col("n_bytes") <= stretch).alias("whole"), F.col("text").cast("binary").substr((F.col("part") * stretch + 1).cast("int"), F.lit(stretch + length - 1)).alias("text")
+    )
+    table, n = B.batch_table(cut_up, ["row", "part"], only=single)
     buckets = B.bucket_count(n)
     kind0 = materialise(B.answer(B.send(table, _anchor_blocks(length, gram, buckets)), _anchor_answers), "suffix-anchors")
     windows = B.apply(table, kind0, _window_blocks(length, gram, buckets), B.BLOCK)
-    kind1 = B.answer(windows, _window_answers(buckets))
+    kind1 = materialise(B.answer(windows, _window_answers(buckets)), "suffix-windows")
     both = kind0.withColumn("kind", F.lit(0)).unionByName(kind1.withColumn("kind", F.lit(1)))
-    schema = docs.schema[doc_id].dataType
-    arrow = pa.int64() if schema.simpleString() == "bigint" else pa.int32() if schema.simpleString() == "int" else pa.string()
-    cut = B.apply(table, both, _apply(length, gram, with_text, arrow), RESULT.format(schema.simpleString()))
+    cut = materialise(B.apply(table, both, _apply(length, gram, stretch, with_text), RESULT), "suffix-cuts")
+    parts = cut.filter("n_removed IS NULL").groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    long = texts.filter(F.col("n_bytes") > stretch).select("row", "text").join(parts, "row").mapInArrow(_joined(with_text), RESULT)
+    cut = materialise(cut.filter("n_removed IS NOT NULL").unionByName(long), "suffix-results")
+    forget(table, kind0, kind1)
     # One row for each class: copies lose everything, if long enough.
-    lost = classes.join(cut.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "sha"]), ["rep", "sha"], "left")
+    lost = classes.join(cut.withColumnRenamed("row", "rep"), "rep", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     lost = lost.select(

@@ -116,6 +116,19 @@ def test_repeated_bytes(spark):
     got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.repeated_bytes(df, length=length, gram=32).collect()]
     assert sorted(got) == sorted(want)
     assert suffix_dedup.repeated_bytes(df.limit(0)).count() == 0
+    # The same in short overlapping stretches, with what is left of the texts.
+    cut = suffix_dedup.repeated_bytes(df, length=length, gram=32, stretch=100, with_text=True).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in cut) == sorted(want)
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in cut if r.n_removed and r.kept.isascii())
+
+
+def test_suffix_rows_without_ids(spark):
+    rnd = random.Random(3)
+    own = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = own(600)
+    rows = [(None, own(50) + shared, b"x"), (None, shared + own(70), b"y"), (4, own(900), None), (4, own(40) + shared[:300], b"")]
+    got = suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string, sha binary")).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 650, 600), (0, 670, 600), (4, 340, 0), (4, 900, 0)]
 
 
 def test_chains_and_alignment():
