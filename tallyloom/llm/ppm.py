@@ -9,17 +9,20 @@ coded (symbol exclusion). Escapes are estimated as d / 2n and symbols as
 context the symbols left are equally likely. The pretrained score of a text
 is a sum over its (ORDER + 1)-byte strings, so only the distinct strings of a
 batch travel: counts to the buckets of the key space, log probabilities back.
-A bucket holds all strings that end their context in the same two bytes, hence
-the whole trie below those; orders 1 and 0 are tables of 65,536 and 256 counts
-at most, and go to every task.
+A bucket holds all strings that end their context in the same three bytes,
+hence the whole trie below those; the counts of the lower orders, by two
+context bytes and a symbol, are a table of 2 ** 24 numbers at most whatever the
+corpus, and go to every task.
 
 A text is coded as its lower-cased words, joined by one space, and an end
 symbol; that is the event that the base score (words one by one) gives a
 probability to.
 
-Defined cases: a null or empty text is the end symbol alone; documents that
-repeat a row are learned and scored each; without any training document every
-symbol costs log10(256) and the base is that of an empty table.
+Defined cases: a null or empty text is the end symbol alone; a null id counts
+as the text None when the fold is drawn; documents that repeat a row are
+learned and scored each; without any training document every symbol costs
+log10(256) and the base is that of an empty table; a text of any length is
+whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import _batches as B
-from tallyloom.llm._shared import materialise
+from tallyloom.llm._shared import forget, materialise
 
 ORDER = 5
 START, END = 0xFE, 0xFF  # neither is a byte of UTF-8
@@ -110,8 +113,8 @@ def _widen(data: bytes, code: int) -> np.ndarray:
 
 
 def _place(keys: np.ndarray) -> np.ndarray:
-    """Even bucket keys for packed strings: by the last two context bytes."""
-    return B.mixed((keys >> _U8) & np.uint64(0xFFFF))
+    """Even bucket keys for packed strings: by the last three context bytes."""
+    return B.mixed((keys >> _U8) & np.uint64(0xFFFFFF))
 
 
 def _train(texts: list[list[bytes]], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +135,7 @@ def word_tally(tokens: list[list[bytes]], learn: np.ndarray) -> dict[bytes, int]
             out.update(own)
     for own, learned in zip(tokens, learn.tolist()):
         if not learned:
-            out.update(dict.fromkeys(set(own).difference(out), 0))
+            out.update(dict.fromkeys((w for w in set(own) if w not in out), 0))
     return out
 
 
@@ -158,12 +161,11 @@ def _send(buckets: int):
             if y > x:
                 data, code = _narrow(counts[x:y])
                 rows.append((batch, b, code, B.framed([B.pack_sorted(keys[x:y]), data])))
-        # Order 1, and through it order 0: counts of (context byte, symbol).
-        pair = (keys & np.uint64(0xFFFF)).astype(np.int64)
-        low = np.bincount(pair, weights=counts, minlength=1 << 16).astype(np.int64)
-        some = np.flatnonzero(low)
-        data, code = _narrow(low[some])
-        rows.append((batch, -1, code, B.framed([B.pack(some.astype(np.uint16)), data])))
+        # Order 2, and through it the lower ones: counts of (context, symbol).
+        some, at = np.unique((keys[counts > 0] & np.uint64(0xFFFFFF)).astype(np.uint32), return_inverse=True)
+        if len(some):
+            data, code = _narrow(np.bincount(at, weights=counts[counts > 0]).astype(np.int64))
+            rows.append((batch, -1, code, B.framed([B.pack_sorted(some), data])))
         words = word_tally(texts, learn)
         a, c = _word_keys(words)
         n = np.fromiter(words.values(), np.int64, len(words))
@@ -183,22 +185,27 @@ def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(groups, weights=values, minlength=n)
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """log10 probability of the last byte of each string after the others.
 
     ``keys``: distinct packed strings, sorted; ``counts`` their training counts
     (0: only asked for). They must hold every string of the training texts
-    that shares the last two context bytes with one of them. ``pairs``: the
-    training counts of (context byte, symbol), for orders 1 and 0.
+    that shares the last three context bytes with one of them. ``low``: the
+    strings of two context bytes and a symbol, sorted, and their training
+    counts, for the orders from 2 down.
     """
-    total = pairs.astype(np.float64)
+    total = np.bincount((low[0] & np.uint64(0xFFFF)).astype(np.int64), weights=low[1], minlength=1 << 16)
     out = np.zeros(len(keys))
     open_ = np.arange(len(keys))
     longer: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # contexts, and (context number, symbol) of the level above
     rows, count = keys[counts > 0], counts[counts > 0].astype(np.float64)
     for order in range(ORDER, -1, -1):
         mask = np.uint64((1 << (8 * (order + 1))) - 1)
-        if order == 1:
+        if order == 2:
+            # Those under the contexts that are asked for.
+            own = np.isin(low[0] >> _U8, np.unique((keys >> _U8) & np.uint64(0xFFFF)))
+            rows, count = low[0][own], low[1][own].astype(np.float64)
+        elif order == 1:
             some = np.flatnonzero(total)
             rows, count = some.astype(np.uint64), total[some]
         elif order == 0:
@@ -247,7 +254,7 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -
     return out
 
 
-def _answer(buckets: int, pairs):
+def _answer(buckets: int, low):
     def work(batches: list[int], codes: list[int], blocks: list[bytes], bucket: int):
         parts = [B.unframed(x) for x in blocks]
         first = [B.unpack_sorted(p[0]) for p in parts]
@@ -255,7 +262,7 @@ def _answer(buckets: int, pairs):
         if bucket < buckets:
             keys, at = np.unique(np.concatenate(first), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate(counts), minlength=len(keys))
-            values = log_probabilities(keys, total, pairs.value).astype(np.float32)[at]
+            values = log_probabilities(keys, total, low.value)[at]
             stats: list = []
         else:
             a, c = np.concatenate(first), np.concatenate([B.unpack(p[1], np.uint16) for p in parts])
@@ -291,13 +298,13 @@ def _score(buckets: int, end_count: int, n_train: int, n_distinct: int, kind: pa
         keys, _ = _tally(g for _, _, g, _ in parts)
         shift = np.uint64(64 - (buckets.bit_length() - 1))
         order = np.argsort((_place(keys) >> shift).astype(np.int64), kind="stable")
-        logs = np.empty(len(keys), np.float32)
-        got = [B.unpack(d, np.float32) for b, d in zip(number, data) if 0 <= b < buckets]
-        logs[order] = np.concatenate(got) if got else np.zeros(0, np.float32)
+        logs = np.empty(len(keys), np.float64)
+        got = [B.unpack(d, np.float64) for b, d in zip(number, data) if 0 <= b < buckets]
+        logs[order] = np.concatenate(got) if got else np.zeros(0, np.float64)
         value_set = pa.array(keys)
         score = np.zeros(len(texts))
         for a, b, g, sizes in parts:
-            each = logs[pc.index_in(pa.array(g), value_set=value_set).to_numpy()].astype(np.float64)
+            each = logs[pc.index_in(pa.array(g), value_set=value_set).to_numpy()]
             score[a:b] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
         words = dict.fromkeys(chain.from_iterable(texts))
         k, c = _word_keys(words)
@@ -332,13 +339,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     table, n = B.batch_table(named, ["doc_id"], each=8_000_000)
     buckets = B.bucket_count(n)
     sent = materialise(B.send(table, _send(buckets)), "ppm-sent")
-    pairs = np.zeros(1 << 16, np.int64)
-    for row in sent.filter("bucket = -1").mapInArrow(_pairs_of, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        pairs[row["pair"]] = row["n"]
-    shared = spark.sparkContext.broadcast(pairs)
+    found = sent.filter("bucket = -1").mapInArrow(_low_of, "low int, n long").groupBy("low").agg(F.sum("n").alias("n")).toArrow()  # 2 ** 24 rows at most
+    order = np.argsort(found.column("low").to_numpy())
+    low = (found.column("low").to_numpy()[order].astype(np.uint64), found.column("n").to_numpy()[order])
+    shared = spark.sparkContext.broadcast(low)
     answers = materialise(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_answer(buckets, shared), B.BLOCK), "ppm-answers")
     stats = answers.filter("batch = -1").mapInArrow(_stats_of, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
-    ends = int(pairs.reshape(256, 256)[:, END].sum())
+    forget(sent)
+    ends = int(low[1][low[0] & np.uint64(0xFF) == END].sum())
     n_train, n_distinct = (stats[0] or 0) + ends, (stats[1] or 0) + (ends > 0)
     kind = docs.schema[doc_id].dataType.simpleString()
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
@@ -346,11 +354,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return B.apply(table, answers.filter("batch >= 0"), _score(buckets, ends, n_train, n_distinct, arrow), schema)
 
 
-def _pairs_of(batches):
+def _low_of(batches):
     for t in batches:
         for code, data in zip(t.column("n").to_pylist(), t.column("data").to_pylist()):
-            pair, n = B.unframed(data)
-            yield pa.RecordBatch.from_arrays([pa.array(B.unpack(pair, np.uint16).astype(np.int32)), pa.array(_widen(n, code))], names=["pair", "n"])
+            low, n = B.unframed(data)
+            yield pa.RecordBatch.from_arrays([pa.array(B.unpack_sorted(low, np.uint32).astype(np.int32)), pa.array(_widen(n, code))], names=["low", "n"])
 
 
 def _stats_of(batches):
