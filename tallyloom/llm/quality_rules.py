@@ -2,12 +2,15 @@
 
 Every line is judged on its own: symbol noise, navigation, shouting, runs of
 one word, missing end punctuation and boilerplate phrases each fail a line.
-Failed lines are removed; a document that loses too large a share of its
-word characters is rejected, as is one that fails the whole-text base rules.
+Failed lines are removed and no other, so blank lines stay; a document that
+loses too large a share of its word characters is rejected, as is one that
+fails the whole-text base rules. Long lines needn't end in punctuation: prose
+that is wrapped ends its lines anywhere.
 
 Defined cases: a null or empty text has no words, fails the base rules and
-is not kept. Repeated rows are judged one by one. Other columns, whatever
-their names, pass through unchanged; working values live in one struct.
+is not kept. Repeated rows are judged one by one. Other columns pass
+through unchanged, and the struct with the report takes an underscore more
+where its name is taken; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import SPACE, let, words
+from tallyloom.llm._shared import SPACE, free, let, words
 
-#: Phrases of licence, cookie and page-furniture lines (fixed values).
+#: Phrases of licence, cookie and page-furniture lines, in English, German,
+#: French and Spanish (fixed values).
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -29,6 +33,28 @@ BOILERPLATE = (
     "enable javascript",
     "lorem ipsum",
     "subscribe to our",
+    "alle rechte vorbehalten",
+    "lizenziert unter",
+    "datenschutz",
+    "nutzungsbedingungen",
+    "impressum",
+    "javascript aktivieren",
+    "newsletter abonnieren",
+    "tous droits réservés",
+    "sous licence",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "mentions légales",
+    "activer javascript",
+    "abonnez-vous",
+    "todos los derechos reservados",
+    "bajo licencia",
+    "política de privacidad",
+    "términos de uso",
+    "condiciones de uso",
+    "aviso legal",
+    "activar javascript",
+    "suscríbete",
 )
 SYMBOLS = r"[#*$%&|<>]"
 #: End punctuation, closing quotes and brackets allowed after it.
@@ -48,20 +74,21 @@ def line_fails(
     phrase_chars: int = 200,
 ) -> Column:
     """True where a line that holds a word breaks a rule."""
-    low = F.lower(line)
-    phrases = F.lit(False)
-    for p in BOILERPLATE:
-        phrases = phrases | low.contains(p)
+    def phrase(low: Column) -> Column:
+        found = F.lit(False)
+        for p in BOILERPLATE:
+            found = found | low.contains(p)
+        return found
 
     def judged(ws: Column) -> Column:
         n = F.size(ws)
         return (
             (_count(line, SYMBOLS) > n * symbols_per_word)  # symbol noise, "a | b | c" menus
             | (_count(line, "!!") > n * symbols_per_word)
-            | ((n >= long_line) & (line == F.upper(line)) & (line != low))  # shouting
+            | ((n >= long_line) & (line == F.upper(line)) & (line != F.lower(line)))  # shouting
             | ((n >= long_line) & (F.size(F.array_distinct(ws)) < n * least_unique))
             | ((n <= short_line) & ~line.rlike(ENDS))  # menu entries, stray labels
-            | ((F.length(line) <= phrase_chars) & phrases)
+            | ((F.length(line) <= phrase_chars) & let(F.lower(line), phrase))
         )
 
     return let(words(line), judged)
@@ -111,17 +138,19 @@ def quality_report(
     n_space = _count(t, SPACE)
 
     def of_lines(ls: Column) -> Column:
-        good = F.filter(ls, lambda x: ~line_fails(x))
+        good = F.filter(ls, lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~line_fails(x))
+        worded = F.filter(ls, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return let(
-            good,
-            lambda g: F.struct(
-                (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-                (F.size(ls) - F.size(g)).cast("long").alias("n_failed_lines"),
-                F.array_join(g, "\n").alias("clean_text"),
+            F.struct(good.alias("g"), worded.alias("w")),
+            lambda x: F.struct(
+                (F.size(x["w"]) - F.size(F.array_distinct(x["w"]))).cast("long").alias("n_dup_lines"),
+                (F.size(ls) - F.size(x["g"])).cast("long").alias("n_failed_lines"),
+                # A text without failed lines stays as it is.
+                F.when(F.size(ls) == F.size(x["g"]), t).otherwise(F.array_join(x["g"], "\n")).alias("clean_text"),
             ),
         )
 
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.split(t, "\n")
     raw = let(
         words(t),
         lambda ws: F.struct(
@@ -148,11 +177,11 @@ def quality_report(
             r["l"]["clean_text"].alias("clean_text"),
         )
 
-    return docs.withColumn(name, let(raw, verdict))
+    return docs.withColumn(free(docs.columns, name), let(raw, verdict))
 
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents that pass, without their failed lines; columns as given."""
-    name = "__quality"
+    name = free(docs.columns, "__quality")
     out = quality_report(docs, text, name=name).filter(F.col(name)["kept"])
     return out.withColumn(text, F.col(name)["clean_text"]).drop(name)
