@@ -38,9 +38,10 @@ def test_quality_counts(docs):
 
 def test_quality_cleaning(spark):
     body = "\n".join("Line " + " ".join(f"word{k}{j}" for j in range(9)) + "." for k in range(9))
-    rows = [(1, body + "\nHome | About | Contact\nAll rights reserved.\nMENU"), (2, "\n".join(["A | b | c | d | e | f | g"] * 3 + ["REALLY BAD!! SHOUTING!! TEXT!! " * 8]))]
+    furniture = ["Alle Rechte vorbehalten, Muster GmbH und Partner.", "Tous droits réservés par la société du même nom.", "Todos los derechos reservados por la misma empresa."]
+    rows = [(1, body + "\nHome | About | Contact\nAll rights reserved.\nMENU\n" + "\n".join(furniture)), (3, body + "\n\n \n" + body.replace("word", "term") + "\n"), (2, "\n".join(["A | b | c | d | e | f | g"] * 3 + ["REALLY BAD!! SHOUTING!! TEXT!! " * 8]))]
     out = quality_rules.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.text) for r in out] == [(1, body)]
+    assert [(r.doc_id, r.text) for r in out] == [(1, body), (3, rows[1][1])]  # blank lines stay
 
 
 def test_empty_tables(spark):

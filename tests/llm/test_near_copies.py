@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from tallyloom.llm import near_copies
+from tallyloom.llm import simhash
 
 
 def _set(t):
@@ -30,7 +32,7 @@ def _brute(rows):
     return sorted((d, least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-def test_near_classes_against_all_pairs(spark, monkeypatch):
+def test_near_copies_against_all_pairs(spark):
     rnd = random.Random(11)
     voc = [f"w{k}" for k in range(500)]
     line, rows = [rnd.choice(voc) for _ in range(12)], []
@@ -52,11 +54,41 @@ def test_near_classes_against_all_pairs(spark, monkeypatch):
     rows += [(9000, None), (9001, " "), (9002, "a b"), (9003, "A  B"), (9004, "a b c")]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for often in (8, 1):
-        monkeypatch.setattr(near_copies, "_OFTEN", often)
-        got = near_copies.near_classes(df).collect()
-        assert sorted((r.doc_id, r.class_id) for r in got) == _brute(rows)
-    assert near_copies.near_classes(df.limit(0)).count() == 0
+    want = dict(_brute(rows))
+    got = {r.doc_id: r.class_id for r in simhash.near_copies(df).collect()}
+    # Verified links only, so no class spans two; few links are missed.
+    assert set(got) == set(want) and all(want[c] == want[d] for d, c in got.items())
+    assert sum(got[d] == want[d] for d in want) >= 0.95 * len(want)
+    first = simhash.first_of_each(df.withColumn("__sha", df.text)).collect()
+    assert sorted(r.doc_id for r in first) == sorted({c for c in got.values()}) and all(r["__sha"] == r.text for r in first)
+    assert simhash.near_copies(df.limit(0)).count() == 0 and simhash.first_of_each(df.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_differ_as_expected():
+    rnd = random.Random(2)
+    known, apart = simhash.Words(), []
+    for _ in range(200):
+        t = [f"w{rnd.randrange(100_000)}" for _ in range(200)]
+        u = list(t)
+        for p in range(0, 20, 5):
+            u[p * 10] = "other"
+        x, y = _set(" ".join(t)), _set(" ".join(u))
+        if len(x & y) >= 0.8 * len(x | y):
+            a, b = (simhash.wide_fingerprint(simhash.shingles(known, " ".join(w), 5)) for w in (t, u))
+            apart.append(int(simhash._apart(a, b)))
+    assert len(apart) > 100 and sum(d <= simhash.wide_radius(0.8) for d in apart) >= 0.97 * len(apart)
+
+
+def test_tiles_find_all_pairs_of_different_classes():
+    rnd = np.random.Generator(np.random.PCG64(1))
+    fp = rnd.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    fp = np.concatenate([fp, fp ^ (np.uint64(1) << rnd.integers(0, 63, (40, 4)).astype(np.uint64)), fp[:5]])
+    of = np.arange(len(fp)) % 7
+    for against in (None, 30):
+        x, y = simhash.cross_pairs(fp, of, 40, tile=16, against=against)
+        got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
+        want = {(a, b) for b in range(len(fp)) for a in range(b) if of[a] != of[b] and np.bitwise_count(fp[a] ^ fp[b]).sum() <= 40 and (against is None or a < against <= b)}
+        assert got == want
 
 
 def test_pipeline_stage_drops_near_copies(spark, tmp_path):
