@@ -106,14 +106,14 @@ def srt_students(spark: S, d: str) -> DataFrame:
     return valid(spark, d).select("candidate_id", "attempt_id", "effective_score").orderBy("candidate_id", "attempt_id")
 
 
-@query("srt_desc_stable", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 7")
+@query("srt_desc_stable", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type")
 def srt_desc_stable(spark: S, d: str) -> DataFrame:
-    return read(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type").limit(7)
+    return read(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type")
 
 
-@query("srt_null_order", BASE + "SELECT attempt_id, question_id, kind FROM answers ORDER BY kind NULLS FIRST, attempt_id, question_id LIMIT 50")
+@query("srt_null_order", BASE + "SELECT attempt_id, question_id, kind FROM answers ORDER BY kind NULLS FIRST, attempt_id, question_id")
 def srt_null_order(spark: S, d: str) -> DataFrame:
-    return R.answers(spark, d).select("attempt_id", "question_id", "kind").orderBy("kind", "attempt_id", "question_id").limit(50)
+    return R.answers(spark, d).select("attempt_id", "question_id", "kind").orderBy("kind", "attempt_id", "question_id")
 
 
 @query("srt_locale")
@@ -134,9 +134,9 @@ def set_union_array(spark: S, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(u, lambda x: x.cast("string")), ",").alias("u"))
 
 
-@query("str_readable", "SELECT doc_id, md5(rtrim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS h FROM documents WHERE lang = 'en'")
+@query("str_readable", "SELECT doc_id, md5(rtrim(lower(regexp_replace(text, '\\s+', ' ', 'g')))) AS h FROM documents")
 def str_readable(spark: S, d: str) -> DataFrame:
-    return read(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(text.readable(F.col("text"))).alias("h"))
+    return read(spark, d, "documents").select("doc_id", F.md5(text.readable(F.col("text"))).alias("h"))
 
 
 @query("str_compact", "SELECT conv_id, turn, md5(regexp_replace(text, '\\s+', '', 'g')) AS h FROM conversations")
@@ -200,15 +200,15 @@ def num_finite_range(spark: S, d: str) -> DataFrame:
     return R.answers(spark, d).select("attempt_id", "question_id", (~F.isnan(s) & s.between(0, F.col("weight"))).alias("ok"))
 
 
-@query("num_floor_ceil_clamp", "SELECT l_orderkey, l_linenumber, CAST(least(greatest(floor(l_extendedprice / 1000), 0), 40) AS BIGINT) AS bin, CAST(ceil(l_tax * 100) AS BIGINT) AS up FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("num_floor_ceil_clamp", "SELECT l_orderkey, l_linenumber, CAST(least(greatest(floor(l_extendedprice / 1000), 0), 40) AS BIGINT) AS bin, CAST(ceil(l_tax * 100) AS BIGINT) AS up FROM lineitem")
 def num_floor_ceil_clamp(spark: S, d: str) -> DataFrame:
     bin_ = F.least(F.greatest(F.floor(F.col("l_extendedprice") / 1000), F.lit(0)), F.lit(40))
-    return read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", bin_.alias("bin"), F.ceil(F.col("l_tax") * 100).alias("up"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", bin_.alias("bin"), F.ceil(F.col("l_tax") * 100).alias("up"))
 
 
-@query("num_round", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 AS v FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("num_round", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 AS v FROM lineitem")
 def num_round(spark: S, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("v"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("v"))
 
 
 @query("num_score_attempt", BASE + "SELECT attempt_id, count(*) AS possible, count(*) FILTER (answer IN ('A1', 'A3')) AS earned FROM answers GROUP BY 1")
@@ -234,10 +234,11 @@ def js_type(spark: S, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.schema_of_variant(F.try_parse_json("props")).startswith("OBJECT").alias("is_object"))
 
 
-@query("js_normalised_equal", "SELECT event_id, true AS same FROM events")
+@query("js_normalised_equal", "SELECT event_id, CAST(json(props) AS VARCHAR) IS NOT DISTINCT FROM CAST(json(CASE WHEN event_id % 3 = 0 THEN replace(props, '1', '2') ELSE replace(props, ':', ' : ') END) AS VARCHAR) AS same FROM events")
 def js_normalised_equal(spark: S, d: str) -> DataFrame:
-    norm = lambda c: F.to_json(F.from_json(c, "map<string,string>"))
-    return read(spark, d, "events").select("event_id", norm(F.col("props")).eqNullSafe(norm(F.replace("props", F.lit(":"), F.lit(" : ")))).alias("same"))
+    norm = lambda c: F.to_json(F.try_parse_json(c))
+    other = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit("1"), F.lit("2"))).otherwise(F.replace("props", F.lit(":"), F.lit(" : ")))
+    return read(spark, d, "events").select("event_id", norm(F.col("props")).eqNullSafe(norm(other)).alias("same"))
 
 
 @query("js_score_info", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.total') AS BIGINT), CAST(json_extract_string(props, '$.totalQuestions') AS BIGINT), 0) AS total FROM events")
