@@ -21,7 +21,8 @@ run inside (source, bucket) only.
 
 Defined cases: a null text or one without words has size 0, takes 0 and sits
 at its neighbours' position; a null source is a source of its own, the last;
-an empty table gives an empty result; repeated rows count as documents.
+an empty table gives an empty result; repeated rows count as documents; a new
+column whose name the table has gets an underscore.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import SPACE
+from tallyloom.llm._shared import SPACE, free
 
 
-def with_sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digits: int = 2) -> DataFrame:
-    """``docs`` with a struct ``__m``: size in words, order key and bucket."""
-    n = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE + "+"), "")).cast("long")
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return docs.withColumn("__m", F.struct(n.alias("size"), key.alias("key"), F.substring(key, 1, digits).alias("bucket")))
+def with_sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digits: int = 2, name: str = "__m") -> DataFrame:
+    """``docs`` with a struct ``name``: size in words, order key and bucket."""
+    n = F.size(F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACE + "+"), "")).cast("long")
+    key = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
+    return docs.withColumn(name, F.struct(n.alias("size"), key.alias("key"), F.substring(key, 1, digits).alias("bucket")))
 
 
 def source_targets(
@@ -82,31 +83,35 @@ def mix(
     budget: float = 1.5,
     most_repeats: float = 2.0,
     docs_a_bucket: int = 20_000,
+    name: str = "mix",
 ) -> DataFrame:
-    """``docs`` with a struct ``mix``: size, source_size, target, start, taken, slope."""
+    """``docs`` with a struct ``name``: size, source_size, target, start, taken, slope."""
     n = docs.count()
     digits = max(2, math.ceil(math.log(max(1, n / docs_a_bucket), 16)))
-    sized = with_sizes(docs, text, doc_id, digits).withColumn("__s", F.col(source))
-    buckets = sized.groupBy(F.col("__s").alias("source"), F.col("__m.bucket").alias("bucket")).agg(F.sum("__m.size").alias("n"))
+    name = free(docs.columns, name)
+    # Working columns, named as none of the table's is.
+    m, src, key, none, bucket, own, begin = (free([*docs.columns, name], f"__{x}") for x in ("m", "source", "key", "none", "bucket", "own", "begin"))
+    sized = with_sizes(docs, text, doc_id, digits, m).withColumn(src, F.col(f"`{source}`"))
+    buckets = sized.groupBy(F.col(src).alias("source"), F.col(f"{m}.bucket").alias("bucket")).agg(F.sum(f"{m}.size").alias("n"))
     totals = source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, slopes, budget, most_repeats)
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         buckets.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .alias("b")
         .join(totals.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-        .select(F.coalesce(F.col("b.source"), F.lit("")).alias("__k"), F.col("b.source").isNull().alias("__n"), F.col("bucket").alias("__b"), F.struct("offset", "source_size", "target", "slope").alias("__o"))
+        .select(F.coalesce(F.col("b.source"), F.lit("")).alias(key), F.col("b.source").isNull().alias(none), F.col("bucket").alias(bucket), F.struct("offset", "source_size", "target", "slope").alias(own))
     )
-    keyed = sized.withColumns({"__k": F.coalesce("__s", F.lit("")), "__n": F.col("__s").isNull(), "__b": F.col("__m.bucket")})
-    inside = W.partitionBy("__k", "__n", "__b").orderBy("__m.key", F.col(doc_id), "__m.size").rowsBetween(W.unboundedPreceding, -1)
-    run = keyed.withColumn("__start", F.coalesce(F.sum("__m.size").over(inside), F.lit(0)))
-    whole, size, total = F.floor("__o.target"), F.col("__m.size"), F.col("__o.source_size")
-    start = F.col("__o.offset") + F.col("__start")
+    keyed = sized.withColumns({key: F.coalesce(src, F.lit("")), none: F.col(src).isNull(), bucket: F.col(f"{m}.bucket")})
+    inside = W.partitionBy(key, none, bucket).orderBy(f"{m}.key", F.col(f"`{doc_id}`"), f"{m}.size").rowsBetween(W.unboundedPreceding, -1)
+    run = keyed.withColumn(begin, F.coalesce(F.sum(f"{m}.size").over(inside), F.lit(0)))
+    whole, size, total = F.floor(f"{own}.target"), F.col(f"{m}.size"), F.col(f"{own}.source_size")
+    start = F.col(f"{own}.offset") + F.col(begin)
     # Full passes over the source, then the pass that the target cuts.
     passes = F.when(total > 0, F.floor(whole / total)).otherwise(0)
     rest = F.when(total > 0, whole - passes * total).otherwise(0)
     taken = passes * size + F.least(F.greatest(rest - start, F.lit(0)), size)
-    fields = F.struct(size.alias("size"), total.alias("source_size"), F.col("__o.target").alias("target"), start.alias("start"), taken.cast("long").alias("taken"), F.col("__o.slope").alias("slope"))
-    return run.join(offsets, ["__k", "__n", "__b"]).withColumn("mix", fields).drop("__k", "__n", "__b", "__m", "__s", "__o", "__start")
+    fields = F.struct(size.alias("size"), total.alias("source_size"), F.col(f"{own}.target").alias("target"), start.alias("start"), taken.cast("long").alias("taken"), F.col(f"{own}.slope").alias("slope"))
+    return run.join(offsets, [key, none, bucket]).withColumn(name, fields).drop(m, src, key, none, bucket, own, begin)
 
 
 def position(consumed, target, slope):
@@ -123,10 +128,13 @@ def curriculum(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     size only for the one document of each source that the target cuts) and
     ``position``. Sorted by ranges of position.
     """
-    m = mix(docs, doc_id=doc_id, **how).filter(F.col("mix.taken") > 0)
-    passes = F.ceil(F.col("mix.taken") / F.col("mix.size"))
-    m = m.withColumn("epoch", F.explode(F.sequence(F.lit(0), (passes - 1).cast("int"))))
-    at = F.col("mix.start") + F.col("epoch") * F.col("mix.source_size")
-    taken = F.least(F.col("mix.size"), F.col("mix.taken") - F.col("epoch") * F.col("mix.size"))
-    m = m.withColumn("taken", taken).withColumn("position", position(at, F.col("mix.target"), F.col("mix.slope"))).drop("mix")
-    return m.orderBy("position", doc_id, "epoch")
+    name = free(docs.columns, "__mix")
+    epoch, taken, place = (free([*docs.columns, name], x) for x in ("epoch", "taken", "position"))
+    of = lambda c: F.col(f"{name}.{c}")
+    m = mix(docs, doc_id=doc_id, name=name, **how).filter(of("taken") > 0)
+    passes = F.ceil(of("taken") / of("size"))
+    m = m.withColumn(epoch, F.explode(F.sequence(F.lit(0), (passes - 1).cast("int"))))
+    at = of("start") + F.col(epoch) * of("source_size")
+    words = F.least(of("size"), of("taken") - F.col(epoch) * of("size"))
+    m = m.withColumn(taken, words).withColumn(place, position(at, of("target"), of("slope"))).drop(name)
+    return m.orderBy(place, F.col(f"`{doc_id}`"), epoch)

@@ -7,6 +7,9 @@ is a valid neighbour of the last token of the prefix before it, and
 
     count(prefix) = count(prefix without its last token) + 1.
 
+Chunks with characters that the Unicode tables here don't know go to the
+library itself, as its tables may be newer.
+
 With word-end symbols a prefix has two states: followed by more of the word
 (open), or cut there (closed, its last symbol is the word-end form). Both are
 kept, so a text truncated anywhere is answered without encoding it again.
@@ -37,6 +40,15 @@ NEVER = float("inf")
 SEPARATORS = regex.compile("[\x1c-\x1f]").search
 
 
+UNASSIGNED = regex.compile(r"\p{Cn}").search
+
+
+def strange(chunk: str) -> bool:
+    """Whether a chunk holds a character that one of the Unicode tables at
+    hand doesn't know: newer tables may class, fold or compose it."""
+    return not chunk.isascii() and (UNASSIGNED(chunk) is not None or any(unicodedata.category(c) == "Cn" for c in chunk))
+
+
 class PrefixCounter:
     """Prefix token counts under one byte-pair vocabulary with word ends."""
 
@@ -58,6 +70,7 @@ class PrefixCounter:
         self.most_words = most_words
         self.joins: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple | None] = {}
+        self.path, self.library = path, None
 
     def _symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -187,10 +200,20 @@ class PrefixCounter:
                     new[c] = self.pieces(c)
         self.learn([w for w in set().union(*new.values()) if w is not None and w not in self.known])
         for c, ws in new.items():
-            self.counts[c] = sum(1 if w is None else self.known[w] for w in ws)
+            self.counts[c] = self.by_library(c) if strange(c) else sum(1 if w is None else self.known[w] for w in ws)
         get = self.counts.__getitem__
         return [sum(map(get, p)) for p in split]
 
+    def by_library(self, chunk: str) -> int:
+        """The tokenizer library's own count."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return len(self.library.encode(chunk, add_special_tokens=False).ids)
+
     def prefix_table(self, text: str) -> list[int]:
         """Cumulative token counts at the end of each word of a text."""
         self.count_batch([text])
@@ -233,7 +256,8 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text.
 
     ``path`` names the vocabulary file on every machine. Null and empty texts
-    have 0 bytes and 0 tokens; repeated rows are counted one by one.
+    have 0 bytes and 0 tokens; rows are counted one by one, whatever their id,
+    null or repeated; other columns are not read; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

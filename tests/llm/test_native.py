@@ -127,6 +127,8 @@ def test_mixing(docs):
             target[s] = 2.0 * sizes[s]
         left -= sum(2 * sizes[s] for s in over)
         free = {s: w for s, w in free.items() if s not in over}
+    clash = mixing.mix(df.withColumn("__m", F.lit("own")), docs_a_bucket=5)
+    assert clash.columns == [*df.columns, "__m", "mix_"] and clash.filter("__m = 'own' AND mix_.size >= 0").count() == len(rows)
     out = mixing.mix(df.drop("mix"), docs_a_bucket=5).collect()
     assert len(out) == len(rows)
     taken = {}
@@ -134,6 +136,8 @@ def test_mixing(docs):
         assert abs(r.mix.target - target[r.source]) < 1e-6 and 0 <= r.mix.taken <= 2 * r.mix.size
         taken[r.source] = taken.get(r.source, 0) + r.mix.taken
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    named = mixing.curriculum(df.withColumns({"taken": F.lit("t"), "Position": F.lit("p")}), docs_a_bucket=5)
+    assert named.columns == [*df.columns, "taken", "Position", "epoch", "taken_", "position_"] and named.filter("taken = 't' AND taken_ > 0").count() > 0
     seq = mixing.curriculum(df.drop("mix"), docs_a_bucket=5).collect()
     assert sum(r.taken for r in seq) == sum(taken.values()) and [r.position for r in seq] == sorted(r.position for r in seq)
     assert all(0 <= r.position <= 1 for r in seq)

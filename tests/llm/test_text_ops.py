@@ -165,6 +165,10 @@ def test_token_counts(spark):
     texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30))) for _ in range(1500)] + ["<|endoftext|> x<|startoftext|>", "internationalization's", "long word" * 500]
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     assert counter.count_batch(texts) == want
+    # Any characters, known to the tables here or not.
+    drawn = lambda: chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(128, 0xD800), rnd.randrange(0xE000, 0x32000), rnd.randrange(0xE000, 0x110000)]))
+    odd = ["".join(drawn() for _ in range(rnd.randint(1, 12))) for _ in range(20_000)]
+    assert counter.count_batch(odd) == [len(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
     for w in ("internationalization", "thethethe", "straße"):
         raw = w.encode()
         assert counter.prefix_counts(w)[len(raw) - 1] == len(library.encode(w, add_special_tokens=False).ids)
@@ -174,3 +178,6 @@ def test_token_counts(spark):
     assert table[-1] == len(library.encode("the cat's hat, 42", add_special_tokens=False).ids) and token_counts.words_within(table, table[2]) == 3
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a " * 3000, 0), (3, "a " * 3000, 0)], "doc_id long, text string, n_tokens int")
     assert sorted(tuple(r) for r in token_counts.token_counts(df, path).collect()) == [(1, 0, 0, False), (2, 0, 0, False), (3, 6000, 3000, True), (3, 6000, 3000, True)]
+    assert token_counts.token_counts(df.limit(0), path).collect() == []
+    nameless = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
+    assert [tuple(r) for r in token_counts.token_counts(nameless, path).collect()] == [(None, 3, 2, False)]
