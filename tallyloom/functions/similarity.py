@@ -120,12 +120,20 @@ def lcp_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def lcp(x: str | None, y: str | None) -> int:
         p, q = (x or "").encode(), (y or "").encode()
-        n = min(len(p), len(q))
-        return next((i for i in range(n) if p[i] != q[i]), n)
+        low, high = 0, min(len(p), len(q))
+        while low < high:  # the longest prefix that agrees, by halves
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if p[low:middle] == q[low:middle] else (low, middle - 1)
+        return low
 
     return pd.Series([lcp(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+@F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+def fuzzy_udf(needles: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if a is None or b is None else fuzzy_find(a, b) for a, b in zip(needles, texts)], columns=["at", "score"]).astype({"at": "Int32"})
+
+
 @F.pandas_udf(T.StringType())
 def utf16_slice_udf(t: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else utf16_slice(x, int(i), int(j)) for x, i, j in zip(t, a, b)])

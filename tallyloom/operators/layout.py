@@ -6,12 +6,17 @@ one serial step and pages run side by side.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import range_numbers
+
 PAGE = ["doc", "page"]
 
 
@@ -43,88 +48,142 @@ def overlap(a0: float, a1: float, b0: float, b1: float) -> float:
     return max(0.0, min(a1, b1) - max(a0, b0)) / max(0.01, min(a1 - a0, b1 - b0))
 
 
+def _pieces(line: list[dict]) -> list[list[dict]]:
+    """A line cut at gaps that are wide for its font and for its other gaps."""
+    gaps = [max(b["x"] - a["x"] - a["width"], 0.0) for a, b in zip(line, line[1:])]
+    wide = max(2.4 * upper_median([g["font_size"] for g in line], 10.0), 3.5 * upper_median([g for g in gaps if g > 0]), 12.0)
+    out = [[line[0]]]
+    for g, gap in zip(line[1:], gaps):
+        if gap > wide:
+            out.append([])
+        out[-1].append(g)
+    return out
+
+
+def lines_of_page(rows: list[dict]) -> list[dict]:
+    """Lines of one page's glyphs, from top to bottom and left to right."""
+    rows = sorted(rows, key=lambda r: (r["baseline"], r["x"], r["source_order"]))
+    middle = upper_median([r["font_size"] for r in rows], 10.0)
+    lines: list[list[dict]] = []
+    sums: list[float] = []  # of the baselines of each line
+    for g in rows:
+        best, near = -1, min(max(0.22 * max(g["font_size"], middle), 0.8), 4.5)
+        for n, line in enumerate(lines):
+            last, away = line[-1], abs(sums[n] / len(line) - g["baseline"])
+            if away > near or (best >= 0 and away == near) or abs(last["angle"] - g["angle"]) >= 0.18:
+                continue
+            if overlap(last["y"], last["y"] + last["height"], g["y"], g["y"] + g["height"]) >= 0.35:
+                best, near = n, away
+        if best < 0:
+            lines.append([g])
+            sums.append(g["baseline"])
+        else:
+            lines[best].append(g)
+            sums[best] += g["baseline"]
+    pieces = [p for line in lines for p in _pieces(sorted(line, key=lambda x: (x["x"], x["source_order"])))]
+    out = []
+    for line in sorted(pieces, key=lambda l: (min(x["y"] for x in l), l[0]["x"])):
+        gaps = [b["x"] - a["x"] - a["width"] for a, b in zip(line, line[1:])]
+        usual = upper_median([g for g in gaps if g > 0])
+        text = line[0]["text"] + "".join((" " if gap > max(0.28 * g["font_size"], 1.75 * usual, 1.0) else "") + g["text"] for g, gap in zip(line[1:], gaps))
+        x, y = line[0]["x"], min(g["y"] for g in line)
+        out.append({"line": len(out), "text": text, "x": x, "y": y, "width": max(g["x"] + g["width"] for g in line) - x, "height": max(g["y"] + g["height"] for g in line) - y})
+    return out
+
+
+def overlap_column(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+    """The same over columns."""
+    return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0)) / F.greatest(F.lit(0.01), F.least(a1 - a0, b1 - b0))
+
+
 def glyph_lines(glyphs: DataFrame) -> DataFrame:
     """Glyphs to lines: each joins the line of nearest mean baseline within a
-    tolerance that follows the font, with vertical overlap and a like angle;
-    a wide gap puts a space."""
+    tolerance that follows the font, if it overlaps that line's last glyph and
+    has its angle. Wide gaps cut a line, others put a space."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["baseline", "x", "source_order"]).to_dict("records")
-        middle = upper_median([r["font_size"] for r in rows], 1.0)
-        lines: list[list[dict]] = []
-        for g in rows:
-            limit = min(max(0.22 * max(g["font_size"], middle), 0.8), 4.5)
-            best, near = None, limit
-            for line in lines:
-                base = sum(x["baseline"] for x in line) / len(line)
-                if abs(base - g["baseline"]) > near or abs(line[0]["angle"] - g["angle"]) >= 0.18:
-                    continue
-                top, bottom = min(x["y"] for x in line), max(x["y"] + x["height"] for x in line)
-                if overlap(top, bottom, g["y"], g["y"] + g["height"]) >= 0.35:
-                    best, near = line, abs(base - g["baseline"])
-            if best is None:
-                lines.append([g])
-            else:
-                best.append(g)
-        out = []
-        for line in sorted(lines, key=lambda l: (min(x["y"] for x in l), min(x["x"] for x in l))):
-            line.sort(key=lambda x: (x["x"], x["source_order"]))
-            gaps = [b["x"] - a["x"] - a["width"] for a, b in zip(line, line[1:])]
-            usual = upper_median([g for g in gaps if g > 0])
-            text = line[0]["text"]
-            for a, b, gap in zip(line, line[1:], gaps):
-                text += (" " if gap > max(0.28 * b["font_size"], 1.75 * usual, 1.0) else "") + b["text"]
-            x, y = min(g["x"] for g in line), min(g["y"] for g in line)
-            out.append({"doc": line[0]["doc"], "page": line[0]["page"], "line": len(out), "text": text, "x": x, "y": y, "width": max(g["x"] + g["width"] for g in line) - x, "height": max(g["y"] + g["height"] for g in line) - y})
-        return pd.DataFrame(out)
+        return pd.DataFrame(lines_of_page(pdf.to_dict("records"))).assign(doc=pdf["doc"].iloc[0], page=pdf["page"].iloc[0])
 
     return glyphs.groupBy(*PAGE).applyInPandas(run, "doc string, page int, line int, text string, x double, y double, width double, height double")
 
 
+def full_width(x: Column, width: Column, page_width: float) -> Column:
+    """Lines that run over the columns of a page."""
+    return (width >= 0.72 * page_width) | ((x <= 0.08 * page_width) & (x + width >= 0.92 * page_width))
+
+
+def gutters_of_page(boxes: list[tuple[float, float, float, float]], page_width: float) -> list[tuple[float, float]]:
+    """Gaps (left, right) between columns, from (x, y, width, height) of a
+    page's lines: stretches that at most one line crosses, wide enough, with
+    text on both sides at the same height."""
+    wide = lambda b: b[2] >= 0.72 * page_width or (b[0] <= 0.08 * page_width and b[0] + b[2] >= 0.92 * page_width)
+    body = [b for b in boxes if not wide(b)]
+    if len(body) < 4:
+        return []
+    bins = min(max(math.ceil(page_width / 4), 32), 512)
+    step = page_width / bins
+    count = [0] * (bins + 1)
+    for x, _, w, _ in body:
+        first, stop = max(0, math.floor(x / step)), min(bins, math.ceil((x + w) / step))
+        if first < stop:
+            count[first] += 1
+            count[stop] -= 1
+    busy, out, start = 0, [], None
+    for n in range(bins + 1):
+        busy += count[n]
+        if n < bins and busy <= 1:
+            start = n if start is None else start
+            continue
+        if start is not None:
+            left, right = start * step, n * step
+            west, east = [b for b in body if b[0] + b[2] <= left + 2], [b for b in body if b[0] >= right - 2]
+            level = any(p[1] <= q[1] + q[3] + 1.5 * max(p[3], q[3]) and q[1] <= p[1] + p[3] + 1.5 * max(p[3], q[3]) for p in west for q in east)
+            if right - left >= 0.035 * page_width and level:
+                out.append((left, right))
+        start = None
+    return out
+
+
 def gutters(lines: DataFrame, page_width: float) -> DataFrame:
-    """Vertical gaps between columns of text: stretches of a page's width that
-    at most one line crosses, wide enough, with text on both sides."""
+    """The gaps between columns of each page."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins = int(min(max(page_width / 4, 32), 512))
-        count = [0] * bins
-        for x, w in zip(pdf["x"], pdf["width"]):
-            for b in range(max(0, int(x / page_width * bins)), min(bins, int((x + w) / page_width * bins) + 1)):
-                count[b] += 1
-        out, start = [], None
-        for b in range(bins + 1):
-            if b < bins and count[b] <= 1:
-                start = b if start is None else start
-                continue
-            if start is not None:
-                left, right = start * page_width / bins, b * page_width / bins
-                beside = (pdf["x"] + pdf["width"] <= left).any() and (pdf["x"] >= right - page_width / bins).any()
-                if right - left >= 0.035 * page_width and beside and start > 0 and b < bins:
-                    out.append({"doc": pdf["doc"].iloc[0], "page": pdf["page"].iloc[0], "left": left, "right": right})
-            start = None
-        return pd.DataFrame(out, columns=["doc", "page", "left", "right"])
+        found = gutters_of_page(list(zip(pdf["x"], pdf["y"], pdf["width"], pdf["height"])), page_width)
+        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "page": pdf["page"].iloc[0], "left": [a for a, _ in found], "right": [b for _, b in found]}, columns=["doc", "page", "left", "right"])
 
     return lines.groupBy(*PAGE).applyInPandas(run, "doc string, page int, left double, right double")
 
 
-def columns_of(lines: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Lines with the number of gutters left of their middle."""
-    g = gaps.groupBy(*PAGE).agg(F.collect_list(((F.col("left") + F.col("right")) / 2)).alias("_g"))
+def columns_of(lines: DataFrame, gaps: DataFrame, page_width: float) -> DataFrame:
+    """Lines with their column: the gutters left of their middle; a line whose
+    middle lies in a gutter belongs right of it unless it begins before it; a
+    line over the whole width has no column."""
+    g = gaps.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("_g"))
     middle = F.col("x") + F.col("width") / 2
-    n = F.when(F.col("_g").isNull(), 0).otherwise(F.size(F.filter("_g", lambda v: v < middle)))
+    passed = F.filter("_g", lambda v: (middle > v["right"]) | ((middle >= v["left"]) & (F.col("x") >= v["left"])))
+    n = F.when(full_width(F.col("x"), F.col("width"), page_width), None).when(F.col("_g").isNull(), 0).otherwise(F.size(passed))
     return lines.join(g, PAGE, "left").withColumn("column", n).drop("_g")
 
 
-def region_kind(text: Column, y: Column, height: Column, page_height: float) -> Column:
+def region_kind(text: Column, y: Column, font: Column, page_height: float, title_words: str = "reading passage", header_words: str | None = None) -> Column:
+    """title, header, page_number or text, the first that holds."""
+    low, letters = F.lower(text), F.regexp_count(text, F.lit("[A-Za-z]"))
     return (
-        F.when(text.rlike(r"^\s*\d{1,4}\s*$") & ((y < 0.08 * page_height) | (y > 0.92 * page_height)), "page_number")
-        .when(y + height < 0.06 * page_height, "header")
-        .when(y > 0.94 * page_height, "footer")
-        .when((F.length(text) <= 60) & (text == F.upper(text)) & text.rlike(r"\p{Lu}"), "title")
+        F.when(((F.upper(text) == text) & (letters >= 4)) | (font > 14) | low.contains(title_words), "title")
+        .when((y < 50) & (low.contains(header_words) if header_words else F.lit(False)), "header")
+        .when((y > 0.86 * page_height) & text.rlike(r"^[0-9\s]*$"), "page_number")
         .otherwise("text")
     )
 
 
+def box_union(a: str, b: str) -> Column:
+    """The box around two (x, y, width, height) structs."""
+    x, y = F.least(f"{a}.x", f"{b}.x"), F.least(f"{a}.y", f"{b}.y")
+    right = F.greatest(F.col(f"{a}.x") + F.col(f"{a}.width"), F.col(f"{b}.x") + F.col(f"{b}.width"))
+    bottom = F.greatest(F.col(f"{a}.y") + F.col(f"{a}.height"), F.col(f"{b}.y") + F.col(f"{b}.height"))
+    return F.struct(x.alias("x"), y.alias("y"), (right - x).alias("width"), (bottom - y).alias("height"))
+
+
 def running_clusters(rows: DataFrame, key: list[str], value: str, tolerance: float, anchor: str = "mean") -> DataFrame:
     """1-D clusters in order: a value joins the last cluster if it is within
     ``tolerance`` of its running mean, or of its first member."""
@@ -132,18 +191,121 @@ def running_clusters(rows: DataFrame, key: list[str], value: str, tolerance: flo
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(value, kind="stable")
-        out, cluster, members = [], -1, []
-        for v in pdf[value]:
-            at = (sum(members) / len(members) if anchor == "mean" else members[0]) if members else None
-            if at is None or abs(v - at) > tolerance:
-                cluster, members = cluster + 1, []
-            members.append(v)
-            out.append(cluster)
-        return pdf.assign(cluster=out)
+        return pdf.assign(cluster=cluster_numbers(pdf[value].tolist(), tolerance, anchor))
 
     return rows.groupBy(*key).applyInPandas(run, kinds + ", cluster int")
 
 
+def cluster_numbers(values: list[float], tolerance: float, anchor: str = "mean") -> list[int]:
+    """The cluster of each of sorted values."""
+    out, cluster, total, size, first = [], -1, 0.0, 0, 0.0
+    for v in values:
+        if not size or abs(v - (total / size if anchor == "mean" else first)) > tolerance:
+            cluster, total, size, first = cluster + 1, 0.0, 0, v
+        total, size = total + v, size + 1
+        out.append(cluster)
+    return out
+
+
+def means(values: list[float], tolerance: float) -> list[float]:
+    """Mean of each cluster of values."""
+    values = sorted(values)
+    groups: dict[int, list[float]] = {}
+    for n, v in zip(cluster_numbers(values, tolerance), values):
+        groups.setdefault(n, []).append(v)
+    return [sum(g) / len(g) for g in groups.values()]
+
+
+def ruled_grid(paths: list[tuple[float, float, float, float]], page_width: float, page_height: float) -> tuple[list[float], list[float], float] | None:
+    """(column edges, row edges, confidence) of the table that ruling lines
+    and rectangles, as (x, y, width, height), draw on a page."""
+    xs = [x + w / 2 for x, _, w, h in paths if w <= 2.6 and h >= 12]
+    ys = [y + h / 2 for _, y, w, h in paths if h <= 2.6 and w >= 12]
+    for x, y, w, h in paths:
+        if 12 <= w <= page_width and 12 <= h <= page_height:
+            xs += [x, x + w]
+            ys += [y, y + h]
+    xs, ys = means(xs, 3.0), means(ys, 3.0)
+    if len(xs) < 2 or len(ys) < 2 or len(xs) * len(ys) > 400:
+        return None
+    inside = sum(x >= xs[0] - 4 and x + w <= xs[-1] + 4 and y >= ys[0] - 4 and y + h <= ys[-1] + 4 for x, y, w, h in paths)
+    return xs, ys, 0.94 if inside >= len(xs) + len(ys) else 0.72
+
+
+def aligned_grid(lines: list[tuple[float, float, float, float]], page_width: float) -> tuple[list[float], list[float], float] | None:
+    """The same from lines of text alone: three rows or more of two pieces or
+    more whose beginnings stand in two to eight columns."""
+    rows = sorted((y + h / 2, x) for x, y, _, h in lines)
+    groups: dict[int, list[tuple[float, float]]] = {}
+    for n, r in zip(cluster_numbers([m for m, _ in rows], 8.0, "first"), rows):
+        groups.setdefault(n, []).append(r)
+    full = [g for g in groups.values() if len(g) >= 2]
+    if len(full) < 3:
+        return None
+    xs = means([x for g in full for _, x in g], 18.0)
+    if not 2 <= len(xs) <= 8:
+        return None
+    right = min(xs[-1] + page_width / len(xs), page_width)
+    if not 0.2 * page_width <= right - max(xs[0], 0.0) <= 0.95 * page_width:
+        return None
+    return sorted([*xs, right]), [sum(m for m, _ in g) / len(g) for g in full], 0.58
+
+
+def page_tables(paths: DataFrame, lines: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """The table of each page: by ruling lines, else, on pages without any
+    drawing, by aligned text."""
+
+    def run(key: tuple, drawn: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        boxes = [list(zip(p["x"], p["y"], p["width"], p["height"])) for p in (drawn, text)]
+        how, grid = "ruling_lines", ruled_grid(boxes[0], page_width, page_height)
+        if grid is None and not boxes[0]:
+            how, grid = "text_alignment", aligned_grid(boxes[1], page_width)
+        rows = [] if grid is None else [{"doc": key[0], "page": key[1], "how": how, "columns": len(grid[0]) - 1, "rows": len(grid[1]) - 1, "xs": grid[0], "ys": grid[1], "confidence": grid[2]}]
+        return pd.DataFrame(rows, columns=["doc", "page", "how", "columns", "rows", "xs", "ys", "confidence"])
+
+    schema = "doc string, page int, how string, columns int, rows int, xs array<double>, ys array<double>, confidence double"
+    return paths.groupBy(*PAGE).cogroup(lines.groupBy(*PAGE)).applyInPandas(run, schema)
+
+
+def task_zones(lines: DataFrame) -> DataFrame:
+    """Task groups of documents given as lines (doc, seq, text): a line of
+    question numbers begins a zone, numbered lines are its stems and lettered
+    ones its options. A zone is closed if every number it declares has a stem."""
+    t, by = F.col("text"), W.partitionBy("doc").orderBy("seq")
+    declared = t.rlike(r"^(?i)questions? \d")
+    stem = F.try_to_number(F.nullif(F.regexp_extract(t, r"^\s*(\d{1,2})[.)]\s", 1), F.lit("")), F.lit("99")).cast("int")
+    zone = F.sum(declared.cast("long")).over(by.rowsBetween(W.unboundedPreceding, 0))
+    z = lines.select("doc", zone.alias("zone"), F.when(declared, range_numbers(t, high=999)).alias("range"), F.when(~declared, stem).alias("stem"), (~declared & t.rlike(r"^\s*[A-H][.)]\s")).alias("option"))
+    g = z.filter("zone > 0").groupBy("doc", "zone").agg(F.min("range.first").alias("first"), F.min("range.last").alias("last"), F.collect_set("stem").alias("numbers"), F.count(F.when(F.col("option"), 1)).alias("options"))
+    return g.select("doc", "zone", "first", "last", F.size("numbers").alias("stems"), "options", (F.size(F.array_except(F.sequence("first", "last"), "numbers")) == 0).alias("closed"))
+
+
+def enriched(glyphs: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Pages from glyphs to lines with their column, whether a table of
+    aligned text holds them, and their place in reading order: lines over the
+    whole width cut the page, between them column after column."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = lines_of_page(pdf.to_dict("records"))
+        boxes = [(l["x"], l["y"], l["width"], l["height"]) for l in lines]
+        gaps, grid = gutters_of_page(boxes, page_width), aligned_grid(boxes, page_width)
+        for l, (x, y, w, h) in zip(lines, boxes):
+            wide = w >= 0.72 * page_width or (x <= 0.08 * page_width and x + w >= 0.92 * page_width)
+            middle = x + w / 2
+            l["column"] = None if wide else sum(middle > b or (middle >= a and x >= a) for a, b in gaps)
+            l["in_table"] = grid is not None and grid[0][0] <= middle <= grid[0][-1] and grid[1][0] - 8 <= y + h / 2 <= grid[1][-1] + 8
+        cuts = sorted(l["y"] for l in lines if l["column"] is None)
+        place = lambda l: (bisect.bisect_left(cuts, l["y"]), l["column"] is not None, l["column"] or 0, l["y"], l["x"])
+        # A line over the whole width comes right after what is above it.
+        order = sorted(range(len(lines)), key=lambda n: place(lines[n]) if lines[n]["column"] is not None else (bisect.bisect_left(cuts, lines[n]["y"]), 2, 0, lines[n]["y"], lines[n]["x"]))
+        for position, n in enumerate(order):
+            lines[n]["position"] = position
+        out = pd.DataFrame(lines).assign(doc=pdf["doc"].iloc[0], page=pdf["page"].iloc[0])
+        return out.astype({"column": "Int32"})[["doc", "page", "line", "text", "column", "in_table", "position"]]
+
+    return glyphs.groupBy(*PAGE).applyInPandas(run, "doc string, page int, line int, text string, column int, in_table boolean, position int")
+
+
 def claim_tokens(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one match of recognised to native tokens of a page: in
     input order each takes its best free partner with an IoU of 0.55."""

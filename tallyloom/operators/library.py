@@ -74,8 +74,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_old: list[str] =
     return j.select(*[F.coalesce(k, f"_{k}").alias(k) for k in key], *map(value, names))
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old, key, "left_anti"))
+def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
+    """Rows of both; of a key that is there the old row stays, of one that
+    comes twice the first by ``order`` (by all columns if not given)."""
+    w = W.partitionBy(*key).orderBy(*(order or new.columns))
+    once = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return old.unionByName(once.join(old, key, "left_anti"))
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:

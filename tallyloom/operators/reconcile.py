@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import squeeze_lower
@@ -55,6 +55,13 @@ def score_slots(answers: DataFrame) -> DataFrame:
     return answers.withColumn("correct", F.coalesce(hit, F.lit(False)))
 
 
+def options_match(given: Column, right: Column, ordered: bool) -> Column:
+    """Whether chosen options are the right ones: one by one, or as sets."""
+    if ordered:
+        return F.coalesce(given == right, F.lit(False))
+    return (F.size(F.array_except(given, right)) == 0) & (F.size(F.array_except(right, given)) == 0)
+
+
 def score_groups(slots: DataFrame, key: list[str]) -> DataFrame:
     """Groups by rule: "each" sums slots, "all_or_nothing" needs all of them,
     "unordered" counts the distinct given that are accepted anywhere,

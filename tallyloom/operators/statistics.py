@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.facts import ratio
@@ -28,11 +29,13 @@ def summary(valid: DataFrame, by: list[str], score: str = "effective_score") ->
 def unit_histogram(valid: DataFrame, by: list[str], score: str = "effective_score", width: float = 1.0) -> DataFrame:
     """Counts in bins [k, k + 1) of ``width`` up to the largest total, empty
     bins kept; scores outside fall in the first or last bin."""
-    tops = valid.groupBy(*by).agg(F.greatest(F.ceil(F.max("total") / width) - 1, F.lit(0)).cast("int").alias("top"))
-    bins = tops.withColumn("bin", F.explode(F.sequence(F.lit(0), "top")))
-    placed = valid.join(tops, by).withColumn("bin", F.least(F.greatest(F.floor(F.col(score) / width), F.lit(0)), F.col("top")).cast("int"))
-    counts = placed.groupBy(*by, "bin").agg(F.count("*").alias("n"))
-    return bins.join(counts, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    # One pass: counts by raw bin with the largest total, then a few numbers
+    # of each group, whose outer bins are added to its first and last.
+    raw = valid.groupBy(*by, F.floor(F.col(score) / width).alias("_raw")).agg(F.count("*").alias("_n"), F.max("total").alias("_total"))
+    group = raw.groupBy(*by).agg(F.greatest(F.ceil(F.max("_total") / width) - 1, F.lit(0)).cast("int").alias("_top"), F.collect_list(F.struct("_raw", "_n")).alias("_bins"))
+    placed = F.filter("_bins", lambda b: F.least(F.greatest(b["_raw"], F.lit(0)), F.col("_top")) == F.col("bin"))
+    n = F.aggregate(placed, F.lit(0).cast("long"), lambda acc, b: acc + b["_n"])
+    return group.withColumn("bin", F.explode(F.sequence(F.lit(0), "_top"))).select(*by, "bin", n.alias("n"))
 
 
 def decile_histogram(valid: DataFrame, by: list[str], score: str = "effective_score") -> DataFrame:
@@ -108,8 +111,8 @@ def distribution(valid: DataFrame, answers: DataFrame) -> DataFrame:
     text = F.lower(F.trim(F.regexp_replace("answer", r"\s+", " ")))
     last = F.max_by("is_correct", F.struct("candidate_id", "attempt_id"))
     each = j.groupBy("passage_index", "question_id", text.alias("text")).agg(F.count("*").alias("n"), last.alias("last_correct"))
-    whole = j.groupBy("passage_index", "question_id").agg(F.count("*").alias("all"))
-    return each.join(whole, ["passage_index", "question_id"]).select("passage_index", "question_id", "text", "n", r6(F.col("n") / F.col("all")).alias("share"), "last_correct")
+    whole = F.sum("n").over(W.partitionBy("passage_index", "question_id"))
+    return each.select("passage_index", "question_id", "text", "n", r6(F.col("n") / whole).alias("share"), "last_correct")
 
 
 def question_effort(valid: DataFrame, answers: DataFrame) -> DataFrame:
@@ -135,5 +138,7 @@ def durations(passages: DataFrame) -> DataFrame:
 
 def median_upper(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The upper median: the element at half the length of the sorted list."""
-    s = F.sort_array(F.collect_list(value))
-    return df.groupBy(*by).agg(F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int")).alias("median_upper"))
+    each = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*by)
+    ranked = each.withColumns({"_upto": F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    return ranked.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias("median_upper"))

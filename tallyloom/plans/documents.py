@@ -26,11 +26,15 @@ def win_event_intervals(spark: S, d: str) -> DataFrame:
     return events.intervals(e.select(F.col("user_id").alias("attempt_id"), F.col("event_id").alias("seq"), kind.alias("event_type"), (F.col("event_id") % 3).cast("int").alias("passage_index"), F.col("event_id").cast("double").alias("clock"), clock.alias("clock_id")))
 
 
-@query("str_bigram_dice")
+@query("str_bigram_dice", """
+WITH c AS (SELECT a.c_custkey, a.c_name AS a, b.c_name AS b FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1)
+, x AS (SELECT c_custkey, g, count(*) AS n FROM (SELECT c_custkey, unnest(list_transform(range(1, length(a)), lambda i: substring(a, i, 2))) AS g FROM c) GROUP BY 1, 2), y AS (SELECT c_custkey, g, count(*) AS n FROM (SELECT c_custkey, unnest(list_transform(range(1, length(b)), lambda i: substring(b, i, 2))) AS g FROM c) GROUP BY 1, 2)
+, s AS (SELECT x.c_custkey, sum(least(x.n, y.n)) AS n FROM x JOIN y ON y.c_custkey = x.c_custkey AND y.g = x.g GROUP BY 1)
+SELECT c.c_custkey, round(2 * coalesce(s.n, 0) / (length(a) + length(b) - 2), 6) AS dice FROM c LEFT JOIN s ON s.c_custkey = c.c_custkey""")
 def str_bigram_dice(spark: S, d: str) -> DataFrame:
     c = read(spark, d, "customer")
     n = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("c_name").alias("next"))
-    return c.join(n, "c_custkey").select("c_custkey", similarity.dice_udf("c_name", "next").alias("dice"))
+    return c.join(n, "c_custkey").select("c_custkey", F.round(similarity.dice_udf("c_name", "next"), 6).alias("dice"))
 
 
 @query("win_lis")
@@ -53,15 +57,20 @@ def str_match_sentence(spark: S, d: str) -> DataFrame:
     return own.groupBy("item_id").applyInPandas(run, "item_id long, n int, how string, place int")
 
 
-@query("str_answer_rows")
+@query("str_answer_rows", """
+WITH t AS (SELECT doc_id, '1. ' || left(text, 30) || chr(10) || '2) TRUE' || chr(10) || '2. FALSE' || chr(10) || text AS t FROM documents)
+, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM t)
+, r AS (SELECT doc_id, i, TRY_CAST(regexp_extract(l, '^\\s*(\\d{1,3})[.)\\]:-]*\\s*(.+)$', 1) AS INTEGER) AS number, trim(regexp_extract(l, '^\\s*(\\d{1,3})[.)\\]:-]*\\s*(.+)$', 2)) AS answer FROM l)
+SELECT doc_id, number, arg_min(answer, i) AS answer FROM r WHERE number BETWEEN 1 AND 200 AND length(answer) <= 40 AND answer <> '' AND len(list_filter(regexp_split_to_array(answer, '\\s+'), lambda x: x <> '')) <= 6 AND NOT regexp_matches(answer, '(?i)https?://|www\\.') GROUP BY 1, 2""")
 def str_answer_rows(spark: S, d: str) -> DataFrame:
     t = read(spark, d, "documents").select("doc_id", F.concat(F.lit("1. "), F.substring("text", 1, 30), F.lit("\n2) TRUE\n2. FALSE\n"), "text").alias("t"))
     return t.select("doc_id", F.explode(text.answer_rows(F.col("t"))).alias("r")).select("doc_id", "r.number", "r.answer")
 
 
-@query("str_digit_tokens")
+@query("str_digit_tokens", "SELECT page_id, array_to_string(list_filter(regexp_extract_all(html, '\\d+'), lambda x: length(x) <= 3 AND CAST(x AS BIGINT) BETWEEN 1 AND 200).list_transform(lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS numbers FROM pages")
 def str_digit_tokens(spark: S, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", text.digit_tokens(F.col("html")).alias("numbers"))
+    found = F.transform(text.digit_tokens(F.col("html")), lambda x: x.cast("string"))
+    return read(spark, d, "pages").select("page_id", F.array_join(found, ",").alias("numbers"))
 
 
 @query("str_part_detect")
@@ -76,7 +85,10 @@ def str_review(spark: S, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", text.review_text(F.concat(F.lit("Questions 1–4 "), "text")).alias("t"))
 
 
-@query("seg_paragraph")
+@query("seg_paragraph", """
+WITH t AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS t FROM documents)
+, p AS (SELECT doc_id, t, len(list_filter(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: trim(x, ' ') <> '')) AS n FROM t)
+SELECT doc_id, CASE WHEN n > 1 THEN n ELSE len(list_filter(string_split(regexp_replace(t, '(?m)^\\s*(Questions? \\d|READING PASSAGE|Answers?\\b)', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x, ' ') <> '')) END AS n FROM p""")
 def seg_paragraph(spark: S, d: str) -> DataFrame:
     t = F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n\n"))
     return read(spark, d, "documents").select("doc_id", F.size(files.paragraphs(t)).alias("n"))
@@ -107,7 +119,11 @@ def _boxes(spark: S, d: str) -> DataFrame:
     return p.select((k % 21).cast("string").alias("doc"), F.lit(0).alias("page"), k.cast("int").alias("id"), (F.floor(k / 40) % 25 * 20.0).alias("x"), (k % 7 * 3.0).alias("y"), F.lit(18.0).alias("width"), F.lit(12.0).alias("height"))
 
 
-@query("jn_spatial_dup")
+@query("jn_spatial_dup", """
+WITH b AS (SELECT CAST(p_partkey % 21 AS VARCHAR) AS doc, 0 AS page, p_partkey AS id, p_partkey // 40 % 25 * 20.0::DOUBLE AS x, p_partkey % 7 * 3.0::DOUBLE AS y FROM part)
+, j AS (SELECT a.doc, greatest(least(a.x, b.x) + 18 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 12 - greatest(a.y, b.y), 0) AS inner_ FROM b a JOIN b b ON a.doc = b.doc AND a.id < b.id AND abs(a.x - b.x) < 18 AND abs(a.y - b.y) < 12)
+, p AS (SELECT doc, count(*) AS pairs FROM j WHERE inner_ / (2 * 18 * 12 - inner_) >= 0.82 GROUP BY 1)
+SELECT b.doc, b.page, round(least(1.0, 2 * coalesce(any_value(pairs), 0) / count(*)), 6) AS ratio FROM b LEFT JOIN p ON p.doc = b.doc GROUP BY 1, 2""")
 def jn_spatial_dup(spark: S, d: str) -> DataFrame:
     return layout.duplicate_ratio(_boxes(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
@@ -133,7 +149,11 @@ def srt_topological(spark: S, d: str) -> DataFrame:
     return layout.reading_order(regions, edges)
 
 
-@query("win_renumber")
+@query("win_renumber", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS doc, event_id AS seq, event_id % 3 AS level FROM events)
+, a AS (SELECT *, count(*) FILTER (level = 0) OVER (PARTITION BY doc ORDER BY seq) AS c0, count(*) FILTER (level <= 1) OVER (PARTITION BY doc ORDER BY seq) AS g1 FROM e)
+, b AS (SELECT *, count(*) FILTER (level = 1) OVER (PARTITION BY doc, c0 ORDER BY seq) AS c1, count(*) FILTER (level = 2) OVER (PARTITION BY doc, g1 ORDER BY seq) AS c2 FROM a)
+SELECT doc, CAST(seq AS INTEGER) AS seq, c0 || CASE WHEN level > 0 THEN '.' || c1 ELSE '' END || CASE WHEN level > 1 THEN '.' || c2 ELSE '' END AS number FROM b""")
 def win_renumber(spark: S, d: str) -> DataFrame:
     e = read(spark, d, "events")
     return layout.numbering(e.select(F.col("user_id").cast("string").alias("doc"), F.col("event_id").cast("int").alias("seq"), (F.col("event_id") % 3).cast("int").alias("level")))
@@ -156,7 +176,11 @@ def rec_slots(spark: S, d: str) -> DataFrame:
     return reconcile.decision_summary(reconcile.slot_decisions(side("l_suppkey % 5 <> 0", "A", 4), side("l_suppkey % 7 <> 0", "a", 3), side("l_suppkey % 2 = 0", "a", 2), ["n", "q"]))
 
 
-@query("num_score_group")
+@query("num_score_group", f"""
+WITH {R.ROLES}
+, s AS (SELECT attempt_id, passage_index, ['each', 'all_or_nothing', 'unordered', 'exact_set'][attempt_id % 4 + 1] AS rule, answer, lower(answer) IN ('a1', 'a3') AS correct FROM answers)
+, g AS (SELECT attempt_id, passage_index, rule, count(*) AS possible, count(*) FILTER (correct) AS hits, list(DISTINCT answer) AS got, len(list_intersect(list(DISTINCT answer), ['A1', 'A3'])) AS common FROM s GROUP BY 1, 2, 3)
+SELECT attempt_id, passage_index, rule, possible, CASE rule WHEN 'each' THEN hits WHEN 'all_or_nothing' THEN CASE WHEN hits = possible THEN possible ELSE 0 END WHEN 'unordered' THEN least(common, possible) ELSE CASE WHEN common = 2 AND len(got) = 2 THEN possible ELSE 0 END END AS earned FROM g""")
 def num_score_group(spark: S, d: str) -> DataFrame:
     a = R.answers(spark, d)
     rules = F.element_at(F.array(*[F.lit(r) for r in ("each", "all_or_nothing", "unordered", "exact_set")]), (F.col("attempt_id") % 4 + 1).cast("int"))

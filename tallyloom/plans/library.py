@@ -393,7 +393,8 @@ def str_levenshtein_ratio(spark: S, d: str) -> DataFrame:
     return c.join(n, "c_custkey").select("c_custkey", text.levenshtein_ratio(F.col("c_name"), F.col("next")).alias("ratio"))
 
 
-@query("str_sentences", None)
+@query("str_sentences", """
+SELECT doc_id, greatest(len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')), 1) AS n FROM documents""")
 def str_sentences(spark: S, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"))
 

@@ -65,3 +65,28 @@ def test_stream_version_gate(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     files.write_tables({"scores": spark.range(3).withColumn("x", F.lit("y"))}, str(tmp_path / "out"), "csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "out" / "scores")).count() == 3
+
+
+def test_stream_keeps_two_versions_of_touched_buckets(spark, tmp_path):
+    src, store = tmp_path / "drops", tmp_path / "versions"
+    src.mkdir()
+    for n in range(4):
+        (src / f"{n}.json").write_text("\n".join(json.dumps({"id": i, "v": n}) for i in range(3)))
+        ingest.ingest(ingest.file_stream(spark, str(src), "id long, v long"), str(store), ["id"], str(tmp_path / "cp2"), newer="v", buckets=8).awaitTermination()
+    assert sorted(tuple(r) for r in ingest.current(spark, str(store)).select("id", "v").collect()) == [(i, 3) for i in range(3)]
+    kept = [p for p in store.glob("v*/_bucket=*")]
+    assert len(kept) == 2 * len({p.name for p in kept})
+
+
+def test_change_feed_and_refetch(spark, tmp_path):
+    src, seen, fresh = tmp_path / "changes", [], []
+    src.mkdir()
+    table = {"rows": [(1, "a"), (2, "b")]}
+    for n in range(2):
+        (src / f"{n}.json").write_text("\n".join(json.dumps({"id": i, "at": i}) for i in (2, 1, 5)))
+        table["rows"] = [(1, "a"), (2, f"b{n}")]
+        stream = lambda: ingest.file_stream(spark, str(src), "id long, at long")
+        ingest.change_feed(stream(), ["at"], lambda df, k: seen.extend((r.event_seq, r.id) for r in df.collect()), str(tmp_path / "cp3")).awaitTermination()
+        ingest.refetch(stream(), lambda: spark.createDataFrame(table["rows"], "id long, t string"), ["id"], lambda df, k: fresh.append(sorted(tuple(r) for r in df.collect())), str(tmp_path / "cp4")).awaitTermination()
+    assert [i for _, i in sorted(seen)] == [1, 2, 5, 1, 2, 5] and len({s for s, _ in seen}) == 6
+    assert fresh == [[(1, "a"), (2, "b0")], [(1, "a"), (2, "b1")]]
