@@ -6,8 +6,14 @@ last return the columns of ``documents``; ``n_chars`` follows the text. The
 last gives one row for each pass over a document, in training order, with
 ``epoch``, ``taken`` and ``position``.
 
-A text that a rule, a repeated line or a copy leaves untouched comes through
-unchanged until the mix takes it or not.
+A text of which no line fails a rule or repeats comes through byte for byte,
+blank lines included, until the mix takes it or not.
+
+Defined cases: a null or empty text fails the quality rules and goes; rows
+that repeat an id and its text are one document from the third stage on; rows
+without an id stay apart there; a null source is a source of its own; an empty
+table gives an empty result; other columns pass through whatever their names,
+and a new column of the last stage takes an underscore if its name is taken.
 """
 
 from __future__ import annotations
