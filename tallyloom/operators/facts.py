@@ -69,6 +69,20 @@ def validity(attempts: DataFrame, suites: DataFrame, passages: DataFrame) -> Dat
     return j.select("attempt_id", reason.alias("reason"))
 
 
+def valid_attempts(attempts: DataFrame, suites: DataFrame, passages: DataFrame, effective: DataFrame) -> DataFrame:
+    """Submitted attempts that no rule of ``validity`` excludes, with their raw,
+    effective and total points: passages are read and grouped once for both."""
+    delta = effective.groupBy("attempt_id", "passage_index").agg(F.sum(F.coalesce("effective", F.lit(0.0)) - F.coalesce("original", F.lit(0.0))).alias("delta"))
+    p = passages.join(delta, ["attempt_id", "passage_index"], "left").groupBy("attempt_id").agg(
+        F.count("*").alias("_n"), F.bool_and(F.col("gradable") & (F.col("total") > 0)).alias("_graded"),
+        F.sum("correct").alias("raw_score"), F.sum(F.col("correct") + F.coalesce("delta", F.lit(0.0))).alias("effective_score"), F.sum("total").alias("total"),
+    )
+    a = attempts.filter((F.col("status") == "submitted") & (F.col("counted") | F.col("exclude_reason").isNull()))
+    j = a.join(suites.select("attempt_id", F.col("total_passages").alias("_asked")), "attempt_id").join(p, "attempt_id")
+    good = (F.col("_n") >= F.greatest("_asked", F.lit(1))) & F.coalesce("_graded", F.lit(True))
+    return j.filter(F.col("_asked").isNotNull() & (~F.col("counted") | good)).drop("_asked", "_n", "_graded")
+
+
 def ratio(part, whole):
     """part / whole, null unless whole is positive."""
     return F.when(whole > 0, part / whole)

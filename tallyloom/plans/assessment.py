@@ -23,10 +23,8 @@ def effective(spark: S, d: str) -> DataFrame:
 
 def valid(spark: S, d: str, original: bool = False) -> DataFrame:
     """Valid attempts with their points, from effective or original answers."""
-    a, p = R.attempts(spark, d), R.passages(spark, d)
-    good = facts.validity(a, R.suites(spark, d), p).filter(F.col("reason").isNull()).select("attempt_id")
     e = facts.effective_answers(R.answers(spark, d), None if original else R.overrides(spark, d))
-    return a.join(good, "attempt_id").join(facts.attempt_scores(p, e), "attempt_id")
+    return facts.valid_attempts(R.attempts(spark, d), R.suites(spark, d), R.passages(spark, d), e)
 
 
 @query("agg_summary", ALL + """
