@@ -284,5 +284,7 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     word left goes, others stay. Columns as given."""
     name = free(docs.columns, "__lines")
     out = with_verdicts(docs, doc_id, text, name, **how)
-    left = F.col(name)["text"].rlike(r"[^\x20\x09-\x0D]") | (F.size(F.col(name)["removed"]) == 0)
-    return out.filter(left).withColumn(text, F.col(name)["text"]).drop(name)
+    # One or no row of an array: a filter would cut the texts a second time.
+    none = F.array().cast("array<string>")
+    left = let(F.col(name), lambda v: F.when(v["text"].rlike(r"[^\x20\x09-\x0D]") | (F.size(v["removed"]) == 0), F.array(v["text"])).otherwise(none))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(left).alias(name)).withColumn(text, F.col(name)).drop(name)

@@ -125,15 +125,8 @@ def _covered(ws: Column) -> Column:
     return F.when(F.size(ws) < 3, F.lit(0)).otherwise(let(hashes, count))
 
 
-def quality_report(
-    docs: DataFrame,
-    text: str = "text",
-    least_words: int = 50,
-    most_repeated: float = 0.5,
-    most_lost: float = 0.5,
-    name: str = "quality",
-) -> DataFrame:
-    """``docs`` plus one struct column of counts, the cleaned text and verdict."""
+def quality_of(text: str, least_words: int = 50, most_repeated: float = 0.5, most_lost: float = 0.5) -> Column:
+    """One struct of counts, the cleaned text and the verdict of a column."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     n_space = _count(t, SPACE)
 
@@ -177,11 +170,19 @@ def quality_report(
             r["l"]["clean_text"].alias("clean_text"),
         )
 
-    return docs.withColumn(free(docs.columns, name), let(raw, verdict))
+    return let(raw, verdict)
+
+
+def quality_report(docs: DataFrame, text: str = "text", name: str = "quality", **how) -> DataFrame:
+    """``docs`` plus one struct column of counts, the cleaned text and verdict."""
+    return docs.withColumn(free(docs.columns, name), quality_of(text, **how))
 
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents that pass, without their failed lines; columns as given."""
-    name = free(docs.columns, "__quality")
-    out = quality_report(docs, text, name=name).filter(F.col(name)["kept"])
-    return out.withColumn(text, F.col(name)["clean_text"]).drop(name)
+    name = free(docs.columns, "__clean")
+    # A filter on the verdict would evaluate the rules again for the text; one
+    # or no row of an array does not.
+    none = F.array().cast("array<string>")
+    kept = let(quality_of(text), lambda q: F.when(q["kept"], F.array(q["clean_text"])).otherwise(none))
+    return docs.select("*", F.explode(kept).alias(name)).withColumn(text, F.col(name)).drop(name)
