@@ -317,7 +317,7 @@ def _near(radius: int, ahead: int | None):
                     x, y = cross_pairs(fp[s:e], of[s:e], radius, against=None if cols["lo"][s] == cols["hi"][s] else int((cols["side"][s:e] == 0).sum()))
                     one.append(x + s)
                     two.append(y + s)
-        x, y = who[np.concatenate(one)], who[np.concatenate(two)] if two else who[:0]
+        x, y = (who[np.concatenate(side)] if side else who[:0] for side in (one, two))
         if len(x):
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
