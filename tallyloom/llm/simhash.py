@@ -280,9 +280,27 @@ def cross_pairs(fp: np.ndarray, of: np.ndarray, radius: int, tile: int = 256, ag
     return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _near(radius: int, ahead: int | None):
-    """Candidate pairs of ids: each node with the ``ahead`` next ones in the
-    order of fingerprints in its group, or all of different classes."""
+def masks(bits: np.ndarray) -> np.ndarray:
+    """The sampled bits of each table as a wide fingerprint."""
+    on = np.zeros((len(bits), 64 * LONGS), np.uint8)
+    np.put_along_axis(on, bits, 1, axis=1)
+    return np.packbits(on, axis=1, bitorder="little").view("<u8")
+
+
+def first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray, of_table: np.ndarray) -> np.ndarray:
+    """Whether the table of each pair is the first in which the two agree."""
+    out = np.ones(len(x), bool)
+    for i in range(0, len(x), _PIECE):
+        agree = (((x[i : i + _PIECE] ^ y[i : i + _PIECE])[:, None, :] & of_table[None]) == 0).all(axis=2)
+        out[i : i + _PIECE] = agree.argmax(axis=1) == table[i : i + _PIECE]
+    return out
+
+
+def _near(radius: int, ahead: int | None, of_table: np.ndarray):
+    """Candidate pairs of ids: each node with the closest of the ``ahead`` next
+    ones in the order of fingerprints in its group, or all of different
+    classes. A pair is given by the first table that brings it together; what
+    the first round so leaves out, the second has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -297,11 +315,14 @@ def _near(radius: int, ahead: int | None):
         group = np.cumsum(new)
         one, two = [], []
         if ahead:
+            best, to = np.full(len(who), radius + 1, np.int64), np.zeros(len(who), np.int64)
             for d in range(1, ahead + 1):
                 a = np.flatnonzero(group[d:] == group[:-d])
-                a = a[_apart(fp[a], fp[a + d]) <= radius]
-                one.append(a)
-                two.append(a + d)
+                far = _apart(fp[a], fp[a + d])
+                a, far = a[far < best[a]], far[far < best[a]]
+                best[a], to[a] = far, a + d
+            one.append(np.flatnonzero(best <= radius))
+            two.append(to[one[0]])
         else:
             cut = np.r_[np.flatnonzero(new), len(who)]
             size = np.diff(cut)
@@ -317,7 +338,9 @@ def _near(radius: int, ahead: int | None):
                     x, y = cross_pairs(fp[s:e], of[s:e], radius, against=None if cols["lo"][s] == cols["hi"][s] else int((cols["side"][s:e] == 0).sum()))
                     one.append(x + s)
                     two.append(y + s)
-        x, y = (who[np.concatenate(side)] if side else who[:0] for side in (one, two))
+        x, y = (np.concatenate(side).astype(np.int64) if side else np.zeros(0, np.int64) for side in (one, two))
+        met = first_met(fp[x], fp[y], cols["t"][x], of_table)
+        x, y = who[x[met]], who[y[met]]
         if len(x):
             both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -328,7 +351,8 @@ def _near(radius: int, ahead: int | None):
 def _candidates(nodes: DataFrame, n: int, similarity: float, recall: float, ahead: int | None, most: int = 4096) -> DataFrame:
     """Pairs (a, b) of nodes (id, class, fingerprint) that may be near."""
     kinds = "id long, class long, " + ", ".join(f"{c} long" for c in _WIDE)
-    rows = nodes.select("id", "class", *_WIDE).mapInArrow(_tables(sampled_bits(n, similarity, recall)), "t int, v long, " + kinds)
+    bits = sampled_bits(n, similarity, recall)
+    rows = nodes.select("id", "class", *_WIDE).mapInArrow(_tables(bits), "t int, v long, " + kinds)
     size = rows.groupBy("t", "v").agg(F.count("*").alias("size"), F.min("class").alias("least"), F.max("class").alias("greatest")).filter(F.col("size") > most)
     large = materialise(size.select("t", "v", F.ceil(F.col("size") / most).cast("int").alias("n"), (F.col("least") == F.col("greatest")).alias("one")), "near-large")
     rows = rows.join(large, ["t", "v"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
@@ -338,7 +362,7 @@ def _candidates(nodes: DataFrame, n: int, similarity: float, recall: float, ahea
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)) if ahead is None else F.col("own"))
     rows = rows.select("t", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "class", *_WIDE)
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 10_000))
-    return materialise(rows.repartition(parts, "t", "v", "lo", "hi").mapInArrow(_near(radius=wide_radius(similarity), ahead=ahead), "a long, b long").distinct(), "near-pairs")
+    return materialise(rows.repartition(parts, "t", "v", "lo", "hi").mapInArrow(_near(wide_radius(similarity), ahead, masks(bits)), "a long, b long").distinct(), "near-pairs")
 
 
 def _verified(width: int, similarity: float):
