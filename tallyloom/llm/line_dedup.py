@@ -16,9 +16,9 @@ on all but ``edits`` of them: the same theorem with longer keys, so no pair is
 lost. Two things keep a group from being paired out there. A line only needs
 one earlier neighbour, so each is first compared with the line before it and
 the first line under each of its keys, and a line that is decided so asks no
-more. The others meet under a key only if the parities of their characters,
-64 bits, differ in at most 2 * ``edits`` places, which every edit changes by
-two at most: lines with other words in one place never become rows.
+more. The others meet under a key only if the parities of their characters
+and of their pairs of neighbours, 64 bits each, leave room for ``edits``
+edits: lines with other words in one place never become rows.
 
 A line goes if a line that first occurs earlier, by (document id, hash of the
 row's text, line number), is within ``edits`` edits, or is the same line.
@@ -175,13 +175,22 @@ def _crowded_pairs(lines: DataFrame, edits: int, most: int) -> tuple[DataFrame,
 
 
 def parities(line: Column) -> Column:
-    """64 bits, each flipped by every character that hashes to it."""
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))))
+    """Two words of 64 bits, each bit flipped by every character, or pair of
+    neighbours, that hashes to it."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)))
+    start = F.struct(F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit("").alias("last"))
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.struct(acc["one"].bitwiseXOR(bit(F.hash(c))).alias("one"), acc["two"].bitwiseXOR(bit(F.hash(acc["last"], c))).alias("two"), c.alias("last"))
+
+    return F.aggregate(F.split(line, ""), start, step, lambda acc: F.struct(acc["one"].alias("one"), acc["two"].alias("two")))
 
 
 def _alike(x: str, y: str, edits: int) -> Column:
-    """Whether two parity words leave room for ``edits`` edits."""
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * edits
+    """Whether parities leave room for ``edits`` edits: an edit changes two
+    characters at most, and four pairs of neighbours."""
+    apart = lambda f: F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}")))
+    return (apart("one") <= 2 * edits) & (apart("two") <= 4 * edits)
 
 
 def _by_ids(lines: DataFrame, ids: DataFrame, how: str = "left_semi", few: int = 1 << 20) -> DataFrame:
