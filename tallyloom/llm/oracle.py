@@ -97,4 +97,46 @@ SELECT doc_id, size, source_size, target,
 FROM y
 """
 
-SQL = {"op8_quality_rules": OP8, "op9_mixing": OP9}
+#: CRC-32 of a column's ASCII characters, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}, ''),
+    lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         CASE WHEN doc_id IS NULL THEN 1 ELSE CRC END AS h
+  FROM documents
+), g AS (
+  SELECT r, doc_id, ws, h, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a FROM d
+), p AS (
+  SELECT r, doc_id, ws, h, n, a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g
+), planted AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+      THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws
+  FROM p
+), w AS (
+  SELECT r, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM planted
+), equal AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 2 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island
+), runs AS (
+  SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= 12 AND length >= 2 * q GROUP BY r, start, length
+), facts AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         arg_min({'s': start, 'n': length, 'p': period}, [-length, start, period]) AS best
+  FROM runs GROUP BY r
+), kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY i) AS words
+  FROM (SELECT r, w, i FROM w ANTI JOIN (SELECT r, unnest(range(start + period, start + length)) AS i FROM runs) USING (r, i)) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.n::BIGINT AS length, best.p::BIGINT AS period,
+       (1000 * best.n // best.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM planted LEFT JOIN facts USING (r) LEFT JOIN kept USING (r)
+""".replace("CRC", _CRC.format("doc_id::VARCHAR"))
+
+
+SQL = {"op8_quality_rules": OP8, "op9_mixing": OP9, "op11_periodic_runs": OP11}

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, passages, ppm, quality_rules, simhash, suffix_dedup, token_counts
-from tallyloom.llm._shared import table
+from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, passages, periodic, ppm, quality_rules, simhash, suffix_dedup, token_counts
+from tallyloom.llm._shared import let, table, words
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,37 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by a hash of their id, turned periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def planted(ws: Column) -> Column:
+        n, g = F.size(ws), F.floor(h / 10)
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        return F.array_join(let(F.struct(a.alias("a"), p.alias("p")), lambda x: F.transform(ws, lambda w, i: F.when(i >= x["a"], ws[x["a"] + (i - x["a"]) % x["p"]]).otherwise(w))), " ")
+
+    text = let(words(F.col("text")), lambda ws: F.when(F.size(ws) > 0, planted(ws)).otherwise(F.col("text")))
+    return docs.withColumn("text", F.when(h % 10 == 0, text).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("periodic.runs")
+    line = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "").alias("lines"), F.col("periodic.collapsed").alias("collapsed"))
+    return out.select(
+        "doc_id",
+        "n_runs",
+        F.col("best.start").alias("start"),
+        (-F.col("best.length")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(-F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
