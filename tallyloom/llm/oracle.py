@@ -139,4 +139,86 @@ FROM planted LEFT JOIN facts USING (r) LEFT JOIN kept USING (r)
 """.replace("CRC", _CRC.format("doc_id::VARCHAR"))
 
 
-SQL = {"op8_quality_rules": OP8, "op9_mixing": OP9, "op11_periodic_runs": OP11}
+def _way(x: str, cost: str, edit: str) -> str:
+    return f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}'}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_FAR = "{'c': 1000000000000, 'a': ''}"
+#: Inserts before a turn, then what may be done with it, for each grammar state.
+_INSERTED = f"""b0 AS e0, b1 AS e1, {_least("b2", *(_way(x, "3", "I") for x in ("b0", "b1", "b3")))} AS e2,
+         {_least("b3", _way("b2", "3", "I"), _way("b0", "6", "II"), _way("b1", "6", "II"))} AS e3"""
+
+
+def _kept(x: str, initial: str) -> str:
+    return f"CASE WHEN NOT forced AND initial = '{initial}' THEN {_way(x, 'extra', 'K')} ELSE {_FAR} END"
+
+
+def _reroled(x: str) -> str:
+    return f"CASE WHEN NOT forced THEN {_way(x, '3 + extra', 'R')} ELSE {_FAR} END"
+
+
+_CONSUMED = f"""{_way("e0", "4", "D")} AS b0, {_least(_way("e1", "4", "D"), _kept("e0", "s"))} AS b1,
+         {_least(_way("e2", "4", "D"), *(f(x) for x in ("e0", "e1", "e3") for f in (lambda x: _kept(x, "u"), _reroled)))} AS b2,
+         {_least(_way("e3", "4", "D"), _kept("e2", "a"), _reroled("e2"))} AS b3"""
+
+OP12 = (
+    r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, role, text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), c AS (
+  SELECT conv_id, turn, role, text, CRC % 20 AS k FROM hashed
+), damaged AS (
+  SELECT conv_id, turn, coalesce(CASE WHEN k = 4 THEN 'user' ELSE role END, ' ') AS role,
+         coalesce(CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END, ' ') AS text,
+         unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c
+), ids AS (
+  SELECT row_number() OVER () AS id, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)
+), numbered AS (
+  SELECT id, turn, role, text, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text, copy) AS k
+  FROM damaged d JOIN ids i ON d.conv_id IS NOT DISTINCT FROM i.conv_id
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+         row_number() OVER (PARTITION BY id, role, text ORDER BY k) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, lag(substr(role, 1, 1)) OVER (PARTITION BY id ORDER BY k) AS before
+  FROM numbered
+), codes AS (
+  SELECT id, k, role, text, initial, blank OR again AS forced, CASE WHEN cut THEN 3 ELSE 0 END AS extra FROM judged
+), facts AS (
+  SELECT id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+         count(*) FILTER (k > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY id
+), path AS (
+  SELECT id, 0::BIGINT AS k, {'c': 0::BIGINT, 'a': ''} AS b0, FAR AS b1, FAR AS b2, FAR AS b3 FROM ids
+  UNION ALL
+  SELECT id, k, CONSUMED FROM (
+    SELECT p.id, c.k, c.initial, c.forced, c.extra, INSERTED FROM path p JOIN codes c ON p.id = c.id AND c.k = p.k + 1
+  )
+), ends AS (
+  SELECT id, arg_max(LEAST, k) AS best FROM path GROUP BY id
+), edits AS (
+  SELECT id, unnest(string_split(best.a, '')) AS e, generate_subscripts(string_split(best.a, ''), 1) AS i FROM ends WHERE best.a <> ''
+), steps AS (
+  SELECT id, e, i, count(*) FILTER (e <> 'I') OVER w AS k, count(*) FILTER (e <> 'D') OVER w AS o, count(*) FILTER (e <> 'D') OVER (PARTITION BY id) AS n
+  FROM edits WINDOW w AS (PARTITION BY id ORDER BY i)
+), repaired AS (
+  SELECT s.id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o + n) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS lines
+  FROM steps s LEFT JOIN codes c ON s.id = c.id AND s.k = c.k WHERE e <> 'D' GROUP BY s.id
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+       sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ids LEFT JOIN facts USING (id) JOIN ends USING (id) LEFT JOIN repaired USING (id)
+""".replace("CRC", _CRC.format("name"))
+    .replace("FAR", _FAR)
+    .replace("CONSUMED", _CONSUMED)
+    .replace("INSERTED", _INSERTED)
+    .replace("LEAST", _least("b0", "b3", _way("b1", "6", "II"), _way("b2", "3", "I")))
+)
+
+SQL = {"op8_quality_rules": OP8, "op9_mixing": OP9, "op11_periodic_runs": OP11, "op12_conversation_repair": OP12}

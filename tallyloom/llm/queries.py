@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, passages, periodic, ppm, quality_rules, simhash, suffix_dedup, token_counts
+from tallyloom.llm import decontaminate, html_text, line_dedup, mixing, passages, periodic, ppm, quality_rules, simhash, suffix_dedup, token_counts, turns
 from tallyloom.llm._shared import let, table, words
 
 
@@ -98,5 +98,21 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    k = F.crc32(name.cast("binary")) % 20
+    damaged = c.select(
+        "conv_id",
+        "turn",
+        F.when(k == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(k == 1, "").when(k == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.when(k == 0, 0).when(k == 3, 2).otherwise(1).alias("copies"),
+    )
+    found = turns.repair(damaged, copies=F.col("copies"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
