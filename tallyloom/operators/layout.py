@@ -1,4 +1,4 @@
-"""Page layout by grouped maps: lines, gutters, columns, tables, order.
+"""Page layout by grouped maps: lines, gutters, columns.
 
 Each page is one group: its rows are bounded by what fits a page, so a page is
 one serial step and pages run side by side.
@@ -6,7 +6,6 @@ one serial step and pages run side by side.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import math
 
@@ -144,25 +143,26 @@ def gutters_of_page(boxes: list[tuple[float, float, float, float]], page_width:
     return out
 
 
-def gutters(lines: DataFrame, page_width: float) -> DataFrame:
-    """The gaps between columns of each page."""
+def gutters(lines: DataFrame, page_width: float, keys: list[str] = PAGE) -> DataFrame:
+    """The gaps between columns of each page, or of each of its sections."""
+    kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = gutters_of_page(list(zip(pdf["x"], pdf["y"], pdf["width"], pdf["height"])), page_width)
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "page": pdf["page"].iloc[0], "left": [a for a, _ in found], "right": [b for _, b in found]}, columns=["doc", "page", "left", "right"])
+        return pd.DataFrame([(*key, a, b) for a, b in found], columns=[*keys, "left", "right"])
 
-    return lines.groupBy(*PAGE).applyInPandas(run, "doc string, page int, left double, right double")
+    return lines.groupBy(*keys).applyInPandas(run, kinds + ", left double, right double")
 
 
-def columns_of(lines: DataFrame, gaps: DataFrame, page_width: float) -> DataFrame:
+def columns_of(lines: DataFrame, gaps: DataFrame, page_width: float, keys: list[str] = PAGE) -> DataFrame:
     """Lines with their column: the gutters left of their middle; a line whose
     middle lies in a gutter belongs right of it unless it begins before it; a
     line over the whole width has no column."""
-    g = gaps.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("_g"))
+    g = gaps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("_g"))
     middle = F.col("x") + F.col("width") / 2
     passed = F.filter("_g", lambda v: (middle > v["right"]) | ((middle >= v["left"]) & (F.col("x") >= v["left"])))
     n = F.when(full_width(F.col("x"), F.col("width"), page_width), None).when(F.col("_g").isNull(), 0).otherwise(F.size(passed))
-    return lines.join(g, PAGE, "left").withColumn("column", n).drop("_g")
+    return lines.join(g, keys, "left").withColumn("column", n).drop("_g")
 
 
 def region_kind(text: Column, y: Column, font: Column, page_height: float, title_words: str = "reading passage", header_words: str | None = None) -> Column:
@@ -207,66 +207,6 @@ def cluster_numbers(values: list[float], tolerance: float, anchor: str = "mean")
     return out
 
 
-def means(values: list[float], tolerance: float) -> list[float]:
-    """Mean of each cluster of values."""
-    values = sorted(values)
-    groups: dict[int, list[float]] = {}
-    for n, v in zip(cluster_numbers(values, tolerance), values):
-        groups.setdefault(n, []).append(v)
-    return [sum(g) / len(g) for g in groups.values()]
-
-
-def ruled_grid(paths: list[tuple[float, float, float, float]], page_width: float, page_height: float) -> tuple[list[float], list[float], float] | None:
-    """(column edges, row edges, confidence) of the table that ruling lines
-    and rectangles, as (x, y, width, height), draw on a page."""
-    xs = [x + w / 2 for x, _, w, h in paths if w <= 2.6 and h >= 12]
-    ys = [y + h / 2 for _, y, w, h in paths if h <= 2.6 and w >= 12]
-    for x, y, w, h in paths:
-        if 12 <= w <= page_width and 12 <= h <= page_height:
-            xs += [x, x + w]
-            ys += [y, y + h]
-    xs, ys = means(xs, 3.0), means(ys, 3.0)
-    if len(xs) < 2 or len(ys) < 2 or len(xs) * len(ys) > 400:
-        return None
-    inside = sum(x >= xs[0] - 4 and x + w <= xs[-1] + 4 and y >= ys[0] - 4 and y + h <= ys[-1] + 4 for x, y, w, h in paths)
-    return xs, ys, 0.94 if inside >= len(xs) + len(ys) else 0.72
-
-
-def aligned_grid(lines: list[tuple[float, float, float, float]], page_width: float) -> tuple[list[float], list[float], float] | None:
-    """The same from lines of text alone: three rows or more of two pieces or
-    more whose beginnings stand in two to eight columns."""
-    rows = sorted((y + h / 2, x) for x, y, _, h in lines)
-    groups: dict[int, list[tuple[float, float]]] = {}
-    for n, r in zip(cluster_numbers([m for m, _ in rows], 8.0, "first"), rows):
-        groups.setdefault(n, []).append(r)
-    full = [g for g in groups.values() if len(g) >= 2]
-    if len(full) < 3:
-        return None
-    xs = means([x for g in full for _, x in g], 18.0)
-    if not 2 <= len(xs) <= 8:
-        return None
-    right = min(xs[-1] + page_width / len(xs), page_width)
-    if not 0.2 * page_width <= right - max(xs[0], 0.0) <= 0.95 * page_width:
-        return None
-    return sorted([*xs, right]), [sum(m for m, _ in g) / len(g) for g in full], 0.58
-
-
-def page_tables(paths: DataFrame, lines: DataFrame, page_width: float, page_height: float) -> DataFrame:
-    """The table of each page: by ruling lines, else, on pages without any
-    drawing, by aligned text."""
-
-    def run(key: tuple, drawn: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
-        boxes = [list(zip(p["x"], p["y"], p["width"], p["height"])) for p in (drawn, text)]
-        how, grid = "ruling_lines", ruled_grid(boxes[0], page_width, page_height)
-        if grid is None and not boxes[0]:
-            how, grid = "text_alignment", aligned_grid(boxes[1], page_width)
-        rows = [] if grid is None else [{"doc": key[0], "page": key[1], "how": how, "columns": len(grid[0]) - 1, "rows": len(grid[1]) - 1, "xs": grid[0], "ys": grid[1], "confidence": grid[2]}]
-        return pd.DataFrame(rows, columns=["doc", "page", "how", "columns", "rows", "xs", "ys", "confidence"])
-
-    schema = "doc string, page int, how string, columns int, rows int, xs array<double>, ys array<double>, confidence double"
-    return paths.groupBy(*PAGE).cogroup(lines.groupBy(*PAGE)).applyInPandas(run, schema)
-
-
 def task_zones(lines: DataFrame) -> DataFrame:
     """Task groups of documents given as lines (doc, seq, text): a line of
     question numbers begins a zone, numbered lines are its stems and lettered
@@ -280,32 +220,6 @@ def task_zones(lines: DataFrame) -> DataFrame:
     return g.select("doc", "zone", "first", "last", F.size("numbers").alias("stems"), "options", (F.size(F.array_except(F.sequence("first", "last"), "numbers")) == 0).alias("closed"))
 
 
-def enriched(glyphs: DataFrame, page_width: float, page_height: float) -> DataFrame:
-    """Pages from glyphs to lines with their column, whether a table of
-    aligned text holds them, and their place in reading order: lines over the
-    whole width cut the page, between them column after column."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = lines_of_page(pdf.to_dict("records"))
-        boxes = [(l["x"], l["y"], l["width"], l["height"]) for l in lines]
-        gaps, grid = gutters_of_page(boxes, page_width), aligned_grid(boxes, page_width)
-        for l, (x, y, w, h) in zip(lines, boxes):
-            wide = w >= 0.72 * page_width or (x <= 0.08 * page_width and x + w >= 0.92 * page_width)
-            middle = x + w / 2
-            l["column"] = None if wide else sum(middle > b or (middle >= a and x >= a) for a, b in gaps)
-            l["in_table"] = grid is not None and grid[0][0] <= middle <= grid[0][-1] and grid[1][0] - 8 <= y + h / 2 <= grid[1][-1] + 8
-        cuts = sorted(l["y"] for l in lines if l["column"] is None)
-        place = lambda l: (bisect.bisect_left(cuts, l["y"]), l["column"] is not None, l["column"] or 0, l["y"], l["x"])
-        # A line over the whole width comes right after what is above it.
-        order = sorted(range(len(lines)), key=lambda n: place(lines[n]) if lines[n]["column"] is not None else (bisect.bisect_left(cuts, lines[n]["y"]), 2, 0, lines[n]["y"], lines[n]["x"]))
-        for position, n in enumerate(order):
-            lines[n]["position"] = position
-        out = pd.DataFrame(lines).assign(doc=pdf["doc"].iloc[0], page=pdf["page"].iloc[0])
-        return out.astype({"column": "Int32"})[["doc", "page", "line", "text", "column", "in_table", "position"]]
-
-    return glyphs.groupBy(*PAGE).applyInPandas(run, "doc string, page int, line int, text string, column int, in_table boolean, position int")
-
-
 def claim_tokens(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one match of recognised to native tokens of a page: in
     input order each takes its best free partner with an IoU of 0.55."""

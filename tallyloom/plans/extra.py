@@ -322,28 +322,6 @@ def seg_pdf_split(spark: S, d: str) -> DataFrame:
     return split.split_documents(pages.select(k.cast("string").alias("doc"), F.col("p").alias("page"), page.alias("text")))
 
 
-def _page_lines(spark: S, d: str) -> DataFrame:
-    """Lines of pages in two columns, with a title over both."""
-    p, k = read(spark, d, "part"), F.col("p_partkey")
-    n = k % 40
-    side = n % 2
-    return p.select(
-        F.floor(k / 40).cast("string").alias("doc"), F.lit(0).alias("page"), k.cast("int").alias("line"), F.col("p_name").alias("text"), F.when(n == 0, 40.0).otherwise(50.0 + side * 300).alias("x"), (60.0 + F.floor(n / 2) * 14).alias("y"),
-        F.when(n == 0, 540.0).otherwise(220.0 + k % 7).alias("width"), F.lit(11.0).alias("height"),
-    )
-
-
-@query("num_gutters")
-def num_gutters(spark: S, d: str) -> DataFrame:
-    return layout.gutters(_page_lines(spark, d), 600.0)
-
-
-@query("num_column_assign")
-def num_column_assign(spark: S, d: str) -> DataFrame:
-    lines = _page_lines(spark, d)
-    return layout.columns_of(lines, layout.gutters(lines, 600.0), 600.0).select("doc", "line", "column")
-
-
 @query("num_region_kind", """
 SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 OR p_size > 44 THEN 'title' WHEN p_partkey % 9 = 1 AND p_partkey % 100 > 86 THEN 'page_number' ELSE 'text' END AS kind FROM part""")
 def num_region_kind(spark: S, d: str) -> DataFrame:
@@ -352,27 +330,6 @@ def num_region_kind(spark: S, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", layout.region_kind(t, k % 100, F.col("p_size") - 30, 100.0).alias("kind"))
 
 
-@query("num_table_ruled")
-def num_table_ruled(spark: S, d: str) -> DataFrame:
-    """Tables drawn by ruling lines; every third page has none."""
-    lines = _page_lines(spark, d)
-    k = F.col("p_partkey")
-    drawn = read(spark, d, "part").filter(F.floor(k / 40) % 3 != 0).select(F.floor(k / 40).cast("string").alias("doc"), F.lit(0).alias("page"), (k % 40).alias("n"))
-    n = F.col("n")
-    across = drawn.filter("n < 5").select("doc", "page", F.lit(50.0).alias("x"), (100.0 + n * 30).alias("y"), F.lit(400.0).alias("width"), F.lit(0.8).alias("height"))
-    down = drawn.filter("n < 4").select("doc", "page", (50.0 + n * 133.33).alias("x"), F.lit(100.0).alias("y"), F.lit(0.8).alias("width"), F.lit(120.0).alias("height"))
-    return layout.page_tables(across.unionByName(down), lines, 600.0, 800.0)
-
-
-@query("seg_enrich_page")
-def seg_enrich_page(spark: S, d: str) -> DataFrame:
-    """Lines, columns, tables and order of every page in one pass."""
-    g = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("doc"), F.posexplode(F.split("text", "")).alias("i", "text")).filter("text <> '' AND text <> '\n' AND text <> ' '")
-    row, i = F.floor(F.col("i") / 60), F.col("i")
-    glyphs = g.select("doc", F.lit(0).alias("page"), i.alias("id"), "text", (40 + i % 60 * 6.0 + F.when(i % 60 >= 30, 160).otherwise(0)).alias("x"), (60 + row * 14.0).alias("y"), F.lit(5.5).alias("width"), F.lit(10.0).alias("height"), (69 + row * 14.0).alias("baseline"), F.lit(10.0).alias("font_size"), F.lit(0.0).alias("angle"), i.alias("source_order"))
-    return layout.enriched(glyphs, 600.0, 800.0)
-
-
 @query("win_first_anchor_cluster")
 def win_first_anchor_cluster(spark: S, d: str) -> DataFrame:
     return layout.running_clusters(read(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 8.0, "first").select("event_id", "cluster")

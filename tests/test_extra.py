@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import plans
 from tallyloom.functions import questions, similarity
-from tallyloom.operators import imports, layout, metrics, quality, split
+from tallyloom.operators import imports, layout, metrics, quality, reading, split
 
 
 def glyph(text, x, y=10.0, size=10.0, n=0, angle=0.0):
@@ -53,18 +53,8 @@ def test_columns_and_order(spark):
     assert got == {1: None, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 1}
     rows = [glyph(c, x + 6 * i, y, n=n * 100 + i) for n, (x, y, t) in enumerate([(50, 60, "aaaa"), (350, 60, "cccc"), (50, 80, "bbbb"), (350, 80, "dddd")]) for i, c in enumerate(t)]
     g = spark.createDataFrame([{"doc": "d", "page": 0, **r, "x": float(r["x"]), "y": float(r["y"])} for r in rows])
-    assert [r.text for r in layout.enriched(g, 600.0, 800.0).orderBy("position").collect()] == ["aaaa", "bbbb", "cccc", "dddd"]
-
-
-def test_tables():
-    rules = [(50.0, 100.0 + 30 * i, 300.0, 0.8) for i in range(4)] + [(50.0 + 100 * i, 100.0, 0.8, 90.0) for i in range(4)]
-    xs, ys, sure = layout.ruled_grid(rules, 600.0, 800.0)
-    assert len(xs) == 4 and len(ys) == 4 and sure == 0.94
-    assert layout.ruled_grid(rules[:1], 600.0, 800.0) is None
-    text = [(x, 100.0 + 20 * i, 60.0, 10.0) for i in range(4) for x in (50.0, 200.0, 350.0)]
-    xs, ys, sure = layout.aligned_grid(text, 600.0)
-    assert xs[:3] == [50.0, 200.0, 350.0] and len(ys) == 4 and sure == 0.58
-    assert layout.aligned_grid(text[:5], 600.0) is None
+    found = layout.glyph_lines(g)
+    assert [r.text for r in reading.in_order(found, reading.regions(found, 600.0, 800.0)).orderBy("position").collect()] == ["aaaa", "bbbb", "cccc", "dddd"]
 
 
 PROSE = "\n".join(["The river runs past the old town and then on to the sea in a slow curve."] * 7)
