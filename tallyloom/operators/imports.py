@@ -7,40 +7,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.sources.durable import durable
+
 
 def newer(a: Column, b: Column) -> Column:
-    """Whether time ``a`` is later; by text where either isn't a time."""
+    """Whether time ``a`` is later; by text where either isn't a time. Any time
+    is later than none."""
     x, y = F.try_to_timestamp(a), F.try_to_timestamp(b)
-    return F.when(x.isNotNull() & y.isNotNull(), x > y).otherwise(a > b)
+    return F.when(x.isNotNull() & y.isNotNull(), x > y).otherwise(F.coalesce(a > b, a.isNotNull() & b.isNull()))
+
+
+_STATE = ("known", "terminal", "install", "paper", "exported", "facts")
+_OUT = "array<struct<file:{file},seq:int,main:boolean,clash:boolean,changed:boolean,outcome:string,note:string,paper:string,install:string>>"
+
+
+def _step(s: Column, e: Column) -> Column:
+    """One attempt of one file meets what is stored of it by then."""
+    clash = s["known"] & (~e["terminal"].eqNullSafe(s["terminal"]) | F.coalesce(e["install"] != s["install"], F.lit(False)))
+    old = s["known"] & ~newer(e["exported"], s["exported"])
+    changed = s["known"] & ~clash & ~old & F.coalesce(e["facts"] != s["facts"], F.lit(False))
+    outcome = F.when(e["failed"], "failed").when(clash, "conflict").when(old, "skipped").otherwise("imported")
+    other = s["known"] & (F.coalesce(e["paper"], F.lit("")) != "") & (F.coalesce(s["paper"], F.lit("")) != "") & (e["paper"] != s["paper"])
+    note = F.when(clash, "another terminal or install").when(~e["failed"] & other, "another paper; the stored one is kept")
+    take = outcome == "imported"
+    paper = F.when(take, F.coalesce(F.nullif(s["paper"], F.lit("")), e["paper"])).otherwise(s["paper"])
+    install = F.when(take, F.coalesce(s["install"], e["install"])).otherwise(s["install"])
+    row = F.struct(*(e[c].alias(c) for c in ("file", "seq", "main")), clash.alias("clash"), changed.alias("changed"), outcome.alias("outcome"), note.alias("note"), paper.alias("paper"), install.alias("install"))
+    return F.struct(
+        (s["known"] | take).alias("known"),
+        F.when(take, e["terminal"]).otherwise(s["terminal"]).alias("terminal"),
+        install.alias("install"),
+        paper.alias("paper"),
+        F.when(take, e["exported"]).otherwise(s["exported"]).alias("exported"),
+        F.when(take, F.coalesce(s["facts"], e["facts"])).otherwise(s["facts"]).alias("facts"),
+        F.concat(s["out"], F.array(row)).alias("out"),
+    )
+
+
+def _folded(events: DataFrame, failed: DataFrame | None) -> DataFrame:
+    """Outcome of every event, each attempt's files taken in order."""
+    e = events.withColumn("failed", F.lit(False)) if failed is None else events.join(failed.select("file", F.lit(True).alias("failed")), "file", "left").fillna(False, ["failed"])
+    rows = F.sort_array(F.collect_list(F.struct("file", "seq", "main", "failed", "terminal", "install", "paper", "exported", "facts")))
+    start = [F.first(f"s_{c}").alias(f"s_{c}") for c in _STATE]
+    per = e.groupBy("attempt_id").agg(rows.alias("rows"), *start)
+    kind = _OUT.format(file=events.schema["file"].dataType.simpleString())
+    state = F.struct(*(F.col(f"s_{c}").alias(c) for c in _STATE), F.array().cast(kind).alias("out"))
+    out = per.select("attempt_id", F.aggregate("rows", state, _step, lambda s: s["out"]).alias("out"))
+    last = F.array_max(F.transform(F.filter("out", lambda x: x["outcome"] == "imported"), lambda x: F.struct(x["file"], x["seq"])))
+    each = out.select("attempt_id", last.alias("_last"), F.explode("out").alias("o")).select("attempt_id", "_last", "o.*")
+    return each.withColumn("last", F.coalesce((F.struct("file", "seq") == F.col("_last")) & (F.col("outcome") == "imported"), F.lit(False))).drop("_last")
 
 
 def judge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(file, attempt_id, outcome, note) of every attempt in every file.
-
-    stored: attempt_id, terminal_id, install_id, paper_id, exported_at.
-    incoming: file, attempt_id, main (the attempt that the file is for) and
-    the same columns. An identity that differs (terminal, or both installs
-    known and unequal) is a conflict; if it is the file's main attempt, or the
-    file lacks its main attempt, nothing of the file is taken. What isn't
-    newer is skipped. Another paper is noted and the stored one kept. Of
-    several files with one attempt the newest is taken.
+    """What becomes of every attempt in every file, files taken by name, each
+    seeing what the files before it left.
+
+    stored: attempt_id, terminal_id, install_id, paper_id, exported_at and, if
+    facts must not change, ``facts`` (a digest). incoming: file, attempt_id,
+    main (the attempt that the file is for) and the same columns.
+
+    An identity that differs (terminal, or both installs known and unequal) is
+    a conflict. A file fails as a whole, and leaves no trace, if its main
+    attempt is missing or in conflict, or if a newer attempt changes facts.
+    What isn't newer is skipped; so is an attempt that stands in a file again.
+    Another paper is noted and the stored one kept. Columns: file, attempt_id,
+    seq, outcome, note, last (it is what stays stored), paper, install.
+
+    Whether a file fails depends on files before it that share an attempt. All
+    files are judged side by side, first as if none failed, then again without
+    those that did, until no verdict changes: as each depends on earlier files
+    only, that is the verdict of taking them one by one. One attempt's history
+    is the largest group.
     """
-    s = stored.select("attempt_id", *[F.col(c).alias(f"s_{c}") for c in ("terminal_id", "install_id", "paper_id", "exported_at")])
-    j = incoming.join(s, "attempt_id", "left")
-    known = F.col("s_exported_at").isNotNull()
-    clash = known & ((F.col("terminal_id") != F.col("s_terminal_id")) | (F.col("install_id").isNotNull() & F.col("s_install_id").isNotNull() & (F.col("install_id") != F.col("s_install_id"))))
-    j = j.withColumn("_clash", F.coalesce(clash, F.lit(False)))
-    files = j.groupBy("file").agg((F.bool_or(F.col("main") & F.col("_clash")) | ~F.bool_or("main")).alias("_failed"))
-    paper = (F.coalesce("paper_id", F.lit("")) != "") & (F.coalesce("s_paper_id", F.lit("")) != "") & (F.col("paper_id") != F.col("s_paper_id"))
-    j = j.join(files, "file").withColumn("_old", known & ~newer(F.col("exported_at"), F.col("s_exported_at")))
-    take = ~F.col("_failed") & ~F.col("_clash") & ~F.col("_old")
-    best = F.max(F.when(take, F.struct("exported_at", "file"))).over(W.partitionBy("attempt_id"))
-    j = j.withColumn("_best", best["file"])
-    outcome = (
-        F.when(F.col("_failed"), "failed").when(F.col("_clash"), "conflict").when(F.col("_old"), "skipped").when(F.col("file") != F.col("_best"), "superseded").otherwise("imported")
-    )
-    note = F.when(F.col("_clash"), "another terminal or install").when(~F.col("_failed") & paper, "another paper; the stored one is kept")
-    return j.select("file", "attempt_id", outcome.alias("outcome"), note.alias("note"))
+    facts = "facts" if "facts" in incoming.columns and "facts" in stored.columns else None
+    value = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    names = {"terminal": "terminal_id", "install": "install_id", "paper": "paper_id", "exported": "exported_at", "facts": facts}
+    own = stored.select("attempt_id", F.lit(True).alias("s_known"), *(value(c).alias(f"s_{n}") for n, c in names.items()))
+    again = W.partitionBy("file", "attempt_id").orderBy(*(value(c) for c in names.values()))
+    events = incoming.select("file", "attempt_id", F.coalesce("main", F.lit(False)).alias("main"), F.row_number().over(again).alias("seq"), *(value(c).alias(n) for n, c in names.items()))
+    events = events.join(own, "attempt_id", "left").fillna(False, ["s_known"])
+    failed: DataFrame | None = None
+    n_failed = 0
+    while True:
+        found = _folded(events, failed)
+        fails = (F.bool_or(F.col("main") & F.col("clash")) | F.bool_or("changed") | ~F.bool_or("main")).alias("f")
+        now = durable(found.groupBy("file").agg(fails).filter("f").select("file"))
+        n = now.count()
+        if n == n_failed and (n == 0 or now.join(failed, "file", "left_anti").isEmpty()):
+            return found.select("file", "attempt_id", "seq", "outcome", "note", "last", "paper", "install")
+        failed, n_failed = now, n
 
 
 def import_snapshots(stored: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -49,11 +104,11 @@ def import_snapshots(stored: dict[str, DataFrame], incoming: dict[str, DataFrame
     imported attempt keeps a known paper and install, takes all else, and its
     child rows are replaced whole, in every child table."""
     outcomes = judge(stored["attempts"], incoming["attempts"])
-    taken = outcomes.filter("outcome = 'imported'").select("file", "attempt_id")
+    taken = outcomes.filter("last").select("file", "attempt_id", "seq", "paper", "install")
     names = stored["attempts"].columns
-    new = incoming["attempts"].join(taken, ["file", "attempt_id"]).select(*names)
-    kept = stored["attempts"].select("attempt_id", F.nullif("paper_id", F.lit("")).alias("_p"), F.col("install_id").alias("_i"))
-    new = new.join(kept, "attempt_id", "left").withColumn("paper_id", F.coalesce("_p", "paper_id")).withColumn("install_id", F.coalesce("_i", "install_id")).select(*names)
+    order = [F.col(c).cast("string") for c in ("terminal_id", "install_id", "paper_id", "exported_at", *(["facts"] if "facts" in names else []))]
+    rows = incoming["attempts"].withColumn("seq", F.row_number().over(W.partitionBy("file", "attempt_id").orderBy(*order)))
+    new = rows.join(taken, ["file", "attempt_id", "seq"]).withColumn("paper_id", F.col("paper")).withColumn("install_id", F.col("install")).select(*names)
     out = {"attempts": stored["attempts"].join(taken, "attempt_id", "left_anti").unionByName(new)}
     for name, old in stored.items():
         if name != "attempts":
@@ -63,6 +118,13 @@ def import_snapshots(stored: dict[str, DataFrame], incoming: dict[str, DataFrame
     return out, outcomes
 
 
+def file_outcomes(outcomes: DataFrame) -> DataFrame:
+    """file, status (ok, skipped, failed), imported, conflicts of each file."""
+    count = lambda x: F.count(F.when(F.col("outcome") == x, 1))
+    status = F.when(count("failed") > 0, "failed").when(count("imported") > 0, "ok").otherwise("skipped")
+    return outcomes.groupBy("file").agg(status.alias("status"), count("imported").alias("imported"), count("conflict").alias("conflicts"))
+
+
 def rejudge(attempts: DataFrame, answers: DataFrame, passages: DataFrame, overrides: DataFrame, rule: dict) -> DataFrame:
     """Wrong answers that a rule would accept: attempt_id, passage_index,
     question_id, answer, weight, review_version.
@@ -113,7 +175,7 @@ def rejudge_apply(affected: DataFrame, answers: DataFrame, rule_text: str, expec
     keys = ["attempt_id", "passage_index", "question_id"]
     rows = affected.select(*keys).join(answers, keys).withColumn("run_id", F.lit(run_id)).join(F.broadcast(run.filter("outcome = 'applied'").select("run_id")), "run_id", "left_semi")
     made = rows.select(
-        F.concat_ws("-", "run_id", F.col("attempt_id").cast("string"), "question_id").alias("override_id"), *keys,
+        F.concat_ws("-", "run_id", *(F.col(c).cast("string") for c in keys)).alias("override_id"), *keys,
         F.col("answer").alias("original_answer"), F.col("is_correct").alias("original_correct"), F.col("score").alias("original_score"), F.col("weight").alias("new_score"), F.lit(False).alias("revoked"), "run_id",
     )
     return made, run

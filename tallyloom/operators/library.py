@@ -96,28 +96,6 @@ def immutable_violations(old: DataFrame, new: DataFrame, key: list[str], facts:
     return j.select(*key, F.array_compact(F.array(*bad)).alias("changed")).filter(F.size("changed") > 0)
 
 
-def merge_attempts(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Import of attempts file by file: (merged, outcome of each file).
-
-    Columns: attempt_id, file, terminal_id, paper_id, exported_at, score. A
-    file is one unit: one attempt in conflict (another terminal, another known
-    paper, a changed score) rejects all of it. Older exports are skipped.
-    """
-    n = new.select(*[F.col(c).alias(f"_{c}") for c in new.columns])
-    j = n.join(old, F.col("_attempt_id") == F.col("attempt_id"), "left")
-    known = F.col("attempt_id").isNotNull()
-    problem = (
-        F.when(known & (F.col("terminal_id") != F.col("_terminal_id")), "terminal conflict")
-        .when(known & (F.col("paper_id") != "") & (F.col("_paper_id") != "") & (F.col("paper_id") != F.col("_paper_id")), "paper conflict")
-        .when(known & (F.col("_exported_at") > F.col("exported_at")) & F.col("score").isNotNull() & ~F.col("score").eqNullSafe(F.col("_score")), "facts changed")
-    )
-    judged = j.withColumn("_problem", problem).withColumn("_stale", known & (F.col("_exported_at") <= F.col("exported_at")))
-    files = judged.groupBy(F.col("_file").alias("file")).agg(F.min("_problem").alias("problem"), F.count("*").alias("attempts"), F.count(F.when(F.col("_stale"), 1)).alias("stale"))
-    outcome = files.select("file", F.when(F.col("problem").isNotNull(), "failed").when(F.col("stale") == F.col("attempts"), "skipped").otherwise("ok").alias("outcome"), "problem", "attempts")
-    good = new.join(outcome.filter("outcome = 'ok'").select("file"), "file", "left_semi")
-    return upsert(old, good.select(old.columns), ["attempt_id"], newer="exported_at"), outcome
-
-
 def decision_merge(decisions: DataFrame, severities: list[str], resolutions: list[str]) -> DataFrame:
     """One row for each decision: the highest severity and resolution, the
     first values that aren't null, all evidence."""

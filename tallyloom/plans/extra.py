@@ -23,37 +23,63 @@ read = R.read
 
 # --- imports and re-scoring -------------------------------------------------
 
+_CLASH = "s.known AND (e.terminal IS DISTINCT FROM s.terminal OR coalesce(e.install <> s.install, false))"
+_OLD = "s.known AND NOT CASE WHEN e.at IS NOT NULL AND s.at IS NOT NULL THEN e.at > s.at ELSE coalesce(e.exported > s.exported, s.exported IS NULL AND e.exported IS NOT NULL) END"
+_TAKE = f"(NOT e.failed AND NOT ({_CLASH}) AND NOT ({_OLD}))"
+_EVENT = "'file': file, 'main': main, 'failed': failed, 'known': false, 'terminal': terminal_id, 'install': install_id, 'paper': paper_id, 'exported': exported_at, 'at': TRY_CAST(exported_at AS TIMESTAMPTZ), 'facts': facts, 'out': []::STRUCT(file BIGINT, main BOOLEAN, clash BOOLEAN, changed BOOLEAN, outcome VARCHAR, note VARCHAR, paper VARCHAR, install VARCHAR)[]"
+_FIRST = "'file': 0::BIGINT, 'main': false, 'failed': false, 'known': known, 'terminal': s_terminal, 'install': s_install, 'paper': s_paper, 'exported': s_exported, 'at': TRY_CAST(s_exported AS TIMESTAMPTZ), 'facts': s_facts, 'out': []::STRUCT(file BIGINT, main BOOLEAN, clash BOOLEAN, changed BOOLEAN, outcome VARCHAR, note VARCHAR, paper VARCHAR, install VARCHAR)[]"
+_PAPER = f"CASE WHEN {_TAKE} THEN coalesce(nullif(s.paper, ''), e.paper) ELSE s.paper END"
+_INSTALL = f"CASE WHEN {_TAKE} THEN coalesce(s.install, e.install) ELSE s.install END"
+_FOLD = f"""{{'file': e.file, 'main': e.main, 'failed': e.failed, 'known': s.known OR {_TAKE}, 'terminal': CASE WHEN {_TAKE} THEN e.terminal ELSE s.terminal END, 'install': {_INSTALL}, 'paper': {_PAPER},
+  'exported': CASE WHEN {_TAKE} THEN e.exported ELSE s.exported END, 'at': CASE WHEN {_TAKE} THEN e.at ELSE s.at END, 'facts': CASE WHEN {_TAKE} THEN coalesce(s.facts, e.facts) ELSE s.facts END,
+  'out': list_append(s.out, {{'file': e.file, 'main': e.main, 'clash': {_CLASH}, 'changed': NOT ({_CLASH}) AND NOT ({_OLD}) AND s.known AND coalesce(e.facts <> s.facts, false),
+    'outcome': CASE WHEN e.failed THEN 'failed' WHEN {_CLASH} THEN 'conflict' WHEN {_OLD} THEN 'skipped' ELSE 'imported' END,
+    'note': CASE WHEN {_CLASH} THEN 'another terminal or install' WHEN NOT e.failed AND s.known AND e.paper <> '' AND s.paper <> '' AND e.paper <> s.paper THEN 'another paper; the stored one is kept' END, 'paper': {_PAPER}, 'install': {_INSTALL}}})}}"""
+
+
+def _judged(rounds: int = 5) -> str:
+    """Files judged side by side without those that failed the round before;
+    as many rounds as chains of failures in the data are long, and more."""
+    out = ", none_failed AS (SELECT 0::BIGINT AS file WHERE false)"
+    for n in range(rounds):
+        out += f"""
+, folded{n} AS (SELECT attempt_id, unnest(list_reduce(list_prepend({{{_FIRST}}}, evs), lambda s, e: {_FOLD}).out) AS o FROM (
+    SELECT attempt_id, known, s_terminal, s_install, s_paper, s_exported, s_facts, list({{{_EVENT}}} ORDER BY file) AS evs
+    FROM (SELECT j.*, j.file IN (SELECT file FROM {f"failed{n - 1}" if n else "none_failed"}) AS failed FROM joined j) GROUP BY ALL))
+, failed{n} AS (SELECT o.file AS file FROM folded{n} GROUP BY 1 HAVING bool_or(o.main AND o.clash) OR bool_or(o.changed) OR NOT bool_or(o.main))"""
+    return out + f", judged AS (SELECT attempt_id, o.file AS file, o.outcome AS outcome, o.note AS note, o.paper AS paper, o.install AS install, o.outcome = 'imported' AND o.file = max(CASE WHEN o.outcome = 'imported' THEN o.file END) OVER (PARTITION BY attempt_id) AS last FROM folded{rounds - 1})"
+
+
+#: A first file of many attempts, a later one of one terminal's, and one each of some.
 STORED = """
-, stored AS (SELECT attempt_id, terminal_id, CASE WHEN attempt_id % 5 <> 0 THEN 'I' || (attempt_id % 2) END AS install_id, paper_id, submitted_at AS exported_at FROM attempts WHERE attempt_id % 3 <> 0)
+, stored AS (SELECT attempt_id, terminal_id, CASE WHEN attempt_id % 5 <> 0 THEN 'I' || (attempt_id % 2) END AS install_id, paper_id, CASE WHEN attempt_id % 11 <> 0 THEN submitted_at END AS exported_at, CAST(attempt_id % 9 AS VARCHAR) AS facts FROM attempts WHERE attempt_id % 3 <> 0)
 , incoming AS (
   SELECT attempt_id % 700 AS file, attempt_id, attempt_id % 4 = 0 AS main, CASE WHEN attempt_id % 41 = 0 THEN 'TX' ELSE terminal_id END AS terminal_id,
     CASE WHEN attempt_id % 29 = 0 THEN 'I9' ELSE 'I' || (attempt_id % 2) END AS install_id, CASE WHEN attempt_id % 19 = 0 THEN 'other' ELSE paper_id END AS paper_id,
-    CASE WHEN attempt_id % 2 = 0 THEN '2999-01-01T00:00:00Z' ELSE submitted_at END AS exported_at FROM attempts
+    CASE WHEN attempt_id % 2 = 0 THEN '2998-12-31T23:30:00-01:00' ELSE submitted_at END AS exported_at, CAST(attempt_id % 9 + CASE WHEN attempt_id % 601 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS facts FROM attempts
   UNION ALL
-  SELECT attempt_id % 700 + 1000, attempt_id, true, terminal_id, NULL, paper_id, '3000-01-01T00:00:00Z' FROM attempts WHERE attempt_id % 8 = 0)
-, j AS (
-  SELECT i.*, s.attempt_id IS NOT NULL AS known, s.paper_id AS s_paper, s.install_id AS s_install,
-    s.attempt_id IS NOT NULL AND (i.terminal_id <> s.terminal_id OR coalesce(i.install_id <> s.install_id, false)) AS clash,
-    s.attempt_id IS NOT NULL AND i.exported_at <= s.exported_at AS old
-  FROM incoming i LEFT JOIN stored s ON s.attempt_id = i.attempt_id)
-, f AS (SELECT file, bool_or(main AND clash) OR NOT bool_or(main) AS failed FROM j GROUP BY 1)
-, k AS (SELECT j.*, failed, max(CASE WHEN NOT failed AND NOT clash AND NOT old THEN {'e': exported_at, 'f': j.file} END) OVER (PARTITION BY attempt_id) AS best FROM j JOIN f ON f.file = j.file)
-, judged AS (
-  SELECT *, CASE WHEN failed THEN 'failed' WHEN clash THEN 'conflict' WHEN old THEN 'skipped' WHEN file <> best.f THEN 'superseded' ELSE 'imported' END AS outcome,
-    CASE WHEN clash THEN 'another terminal or install' WHEN NOT failed AND known AND paper_id <> '' AND s_paper <> '' AND paper_id <> s_paper THEN 'another paper; the stored one is kept' END AS note FROM k)
-"""
+  SELECT attempt_id % 300 + 1000, attempt_id, attempt_id % 7 = 0, CASE WHEN attempt_id % 53 = 0 THEN 'TY' ELSE terminal_id END, NULL, paper_id, '2999-01-01T00:15:00Z', NULL FROM attempts WHERE attempt_id % 8 < 3
+  UNION ALL
+  SELECT attempt_id % 900 + 2000, attempt_id, true, terminal_id, 'I' || (attempt_id % 2), paper_id, '2999-01-01T09:00:00+09:00', NULL FROM attempts WHERE attempt_id % 8 = 0)
+, joined AS (SELECT i.*, s.attempt_id IS NOT NULL AS known, s.terminal_id AS s_terminal, s.install_id AS s_install, s.paper_id AS s_paper, s.exported_at AS s_exported, s.facts AS s_facts FROM incoming i LEFT JOIN stored s ON s.attempt_id = i.attempt_id)
+""" + _judged()
 
 
 def _snapshots(spark: S, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     a, k = R.attempts(spark, d), F.col("attempt_id")
     install = F.concat(F.lit("I"), (k % 2).cast("string"))
-    stored = a.filter(k % 3 != 0).select("attempt_id", "terminal_id", F.when(k % 5 != 0, install).alias("install_id"), "paper_id", F.col("submitted_at").alias("exported_at"))
-    first = a.select(
-        (k % 700).alias("file"), "attempt_id", (k % 4 == 0).alias("main"), F.when(k % 41 == 0, "TX").otherwise(F.col("terminal_id")).alias("terminal_id"), F.when(k % 29 == 0, "I9").otherwise(install).alias("install_id"),
-        F.when(k % 19 == 0, "other").otherwise(F.col("paper_id")).alias("paper_id"), F.when(k % 2 == 0, "2999-01-01T00:00:00Z").otherwise(F.col("submitted_at")).alias("exported_at"),
-    )
-    again = a.filter(k % 8 == 0).select((k % 700 + 1000).alias("file"), "attempt_id", F.lit(True).alias("main"), "terminal_id", F.lit(None).cast("string").alias("install_id"), "paper_id", F.lit("3000-01-01T00:00:00Z").alias("exported_at"))
-    new = first.unionByName(again)
+    none, facts = F.lit(None).cast("string"), (k % 9).cast("string")
+    stored = a.filter(k % 3 != 0).select("attempt_id", "terminal_id", F.when(k % 5 != 0, install).alias("install_id"), "paper_id", F.when(k % 11 != 0, F.col("submitted_at")).alias("exported_at"), facts.alias("facts"))
+
+    def files(where, file, main, terminal, install, paper, exported, facts):
+        named = {"file": file, "attempt_id": k, "main": main, "terminal_id": terminal, "install_id": install, "paper_id": paper, "exported_at": exported, "facts": facts}
+        return a.filter(where).select(*(c.alias(n) for n, c in named.items()))
+
+    t, p = F.col("terminal_id"), F.col("paper_id")
+    many = files(F.lit(True), k % 700, k % 4 == 0, F.when(k % 41 == 0, "TX").otherwise(t), F.when(k % 29 == 0, "I9").otherwise(install), F.when(k % 19 == 0, "other").otherwise(p), F.when(k % 2 == 0, "2998-12-31T23:30:00-01:00").otherwise(F.col("submitted_at")), (k % 9 + F.when(k % 601 == 0, 1).otherwise(0)).cast("string"))
+    later = files(k % 8 < 3, k % 300 + 1000, k % 7 == 0, F.when(k % 53 == 0, "TY").otherwise(t), none, p, F.lit("2999-01-01T00:15:00Z"), none)
+    single = files(k % 8 == 0, k % 900 + 2000, F.lit(True), t, install, p, F.lit("2999-01-01T09:00:00+09:00"), none)
+    new = many.unionByName(later).unionByName(single)
     children = {"answers": R.answers(spark, d).select("attempt_id", "question_id", "answer"), "passages": R.passages(spark, d).select("attempt_id", "passage_index", "correct"), "suites": R.suites(spark, d)}
     inside = {n: c.join(stored.select("attempt_id"), "attempt_id", "left_semi") for n, c in children.items()}
     # A new snapshot has no first question and doubled passage points.
@@ -65,19 +91,27 @@ def _snapshots(spark: S, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFr
 @query("mut_import_outcomes", BASE + STORED + "SELECT file, attempt_id, outcome, note FROM judged")
 def mut_import_outcomes(spark: S, d: str) -> DataFrame:
     stored, new = _snapshots(spark, d)
-    return imports.judge(stored["attempts"], new["attempts"])
+    return imports.judge(stored["attempts"], new["attempts"]).select("file", "attempt_id", "outcome", "note")
+
+
+@query("mut_import_merge", BASE + STORED + """SELECT file, CASE WHEN bool_or(outcome = 'failed') THEN 'failed' WHEN bool_or(outcome = 'imported') THEN 'ok' ELSE 'skipped' END AS status,
+  count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'conflict') AS conflicts FROM judged GROUP BY 1""")
+def mut_import_merge(spark: S, d: str) -> DataFrame:
+    """Files imported one by one, each failing as a whole or not at all."""
+    stored, new = _snapshots(spark, d)
+    return imports.file_outcomes(imports.judge(stored["attempts"], new["attempts"]))
 
 
 @query("mut_import_attempts", BASE + STORED + """
-, t AS (SELECT * FROM judged WHERE outcome = 'imported')
+, t AS (SELECT * FROM judged WHERE last)
 SELECT attempt_id, terminal_id, install_id, paper_id, exported_at FROM stored WHERE attempt_id NOT IN (SELECT attempt_id FROM t)
-UNION ALL SELECT attempt_id, terminal_id, coalesce(s_install, install_id), coalesce(nullif(s_paper, ''), paper_id), exported_at FROM t""")
+UNION ALL SELECT i.attempt_id, i.terminal_id, t.install, t.paper, i.exported_at FROM t JOIN incoming i ON i.file = t.file AND i.attempt_id = t.attempt_id""")
 def mut_import_attempts(spark: S, d: str) -> DataFrame:
-    return imports.import_snapshots(*_snapshots(spark, d))[0]["attempts"]
+    return imports.import_snapshots(*_snapshots(spark, d))[0]["attempts"].select("attempt_id", "terminal_id", "install_id", "paper_id", "exported_at")
 
 
 @query("mut_import_children", BASE + STORED + """
-, t AS (SELECT attempt_id FROM judged WHERE outcome = 'imported'), s AS (SELECT attempt_id FROM stored)
+, t AS (SELECT attempt_id FROM judged WHERE last), s AS (SELECT attempt_id FROM stored)
 SELECT 'answers' AS child, attempt_id, question_id AS key, answer AS value FROM answers WHERE attempt_id IN (SELECT * FROM s) AND attempt_id NOT IN (SELECT * FROM t)
 UNION ALL SELECT 'answers', attempt_id, question_id, 'n' || answer FROM answers WHERE attempt_id IN (SELECT * FROM t) AND question_id <> 'q1'
 UNION ALL SELECT 'passages', attempt_id, CAST(passage_index AS VARCHAR), CAST(CAST(correct AS BIGINT) AS VARCHAR) FROM passages WHERE attempt_id IN (SELECT * FROM s) AND attempt_id NOT IN (SELECT * FROM t)
@@ -312,14 +346,27 @@ def seg_zones(spark: S, d: str) -> DataFrame:
 
 @query("seg_pdf_split")
 def seg_pdf_split(spark: S, d: str) -> DataFrame:
-    """Segments of booklets made of the benchmark's texts, four pages each."""
+    """Segments of booklets made of the benchmark's texts, laid out in five
+    ways: headings, layout alone, a page shared by two passages, two tests
+    with their answers, and questions alone."""
     b, k = read(spark, d, "benchmark"), F.col("item_id")
-    body = F.concat_ws("\n", *[F.col("text")] * 7)
-    pages = b.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    page = (
-        F.when(F.col("p") == 1, F.concat(F.lit("READING PASSAGE 1\n"), body)).when(F.col("p") == 2, "Questions 1-13\n1 What is it?").when(F.col("p") == 3, F.concat(F.lit("READING PASSAGE 2\n"), body)).otherwise("Questions 14-26\n14 What else?")
-    )
-    return split.split_documents(pages.select(k.cast("string").alias("doc"), F.col("p").alias("page"), page.alias("text")))
+    prose = F.concat_ws("\n", *[F.concat(F.translate("text", "\n", " "), F.lit(" and so on until the end of this long line"))] * 7)
+    asked = lambda a, z: F.concat(F.lit(f"Questions {a}-{z}\n{a} "), F.substring("text", 1, 30))
+    titled = lambda n: F.concat(F.lit(f"READING PASSAGE {n}\n"), prose)
+    key = F.lit("ANSWER KEY\n" + "\n".join(f"{n} B" for n in range(1, 14)))
+    few = "\n".join(f"{n} item" for n in range(9, 14)) + "\n"
+    forms = [
+        [titled(1), asked(1, 13), titled(2), asked(14, 26), titled(3), asked(27, 40), key],
+        [prose, asked(1, 13), prose, asked(14, 26)],
+        [titled(1), asked(1, 13), F.concat(F.lit(few), titled(2)), asked(14, 26)],
+        [F.concat(F.lit("Test 1\n"), titled(1)), asked(1, 13), F.concat(F.lit("Test 2\n"), titled(1)), asked(1, 13), key],
+        [asked(1, 13), asked(14, 26), asked(27, 40)],
+    ]
+    page = F.lit(None).cast("array<string>")
+    for n, form in enumerate(forms):
+        page = F.when(k % 5 == n, F.array(*form)).otherwise(page)
+    pages = b.select(k.cast("string").alias("doc"), F.posexplode(page).alias("p", "text"))
+    return split.split_documents(pages.select("doc", (F.col("p") + 1).alias("page"), "text"))
 
 
 @query("num_region_kind", """

@@ -234,22 +234,6 @@ def snk_replace_children(spark: S, d: str) -> DataFrame:
     return library.replace_children(R.answers(spark, d).select("attempt_id", "question_id", "answer"), new, "attempt_id")
 
 
-@query("mut_import_merge", BASE + """
-, old AS (SELECT attempt_id, terminal_id, paper_id, submitted_at AS exported_at, CAST(attempt_id % 9 AS BIGINT) AS score FROM attempts WHERE attempt_id % 3 <> 0)
-, new AS (SELECT attempt_id, attempt_id % 500 AS file, CASE WHEN attempt_id % 41 = 0 THEN 'TX' ELSE terminal_id END AS terminal_id, paper_id,
-          CASE WHEN attempt_id % 2 = 0 THEN '2999-01-01T00:00:00Z' ELSE submitted_at END AS exported_at, CAST(attempt_id % 9 + CASE WHEN attempt_id % 59 = 0 THEN 1 ELSE 0 END AS BIGINT) AS score FROM attempts)
-, j AS (SELECT n.*, o.attempt_id IS NOT NULL AND n.exported_at <= o.exported_at AS stale,
-    CASE WHEN o.attempt_id IS NOT NULL AND o.terminal_id <> n.terminal_id THEN 'terminal conflict'
-         WHEN o.attempt_id IS NOT NULL AND o.paper_id <> '' AND n.paper_id <> '' AND o.paper_id <> n.paper_id THEN 'paper conflict'
-         WHEN o.attempt_id IS NOT NULL AND n.exported_at > o.exported_at AND o.score IS DISTINCT FROM n.score THEN 'facts changed' END AS problem FROM new n LEFT JOIN old o ON o.attempt_id = n.attempt_id)
-SELECT file, CASE WHEN min(problem) IS NOT NULL THEN 'failed' WHEN count(*) FILTER (stale) = count(*) THEN 'skipped' ELSE 'ok' END AS outcome, min(problem) AS problem, count(*) AS attempts FROM j GROUP BY 1""")
-def mut_import_merge(spark: S, d: str) -> DataFrame:
-    a, k = R.attempts(spark, d), F.col("attempt_id")
-    old = a.filter(k % 3 != 0).select("attempt_id", "terminal_id", "paper_id", F.col("submitted_at").alias("exported_at"), (k % 9).alias("score"))
-    new = a.select("attempt_id", (k % 500).alias("file"), F.when(k % 41 == 0, "TX").otherwise(F.col("terminal_id")).alias("terminal_id"), "paper_id", F.when(k % 2 == 0, "2999-01-01T00:00:00Z").otherwise(F.col("submitted_at")).alias("exported_at"), (k % 9 + F.when(k % 59 == 0, 1).otherwise(0)).alias("score"))
-    return library.merge_attempts(old, new)[1]
-
-
 @query("mut_immutable_check", BASE + "SELECT attempt_id, question_id FROM answers WHERE part % 37 = 0 OR (part % 10 = 0 AND score IS NOT NULL)")
 def mut_immutable_check(spark: S, d: str) -> DataFrame:
     a = R.answers(spark, d)

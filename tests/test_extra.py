@@ -60,20 +60,44 @@ def test_columns_and_order(spark):
 PROSE = "\n".join(["The river runs past the old town and then on to the sea in a slow curve."] * 7)
 
 
-def test_page_split():
-    pages = ["Cover", "READING PASSAGE 1\n" + PROSE, "Questions 1-13\n1 What?", "READING\nPASSAGE 2\n" + PROSE, "Questions 14-26\n14 Who?", "ANSWER KEY\n" + "\n".join(f"{n} TRUE" for n in range(1, 27))]
-    found, answers, loose = split.segments(pages)
-    assert [(s["passage"], s["pages"], s["first"], s["last"], s["confidence"]) for s in found] == [(1, [2, 3], 1, 13, "high"), (2, [4, 5], 14, 26, "high")]
-    assert answers == [6] and loose == [1]
+TIMED = "You should spend about 20 minutes on Questions 14–26, which are based on Reading Passage 2\n"
+BOOKLETS = {
+    "headed": ["Cover", "READING PASSAGE 1\n" + PROSE, "Questions 1-13\n1 What?", "READING\nPASSAGE 2\n" + PROSE, "Questions 14-26\n14 Who?", "ANSWER KEY\n" + "\n".join(f"{n} TRUE" for n in range(1, 27))],
+    "bare": [PROSE, "Questions 1-13", PROSE, "Questions 14-26"],
+    "one": [PROSE, "Questions 1-5", PROSE, "Questions 6-13"],
+    "clash": ["PASSAGE 2\n" + PROSE, "Questions 1-13"],
+    "timed": [TIMED + PROSE],
+    "first": ["Questions 1-13\n1 What?", PROSE, "Questions 14-26\n14 Who?", PROSE],
+    "bands": ["Questions 1-13\n1 a", "Questions 14-26\n14 b", "Questions 27-40\n27 c"],
+    "tests": ["Test 1\nREADING PASSAGE 1\n" + PROSE, "Questions 1-13", "Test 2\nREADING PASSAGE 1\n" + PROSE, "Questions 1-13", "Answer key Test 1\n1 A\n2 B\n3 C", "4 D\n5 A\n6 B"],
+    "shared": ["READING PASSAGE 1\n" + PROSE, "Questions 1-13\n1 a", "9 b\n10 c\n11 d\n12 e\n13 f\nREADING PASSAGE 2\n" + PROSE, "Questions 14-26"],
+    "spaced": ["R E A D I N G  P A S S A G E  1\n" + PROSE, "Questions 1to13", "Passage 2\n" + PROSE, "Questionnaire 1"],
+    "blank": ["", None],
+    "neither": ["Test your vocabulary\nQuestions on Reading Passage 1"],
+}
+
+
+def test_page_split(spark):
+    df = spark.createDataFrame([(d, n, t) for d, pages in BOOKLETS.items() for n, t in enumerate(pages, 1)], "doc string, page int, text string")
+    found, answers = {d: [] for d in BOOKLETS}, {}
+    for r in split.split_documents(df).orderBy("doc", "segment").collect():
+        found[r.doc].append(r)
+    for r in split.with_answer_pages(split.page_signals(df)).filter("is_answers").orderBy("page").collect():
+        answers.setdefault(r.doc, []).append(r.page)
+    assert [(s.passage, s.pages, s["first"], s["last"], s.confidence) for s in found["headed"]] == [(1, [2, 3], 1, 13, "high"), (2, [4, 5], 14, 26, "high")]
+    assert answers == {"headed": [6], "tests": [5, 6]} and found["headed"][0].default_split
     # By layout alone: borne out by the numbers, or taken back.
-    bare, _, _ = split.segments([PROSE, "Questions 1-13", PROSE, "Questions 14-26"])
-    assert [s["passage"] for s in bare] == [1, 2]
-    one, _, _ = split.segments([PROSE, "Questions 1-5", PROSE, "Questions 6-13"])
-    assert [s["pages"] for s in one] == [[1, 2, 3, 4]]
-    clash, _, _ = split.segments(["PASSAGE 2\n" + PROSE, "Questions 1-13"])
-    assert clash[0]["confidence"] == "low"
-    told, _, _ = split.segments(["You should spend about 20 minutes on Questions 14–26, which are based on Reading Passage 2\n" + PROSE])
-    assert told[0]["passage"] == 2 and (told[0]["first"], told[0]["last"]) == (14, 26) and "instruction" in told[0]["signals"]
+    assert [s.passage for s in found["bare"]] == [1, 2] and "layout" in found["bare"][0].signals
+    assert [s.pages for s in found["one"]] == [[1, 2, 3, 4]]
+    assert found["clash"][0].confidence == "low" and not found["clash"][0].default_split
+    (timed,) = found["timed"]
+    assert timed.passage == 2 and (timed["first"], timed["last"]) == (14, 26) and "instruction" in timed.signals
+    assert [(s.passage, s.pages) for s in found["first"]] == [(1, [1, 2]), (2, [3, 4])]  # questions come first
+    assert [(s.passage, s.pages, s["first"]) for s in found["bands"]] == [(1, [1], 1), (2, [2], 14), (3, [3], 27)]  # no prose at all
+    assert [(s.test, s.passage, s.pages, s.confidence) for s in found["tests"]] == [(1, 1, [1, 2], "high"), (2, 1, [3, 4], "high")]
+    assert [(s.pages, s.shares_start) for s in found["shared"]] == [([1, 2, 3], False), ([3, 4], True)]
+    assert [(s.passage, s.confidence) for s in found["spaced"]] == [(1, "high"), (2, "high")]
+    assert found["blank"] == found["neither"] == []
 
 
 def test_split_documents(spark):
@@ -90,7 +114,7 @@ def test_import_is_a_whole(spark):
     incoming = spark.createDataFrame(new, "file string, attempt_id long, main boolean, " + names.split(", ", 1)[1])
     rows = spark.createDataFrame([("f4", 1, "q3", "new"), ("f1", 1, "q1", "stale"), ("f2", 3, "q1", "never")], "file string, attempt_id long, question_id string, answer string")
     out, outcomes = imports.import_snapshots({"attempts": stored, "answers": children}, {"attempts": incoming, "answers": rows})
-    assert {(r.file, r.attempt_id): r.outcome for r in outcomes.collect()} == {("f1", 1): "superseded", ("f1", 2): "conflict", ("f2", 2): "failed", ("f2", 3): "failed", ("f3", 3): "skipped", ("f4", 1): "imported"}
+    assert {(r.file, r.attempt_id): r.outcome for r in outcomes.collect()} == {("f1", 1): "imported", ("f1", 2): "conflict", ("f2", 2): "failed", ("f2", 3): "failed", ("f3", 3): "skipped", ("f4", 1): "imported"}
     assert sorted((r.attempt_id, r.question_id, r.answer) for r in out["answers"].collect()) == [(1, "q3", "new"), (2, "q1", "old"), (3, "q1", "old")]
     first = out["attempts"].filter("attempt_id = 1").first()
     assert (first.paper_id, first.install_id, first.exported_at) == ("P1", "I1", "2024-03-01T00:00:00+00:00")
@@ -209,10 +233,13 @@ def test_page_queries_give_whole_pages(spark, small):
     columns = plans.QUERIES["num_column_assign"](spark, small).collect()
     assert len(columns) == 300 and {r.column for r in columns} == {None, 0, 1}
     tables = plans.QUERIES["num_table_ruled"](spark, small).collect()
-    ruled = [t for t in tables if t.how == "ruling_lines"]
-    assert {int(t.doc) % 3 for t in ruled} == {1, 2} and len(ruled) == 5 and all((t["columns"], t["rows"]) == (3, 4) for t in ruled)
-    assert all(int(t.doc) % 3 == 0 for t in tables if t.how == "text_alignment")
+    assert {(t.how, t["columns"], t["rows"]) for t in tables} == {("ruling_lines", 4, 5), ("text_alignment", 4, 4)} and len(tables) == 15
     pages = plans.QUERIES["seg_enrich_page"](spark, small).collect()
     assert {p.doc for p in pages} == {str(i) for i in range(6)}
     segments = plans.QUERIES["seg_pdf_split"](spark, small).collect()
-    assert sorted((s.doc, s.passage) for s in segments) == sorted((str(i), p) for i in range(6) for p in (1, 2))
+    form = {d: sorted((s.test, s.passage, tuple(s.pages)) for s in segments if s.doc == d) for d in {s.doc for s in segments}}
+    assert form["0"] == [(None, 1, (1, 2)), (None, 2, (3, 4)), (None, 3, (5, 6))]
+    assert form["1"] == [(None, 1, (1, 2)), (None, 2, (3, 4))]
+    assert form["2"] == [(None, 1, (1, 2, 3)), (None, 2, (3, 4))]
+    assert form["3"] == [(1, 1, (1, 2)), (2, 1, (3, 4))]
+    assert form["4"] == [(None, 1, (1,)), (None, 2, (2,)), (None, 3, (3,))]
