@@ -18,7 +18,12 @@ S = SparkSession
 read = R.read
 
 
-@query("win_event_intervals")
+@query("win_event_intervals", """
+WITH e AS (SELECT user_id AS attempt_id, event_id AS seq, event_id % 2 = 0 AS opens, event_id % 3 AS passage_index, event_id::DOUBLE AS clock, event_id // 5000 AS clock_id FROM events)
+, b AS (SELECT *, lag(opens) OVER w AS before, lag(clock) OVER w AS began, lag(clock_id) OVER w AS began_id, lead(seq) OVER w IS NULL AS last FROM e WINDOW w AS (PARTITION BY attempt_id, passage_index ORDER BY seq))
+, p AS (SELECT *, NOT opens AND coalesce(before, false) AND began_id = clock_id AND clock >= began AS pair FROM b)
+, j AS (SELECT *, bool_or(CASE WHEN opens THEN coalesce(before, false) OR last ELSE NOT pair END) OVER (PARTITION BY attempt_id) AS wrong FROM p)
+SELECT attempt_id, CAST(passage_index AS INTEGER) AS passage_index, clock - began AS seconds, NOT wrong AS complete FROM j WHERE pair""")
 def win_event_intervals(spark: S, d: str) -> DataFrame:
     e = read(spark, d, "events")
     kind = F.element_at(F.array(F.lit("enter"), F.lit("leave"), F.lit("focus"), F.lit("blur")), (F.col("event_id") % 4 + 1).cast("int"))
