@@ -58,7 +58,10 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 LISTS = frozenset("ul ol menu dl table select".split())
 #: Words in class, id or role that mark page furniture (fixed values).
 ADVERT = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored promo promotion".split())
-COMMENT = frozenset("comment comments commentlist respond reply replies disqus".split())
+COMMENT = frozenset(
+    "comment comments commentlist respond reply replies responses reactions discussion discussions disqus feedback reviews guestbook "
+    "kommentar kommentare commentaire commentaires comentario comentarios commenti komentarze".split()
+)
 MARK = (
     ADVERT
     | COMMENT
@@ -70,21 +73,27 @@ MARK = (
 #: Words that make a class name a state, or a part of the article (fixed values).
 STATE = frozenset("has with no without is not hide show".split())
 PART = frozenset("post article entry story content section".split())
+BODY = frozenset("text body content copy paragraph".split())
+#: Tags whose mark always holds (fixed values).
+SURE = frozenset("nav footer aside select option dialog menu svg canvas object audio video map head".split())
 SPLIT = re.compile(r"[_-]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORDS = re.compile(r"\w+")
 
 
 class Element:
-    """A marked element: whether its end tag came, its blocks, its parent."""
+    """A marked element: whether its end tag came, whether its mark holds
+    whatever else the page has, its blocks, its parent."""
 
-    __slots__ = ("closed", "comment", "first", "last", "up")
+    __slots__ = ("closed", "first", "last", "sure", "up")
 
-    def __init__(self, comment: bool, first: int, up: Element | None):
-        self.closed, self.comment, self.first, self.last, self.up = False, comment, first, -1, up
+    def __init__(self, sure: bool, first: int, up: Element | None):
+        self.closed, self.sure, self.first, self.last, self.up = False, sure, first, -1, up
 
 
-Block = tuple[str, int, Element | None, bool]  # text, characters in links, innermost marked element, in the article
+#: Text, characters in links, innermost marked element, and 1 in the article or
+#: 2 in a heading of the first order outside of it.
+Block = tuple[str, int, Element | None, int]
 
 
 def marks(value: str) -> set[str]:
@@ -95,7 +104,9 @@ def marks(value: str) -> set[str]:
         if STATE.intersection(words):
             continue
         own = MARK.intersection(words)
-        found |= own - {"header"} if words[0] in PART else own
+        if words[0] in PART:
+            own -= MARK - COMMENT if words[-1] in BODY else {"header"}
+        found |= own
     return found
 
 
@@ -151,7 +162,8 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
     open_tags: list[tuple[str, Element | None, bool]] = []  # tag, marked element, article
-    counts: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of the open elements of a tag
+    lists: list[int] = []  # places of open lists and tables
     parts: list[str] = []
     linked: list[str] = []
     in_link, article = False, 0
@@ -165,7 +177,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
             links = " ".join(html.unescape("".join(linked)).split())
-            out.append((text, len(links), own or element, article > 0))
+            out.append((text, len(links), own or element, 1 if article else 2 if places.get("h1") else 0))
         parts.clear()
         linked.clear()
         own, skipped = None, ""
@@ -173,7 +185,9 @@ def blocks(page: str) -> list[Block]:
     def pop(explicit: bool) -> str:
         nonlocal article, element
         tag, e, a = open_tags.pop()
-        counts[tag] -= 1
+        places[tag].pop()
+        if tag in LISTS:
+            lists.pop()
         article -= a
         if e is not None:
             e.closed, e.last, element = explicit, len(out), e.up
@@ -231,7 +245,7 @@ def blocks(page: str) -> list[Block]:
         in_link = False
         if closing:
             # A stray end tag closes nothing; others close what they contain.
-            if counts.get(tag):
+            if places.get(tag):
                 while pop(open_tags[-1][0] == tag) != tag:
                     pass
             continue
@@ -239,13 +253,10 @@ def blocks(page: str) -> list[Block]:
             continue
         for inner in ENDS.get(tag, ()):
             # An item ends the one before it in the same list.
-            k = len(open_tags) - 1
-            if counts.get(inner):
-                while k >= 0 and open_tags[k][0] != inner and open_tags[k][0] not in LISTS and len(open_tags) - k < 40:
-                    k -= 1
-                if k >= 0 and open_tags[k][0] == inner:
-                    while len(open_tags) > k:
-                        pop(True)
+            k = places[inner][-1] if places.get(inner) else -1
+            if k > (lists[-1] if lists else -1):
+                while len(open_tags) > k:
+                    pop(True)
         found, hidden = attributes(raw) if raw else (set(), False)
         plain = tag in ("html", "body", *MAIN)
         f = tag in FURNITURE or (tag == "header" and not article) or (bool(found) and not plain) or hidden
@@ -253,15 +264,17 @@ def blocks(page: str) -> list[Block]:
             f = False  # a heading group inside the article is part of it
         if tag == "p":  # ends at the next block, marked or not
             if f:
-                own = Element(bool(found & COMMENT), len(out), element)
+                own = Element(hidden or bool(found & COMMENT), len(out), element)
                 own.closed, own.last = True, len(out) + 1
             continue
         if raw.rstrip().endswith("/"):
             continue
         a = tag in MAIN
-        e = Element(bool(found & COMMENT), len(out), element) if f else None
+        e = Element(hidden or tag in SURE or bool(found & COMMENT), len(out), element) if f else None
+        places.setdefault(tag, []).append(len(open_tags))
+        if tag in LISTS:
+            lists.append(len(open_tags))
         open_tags.append((tag, e, a))
-        counts[tag] = counts.get(tag, 0) + 1
         article += a
         element = e or element
     flush()
@@ -270,51 +283,71 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def densities(text: str) -> tuple[int, float]:
-    """(length, share of stop words)."""
+def densities(text: str) -> tuple[int, float | None]:
+    """(length, share of stop words); the share is unknown where most letters
+    are of a script without stop words here. Wide letters count twice."""
+    n_latin = n_other = n_wide = 0
+    if not text.isascii():
+        for c in text:
+            if c.isalpha():
+                n_latin, n_other, n_wide = n_latin + (c < "\u0250"), n_other + (c >= "\u0250"), n_wide + (c >= "\u2e80")
+    if n_other > n_latin:
+        return len(text) + n_wide, None
     words = WORDS.findall(text.lower())
-    return len(text), sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-
-
-def believed(found: list[Block], prose: list[int], sizes: list[int], least: int = 400) -> dict[int, bool]:
-    """For each marked element, by identity, whether its mark holds.
-
-    It holds if the element is closed and, but for comments, doesn't hold more
-    than two thirds of the page with ``least`` characters of prose or more; or
-    if the element lies in one whose mark holds."""
-    text, all_prose = [0], [0]
-    for n, m in zip(sizes, prose):
-        text.append(text[-1] + n)
-        all_prose.append(all_prose[-1] + m)
-    holds: dict[int, bool] = {}
-    for _, _, e, _ in found:
-        chain = []
-        while e is not None and id(e) not in holds:
-            chain.append(e)
+    return len(text) + n_wide, sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def held(found: list[Block], prose: list[int], most_links: float = 0.5) -> list[bool]:
+    """Whether each block is in an element whose mark holds.
+
+    A mark holds unless the page has no text outside marked elements, that is
+    no block in an article, none of prose and none that ends as a sentence
+    does. Then marks of tags such as nav, footer and aside, of comments and of
+    what is hidden still hold, others only where they hold no prose: a form or
+    a box around the whole page. An element without an end marks its first
+    block only.
+    """
+    first = [e is not None and not e.closed and e.first == i for i, (_, _, e, _) in enumerate(found)]
+    inside: list[bool] = []
+    for i, (_, _, e, _) in enumerate(found):
+        while e is not None and not e.closed:
+            e = e.up
+        inside.append(e is not None or first[i])
+    for i, (t, links, _, article) in enumerate(found):
+        if not inside[i] and (prose[i] or article == 1 or (2 * links <= len(t) and t[-1] in ".!?…。！？")):
+            return inside
+    total = [0]
+    for n in prose:
+        total.append(total[-1] + n)
+    out = []
+    for i, (_, _, e, _) in enumerate(found):
+        holds = first[i]
+        while e is not None and not holds:
+            holds = e.closed and (e.sure or total[min(e.last, len(prose))] == total[e.first])
             e = e.up
-        for x in reversed(chain):
-            stop = min(x.last, len(sizes))
-            page = not x.comment and 3 * (text[stop] - text[x.first]) > 2 * text[-1] and all_prose[stop] - all_prose[x.first] >= least
-            holds[id(x)] = (x.closed and not page) or (x.up is not None and holds[id(x.up)])
-    return holds
+        out.append(holds)
+    return out
 
 
 def classify(found: list[Block], most_links: float = 0.5, short: int = 70, some_stop: float = 0.1, many_stop: float = 0.25) -> list[bool]:
     """Whether each block is text, by the two passes."""
     facts = [densities(b[0]) for b in found]
-    dense = [b[1] / n for b, (n, _) in zip(found, facts)]
+    dense = [b[1] / n if (n := len(b[0])) else 0.0 for b in found]
+    # Stop words speak only where the page outside of marks has some.
+    known = any(stop is not None and stop >= some_stop and n >= short for (n, stop), (_, _, e, _) in zip(facts, found) if e is None or not e.closed)
+    facts = [(n, many_stop if stop is None or not known else stop) for n, stop in facts]
     prose = [n if n >= short and stop >= some_stop and links <= most_links else 0 for (n, stop), links in zip(facts, dense)]
     sizes = [n for n, _ in facts]
-    holds = believed(found, prose, sizes)
-    # An element without an end marks its first block only.
-    marked = [e is not None and (holds[id(e)] or (not e.closed and e.first == i)) for i, (_, _, e, _) in enumerate(found)]
-    inside = sum(n for n, b, m in zip(sizes, found, marked) if b[3] and not m)
-    outside = sum(n for n, b, m in zip(prose, found, marked) if not b[3] and not m)
-    any_inside = any(b[3] and not m for b, m in zip(found, marked))
-    whole = any_inside and inside >= outside  # the article holds the prose of the page
+    marked = held(found, prose)
+    inside = sum(n for n, b, m in zip(sizes, found, marked) if b[3] == 1 and not m)
+    outside = sum(n for n, b, m in zip(prose, found, marked) if b[3] != 1 and not m)
+    starts = next((i for i, (b, m) in enumerate(zip(found, marked)) if b[3] == 1 and not m), None)
+    whole = starts is not None and inside >= outside  # the article holds the prose of the page
+    # The title of a page stands in or above the article.
+    found = [(t, n, e, 1 if a == 1 or (a == 2 and whole and i < starts) else 0) for i, (t, n, e, a) in enumerate(found)]
     labels: list[bool | None] = []
     for (n, stop), links, (_, _, _, article), mark in zip(facts, dense, found, marked):
-        article = article and whole
+        article = bool(article) and whole
         score = 0
         if links > most_links:
             score -= 2
@@ -350,6 +383,8 @@ def classify(found: list[Block], most_links: float = 0.5, short: int = 70, some_
         elif not whole:
             before = (i, False)
         out.append(bool(label))
+    if not any(out):  # a short page: what nothing speaks against is its text
+        out = [label is None and not mark and links <= most_links for label, mark, links in zip(labels, marked, dense)]
     return out
 
 
