@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyloom import roles as R
 from tallyloom.functions import documents, similarity, text
-from tallyloom.operators import events, layout, reconcile
+from tallyloom.operators import events, json_diff, layout, reconcile
 from tallyloom.plans.registry import query
 from tallyloom.sources import files
 
@@ -200,17 +200,22 @@ def num_coverage_ledger(spark: S, d: str) -> DataFrame:
     return reconcile.coverage_ledger(n, n.filter("node % 3 = 0"), n.filter("node % 3 = 1").withColumn("reason", F.lit("decoration")), ["doc", "node"])[1]
 
 
-@query("diff_json")
+@query("diff_json", """
+WITH e AS (SELECT user_id, event_id, event_type AS t, value, props, lag(event_type) OVER w AS t0, lag(value) OVER w AS value0, lag(props) OVER w AS props0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+, f AS (SELECT * FROM e WHERE t0 IS NOT NULL)
+, letters AS (SELECT event_id, t, t0, unnest(range(length(t))) AS i FROM f WHERE length(t) = length(t0))
+SELECT event_id, '/type' AS path, '"' || t0 || '"' AS before, '"' || t || '"' AS after FROM f WHERE t <> t0
+UNION ALL SELECT event_id, '/props/k', CAST(props0->'$.k' AS VARCHAR), CAST(props->'$.k' AS VARCHAR) FROM f WHERE props0->>'$.k' IS DISTINCT FROM props->>'$.k'
+UNION ALL SELECT event_id, '/letters/' || i, '"' || t0[i + 1] || '"', '"' || t[i + 1] || '"' FROM letters WHERE t[i + 1] <> t0[i + 1]
+UNION ALL SELECT event_id, '/letters', '["' || array_to_string(string_split(t0, ''), '","') || '"]', '["' || array_to_string(string_split(t, ''), '","') || '"]' FROM f WHERE length(t) <> length(t0)
+UNION ALL SELECT event_id, '/high', CASE WHEN value0 > 50 THEN 'true' END, CASE WHEN value > 50 THEN 'true' END FROM f WHERE (value > 50) <> (value0 > 50)""")
 def diff_json(spark: S, d: str) -> DataFrame:
-    import json
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def paths(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[p for p, _, _ in documents.diff(json.loads(x), json.loads(y))] for x, y in zip(a, b)])
-
-    e = read(spark, d, "events")
-    changed = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("added")))
-    return e.select("event_id", paths("props", changed).alias("paths"))
+    """What changed from each event to the next of its user, as documents."""
+    t = F.col("event_type")
+    letters = F.concat(F.lit('["'), F.array_join(F.split(t, "(?<=.)(?=.)"), '","'), F.lit('"]'))
+    high = F.when(F.col("value") > 50, ',"high":true').otherwise("")
+    doc = F.concat(F.lit('{"props":'), F.col("props"), F.lit(',"letters":'), letters, high, F.lit(',"type":"'), t, F.lit('"}'))
+    return json_diff.consecutive(read(spark, d, "events"), "user_id", "event_id", doc, "event_id")
 
 
 @query("num_fnv_sample")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyloom import roles as R
 from tallyloom.functions import documents, questions, similarity, text
-from tallyloom.operators import imports, layout, metrics, quality, reconcile, split
+from tallyloom.operators import imports, json_diff, layout, metrics, quality, reconcile, split
 from tallyloom.plans.registry import query
 from tallyloom.roles import FACTS, ROLES
 
@@ -591,20 +591,16 @@ def js_text_concat(spark: S, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", gathered(doc).alias("t"))
 
 
-@query("js_structural_equal", "SELECT c_custkey, c_custkey % 3 <> 0 AS same FROM customer")
+@query("js_structural_equal", """
+WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, lag(o_orderstatus) OVER w AS s0, lag(o_orderpriority) OVER w AS p0 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_orderkey, s = s0 AND p = p0 AS same FROM o WHERE s0 IS NOT NULL""")
 def js_structural_equal(spark: S, d: str) -> DataFrame:
-    """Equality of JSON values whatever the order of their keys."""
-    import json
-
-    k = F.col("c_custkey")
-    a = F.to_json(F.struct(F.col("c_name").alias("b"), k.alias("a")))
-    b = F.to_json(F.struct(k.alias("a"), F.when(k % 3 == 0, "other").otherwise(F.col("c_name")).alias("b")))
-
-    @F.pandas_udf(T.BooleanType())
-    def equal(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([documents.canonical(json.loads(p)) == documents.canonical(json.loads(q)) for p, q in zip(x, y)])
-
-    return read(spark, d, "customer").select("c_custkey", equal(a, b).alias("same"))
+    """Whether an order's document equals that of the customer's order before
+    it, whatever the order of its keys and its white space."""
+    one = F.concat(F.lit('{"status":"'), F.col("o_orderstatus"), F.lit('","more":{"p":["'), F.col("o_orderpriority"), F.lit('"]}}'))
+    other = F.concat(F.lit('{ "more" : {"p": [ "'), F.col("o_orderpriority"), F.lit('"] }, "status": "'), F.col("o_orderstatus"), F.lit('" }'))
+    o = read(spark, d, "orders").select("o_orderkey", one.alias("a"), F.lag(other).over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b"))
+    return o.filter("b IS NOT NULL").select("o_orderkey", json_diff.same_value(F.col("a"), F.col("b")).alias("same"))
 
 
 @query("dt_format", BASE + """
