@@ -10,9 +10,14 @@ from tallyloom.functions.text import tokens
 
 def _as_characters(words: Column, every: Column) -> Column:
     """A word sequence as a string with one character for each distinct word,
-    so that the built-in edit distance counts words."""
-    code = F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, w) + 0x3400), 4, "0")), "UTF-16BE"))
-    return F.array_join(code, "")
+    so that the built-in edit distance counts words. Surrogates are no
+    characters: the numbering leaves them out."""
+
+    def code(w: Column) -> Column:
+        n = F.array_position(every, w) + 0x3400 - 1
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")), "UTF-32")
+
+    return F.array_join(F.transform(words, code), "")
 
 
 def error_rates(rows: DataFrame, reference: str, prediction: str) -> DataFrame:

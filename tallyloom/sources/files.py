@@ -1,11 +1,8 @@
-"""Text, JSON lines, word-processor files, and the table sinks."""
+"""Text, JSON lines, audio folders, and the table sinks."""
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,20 +48,6 @@ def binary_documents(spark: SparkSession, path: str, suffix: str, parse: Callabl
     return files.select("path", "content").mapInPandas(run, "path string, block int, text string")
 
 
-def docx_blocks(content: bytes) -> list[str]:
-    """Paragraphs of an OOXML document, table cells joined by tabs."""
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{w}body")
-    words = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t")).strip()
-    out = []
-    for e in body if body is not None else []:
-        if e.tag == f"{w}tbl":
-            out += ["\t".join(words(c) for c in r.iter(f"{w}tc")) for r in e.iter(f"{w}tr")]
-        elif e.tag == f"{w}p" and words(e):
-            out.append(words(e))
-    return out
-
-
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
     """Audio file names in natural order."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp3").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
