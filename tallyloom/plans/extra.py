@@ -4,6 +4,8 @@ say the same; the others are tested against plain Python."""
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +17,8 @@ from tallyloom.functions import documents, questions, similarity, text
 from tallyloom.operators import imports, json_diff, layout, metrics, quality, reconcile, split
 from tallyloom.plans.registry import query
 from tallyloom.roles import FACTS, ROLES
+from tallyloom.sources import workbook
+from tallyloom.sources.durable import durable, shared_folder
 
 S = SparkSession
 BASE = f"WITH {ROLES}"
@@ -629,3 +633,18 @@ def snk_export(spark: S, d: str) -> DataFrame:
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("sheet"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("snk_xlsx", ALL + """
+, d AS (SELECT e.* FROM effective e JOIN valid v ON v.attempt_id = e.attempt_id)
+SELECT 'items' AS sheet, count(*) AS n, 4 AS columns FROM (SELECT DISTINCT passage_index, question_id FROM d) UNION ALL SELECT 'kinds', count(*), 3 FROM (SELECT DISTINCT coalesce(kind, '') FROM d)
+UNION ALL SELECT 'scores', count(*), 8 FROM valid""")
+def snk_xlsx(spark: S, d: str) -> DataFrame:
+    """Rows and columns of sheets that were written to a workbook, as they are
+    read back from it. A sheet holds 2^20 rows at most, by its format."""
+    from tallyloom.plans import sheets
+
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}.xlsx"
+    tables = sheets.export_tables(spark, d)
+    workbook.write_workbook({n: durable(tables[n]) for n in ("scores", "items", "kinds")}, path)
+    return workbook.read_workbooks(spark, path).filter("row > 0").groupBy("sheet").agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("columns"))

@@ -217,12 +217,6 @@ def num_score_attempt(spark: S, d: str) -> DataFrame:
     return reconcile.score_slots(s).groupBy("attempt_id").agg(F.count("*").alias("possible"), F.count(F.when(F.col("correct"), 1)).alias("earned"))
 
 
-@query("num_number_score", "SELECT p_partkey, round(CASE WHEN p_size > 10 THEN 0.3 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 0.15 ELSE 0 END + 0.1 - CASE WHEN p_partkey % 3 = 0 THEN 0.25 ELSE 0 END, 6) AS score FROM part")
-def num_number_score(spark: S, d: str) -> DataFrame:
-    k, add = F.col("p_partkey"), lambda c, v: F.when(c, v).otherwise(0.0)
-    return read(spark, d, "part").select("p_partkey", F.round(add(F.col("p_size") > 10, 0.3) + add(k % 2 == 0, 0.15) + 0.1 - add(k % 3 == 0, 0.25), 6).alias("score"))
-
-
 @query("js_set", "SELECT event_id, '{\"k\":\"' || event_type || '\",\"v\":' || event_id || '}' AS doc FROM events")
 def js_set(spark: S, d: str) -> DataFrame:
     doc = F.from_json(F.to_json(F.struct(F.lit("old").alias("k"), F.col("event_id").alias("v"))), "k string, v long")
