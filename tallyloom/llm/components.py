@@ -23,13 +23,15 @@ def _stars(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node reachable, for every node with an edge.
 
-    ``edges`` has two columns of one type; loops and repeats do no harm.
+    ``edges`` has two columns of one type; loops and repeats do no harm. Rounds
+    grow with the logarithm of the nodes; more than ``most_rounds`` is an error
+    and no unfinished result.
     """
     e = edges.toDF("a", "b").filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialise(e, "edges")
     for _ in range(most_rounds):
         if e.isEmpty():
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # Upward: larger neighbours go to the least of the neighbourhood.
         s = _stars(e)
         up = s.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("low").alias("b"))
@@ -41,7 +43,6 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Done when every node hangs on one root and no root hangs on another.
         roots = new.select(F.col("b").alias("a")).distinct()
         if new.groupBy("a").count().filter("count > 1").isEmpty() and new.join(roots, "a", "left_semi").isEmpty():
-            e = new
-            break
+            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
         e = new
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components not settled after {most_rounds} rounds")

@@ -21,8 +21,9 @@ run inside (source, bucket) only.
 
 Defined cases: a null text or one without words has size 0, takes 0 and sits
 at its neighbours' position; a null source is a source of its own, the last;
-an empty table gives an empty result; repeated rows count as documents; a new
-column whose name the table has gets an underscore.
+an empty table gives an empty result; repeated rows count as documents; a row
+without an id is dealt by its text, and rows of one id and size come by their
+text; a new column whose name the table has gets an underscore.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ from tallyloom.llm._shared import SPACE, free
 def with_sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digits: int = 2, name: str = "__m") -> DataFrame:
     """``docs`` with a struct ``name``: size in words, order key and bucket."""
     n = F.size(F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACE + "+"), "")).cast("long")
-    key = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")))
-    return docs.withColumn(name, F.struct(n.alias("size"), key.alias("key"), F.substring(key, 1, digits).alias("bucket")))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # Rows without an id are dealt by their text, and rows of one id by it too.
+    key = F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), t))
+    return docs.withColumn(name, F.struct(n.alias("size"), key.alias("key"), F.substring(key, 1, digits).alias("bucket"), F.xxhash64(t).alias("tie")))
 
 
 def source_targets(
@@ -102,7 +105,7 @@ def mix(
         .select(F.coalesce(F.col("b.source"), F.lit("")).alias(key), F.col("b.source").isNull().alias(none), F.col("bucket").alias(bucket), F.struct("offset", "source_size", "target", "slope").alias(own))
     )
     keyed = sized.withColumns({key: F.coalesce(src, F.lit("")), none: F.col(src).isNull(), bucket: F.col(f"{m}.bucket")})
-    inside = W.partitionBy(key, none, bucket).orderBy(f"{m}.key", F.col(f"`{doc_id}`"), f"{m}.size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(key, none, bucket).orderBy(f"{m}.key", F.col(f"`{doc_id}`"), f"{m}.size", f"{m}.tie").rowsBetween(W.unboundedPreceding, -1)
     run = keyed.withColumn(begin, F.coalesce(F.sum(f"{m}.size").over(inside), F.lit(0)))
     whole, size, total = F.floor(f"{own}.target"), F.col(f"{m}.size"), F.col(f"{own}.source_size")
     start = F.col(f"{own}.offset") + F.col(begin)

@@ -62,7 +62,7 @@ FROM base
 OP9 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(CAST(doc_id AS VARCHAR)) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk
@@ -182,9 +182,11 @@ WITH RECURSIVE hashed AS (
   SELECT id, turn, role, text, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text, copy) AS k
   FROM damaged d JOIN ids i ON d.conv_id IS NOT DISTINCT FROM i.conv_id
 ), judged AS (
-  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
          row_number() OVER (PARTITION BY id, role, text ORDER BY k) > 1 AS again,
-         NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, lag(substr(role, 1, 1)) OVER (PARTITION BY id ORDER BY k) AS before
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut, lag(substr(role, 1, 1)) OVER (PARTITION BY id ORDER BY k) AS before
   FROM numbered
 ), codes AS (
   SELECT id, k, role, text, initial, blank OR again AS forced, CASE WHEN cut THEN 3 ELSE 0 END AS extra FROM judged

@@ -141,3 +141,24 @@ def test_mixing(docs):
     seq = mixing.curriculum(df.drop("mix"), docs_a_bucket=5).collect()
     assert sum(r.taken for r in seq) == sum(taken.values()) and [r.position for r in seq] == sorted(r.position for r in seq)
     assert all(0 <= r.position <= 1 for r in seq)
+
+
+def test_mix_of_rows_without_ids(spark):
+    """They are spread by their text, and nothing of them is lost or fixed by chance."""
+    rows = [(None, "word " * (k % 7) + f"t{k}", "s", "x") for k in range(300)] + [(5, "one two", "s", None), (5, "two one", "s", None), (None, None, None, None), (None, "", "s", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.mix(docs.drop("mix"), docs_a_bucket=20)
+    sizes = {t: len([w for w in words(t) if w]) for _, t, _, _ in rows}
+    got = [(r.text, r.mix.size, r.mix.taken, r.mix.start) for r in found.collect()]
+    assert len(got) == len(rows) and all(n == sizes[t] and 0 <= taken <= 2 * n for t, n, taken, _ in got)
+    again = mixing.mix(docs.drop("mix").repartition(7), docs_a_bucket=20).collect()
+    assert sorted(map(str, got)) == sorted(str((r.text, r.mix.size, r.mix.taken, r.mix.start)) for r in again)
+    sized = mixing.with_sizes(docs, name="m")
+    assert sized.select("m.bucket").distinct().count() > 50
+
+
+def test_quality_of_rows_without_ids(spark):
+    text = "\n".join("Line " + " ".join(f"w{k}{j}" for j in range(9)) + "." for k in range(9))
+    docs = spark.createDataFrame([(None, text, None, None), (None, text, "s", None), (None, None, None, None)], SCHEMA)
+    assert [r.quality.kept for r in quality_rules.quality_report(docs).orderBy(F.col("text").isNull()).collect()] == [True, True, False]
+    assert quality_rules.clean_documents(docs).count() == 2
