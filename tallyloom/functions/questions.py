@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from tallyloom.functions.similarity import lis_length
 
@@ -76,8 +77,8 @@ def alignment_report(matches: list[tuple[str, float, int]], source_chars: int, t
     real = [m for m in matches if len(m[0]) >= 3]
     good = [m for m in real if m[1] >= 0.8]
     invented = sum(m[1] < 0.6 for m in real)
-    texts = [m[0] for m in real]
-    places = [p for t, s, p in good if p >= 0 and len(t.split()) >= 5 and texts.count(t) == 1]
+    times = Counter(m[0] for m in real)
+    places = [p for t, s, p in good if p >= 0 and len(t.split()) >= 5 and times[t] == 1]
     order = lis_length(places) / len(places) if places else 1.0
     ratio = text_chars / source_chars if source_chars else 0.0
     share = len(good) / len(real) if real else 1.0
