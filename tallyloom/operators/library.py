@@ -160,11 +160,42 @@ def multiset_common(left: DataFrame, right: DataFrame, key: list[str], item: str
     )
 
 
+def _dyadic(low: Column, high: Column, bits: int) -> Column:
+    """The largest aligned ranges that make up low..high: two at most of each
+    size, as structs of level (a range holds 2^level numbers) and node."""
+    start = F.struct(low.alias("a"), high.alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out"))
+
+    def step(s: Column, level: Column) -> Column:
+        left, right = (s["a"] <= s["b"]) & (s["a"] % 2 == 1), (s["a"] <= s["b"]) & (s["b"] % 2 == 0)
+        node = lambda c: F.struct(level.alias("level"), c.alias("node"))
+        picked = F.array_compact(F.array(F.when(left, node(s["a"])), F.when(right & ~(left & (s["a"] == s["b"])), node(s["b"]))))
+        a, b = F.when(left, s["a"] + 1).otherwise(s["a"]), F.when(right, s["b"] - 1).otherwise(s["b"])
+        # A range that is used up stays so: its ends are moved past each other.
+        done = a > b
+        return F.struct(F.when(done, F.lit(1).cast("long")).otherwise(F.shiftright(a, 1)).alias("a"), F.when(done, F.lit(0).cast("long")).otherwise(F.shiftright(b, 1)).alias("b"), F.concat(s["out"], picked).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits)), start, step, lambda s: s["out"])
+
+
 def range_assign(numbers: DataFrame, segments: DataFrame, key: str) -> DataFrame:
-    """The first segment, in order, whose bounds hold a number."""
-    on = (F.col(f"n.{key}") == F.col(f"s.{key}")) & F.col("n.number").between(F.col("s.low"), F.col("s.high"))
-    j = numbers.alias("n").join(segments.alias("s"), on, "left")
-    return j.groupBy(f"n.{key}", "n.number").agg(F.min("s.segment").alias("segment"))
+    """The first segment, in order, whose bounds hold a number.
+
+    Bounds are cut into aligned ranges of powers of two and of each range only
+    the first segment is kept; a number looks up the range of each size that it
+    lies in. Rows grow with the logarithm of the numbers and not with the
+    product of a key's numbers and segments, and no key is one task.
+    """
+    n = numbers.select(key, F.col("number").cast("long").alias("number"))
+    top = n.agg(F.max("number").alias("high"), F.min("number").alias("low")).first()
+    base, limit = top["low"] or 0, top["high"] or 0
+    bits = max(1, (limit - base).bit_length())
+    low, high = F.greatest(F.col("low").cast("long"), F.lit(base)) - base, F.least(F.col("high").cast("long"), F.lit(limit)) - base
+    cut = segments.select(key, "segment", low.alias("a"), high.alias("b")).filter("a <= b")
+    nodes = cut.select(key, "segment", F.explode(_dyadic(F.col("a"), F.col("b"), bits)).alias("d")).groupBy(key, "d.level", "d.node").agg(F.min("segment").alias("segment"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("number") - base, k).alias("node")))
+    asked = n.select(key, "number", F.explode(at).alias("d")).select(key, "number", "d.level", "d.node")
+    found = asked.join(nodes, [key, "level", "node"], "left").groupBy(key, "number").agg(F.min("segment").alias("segment"))
+    return found.withColumn("number", F.col("number").cast(numbers.schema["number"].dataType))
 
 
 def set_coverage(declared: Column, actual: Column) -> Column:
