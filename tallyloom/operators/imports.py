@@ -130,8 +130,11 @@ def rejudge(attempts: DataFrame, answers: DataFrame, passages: DataFrame, overri
     question_id, answer, weight, review_version.
 
     rule: scope (paper, exam or slot), accepted (answers), and paper; exam and
-    hash; or exam, hash and slot. Only submitted attempts and answers without
-    an active override count.
+    hash; or exam, hash and slot; modality (reading if not said). Only
+    submitted attempts and answers without an active override of the modality
+    count. For listening ``answers`` and ``passages`` have no passage_index,
+    one row of ``passages`` says the exam of an attempt, and the index that is
+    returned is -1. An answer that is a JSON list counts as its only member.
     """
     scope = rule.get("scope")
     needs = {"paper": ("paper",), "exam": ("exam", "hash"), "slot": ("exam", "hash", "slot")}
@@ -143,17 +146,25 @@ def rejudge(attempts: DataFrame, answers: DataFrame, passages: DataFrame, overri
     a = attempts.filter(F.col("status") == "submitted")
     if rule.get("paper") is not None:
         a = a.filter(F.col("paper_id") == rule["paper"])
-    p = passages.select("attempt_id", "passage_index", "exam_id", "content_hash")
+    modality = rule.get("modality", "reading")
+    if modality not in ("reading", "listening"):
+        raise ValueError(f"no modality {modality}")
+    place = ["attempt_id"] if modality == "listening" else ["attempt_id", "passage_index"]
+    p = passages.select(*place, "exam_id", "content_hash")
     if rule.get("exam") is not None:
         p = p.filter(F.col("exam_id") == rule["exam"])
     if rule.get("hash") is not None:
         p = p.filter(F.col("content_hash") == rule["hash"])
-    w = answers.filter((F.col("is_correct") == 0) & F.lower(F.trim(F.regexp_replace("answer", r"\s+", " "))).isin(accepted))
+    members = F.when(F.col("answer").startswith("["), F.from_json("answer", "array<string>"))
+    one = F.when(members.isNull(), F.col("answer")).when(F.size(members) == 1, F.get(members, F.lit(0)))
+    w = answers.filter((F.col("is_correct") == 0) & F.lower(F.trim(F.regexp_replace(one, r"\s+", " "))).isin(accepted))
     if rule.get("slot") is not None:
         w = w.filter(F.col("question_id") == rule["slot"])
-    active = overrides.filter(~F.col("revoked")).select("attempt_id", "passage_index", "question_id")
-    j = w.join(a.select("attempt_id", "review_version"), "attempt_id").join(p, ["attempt_id", "passage_index"]).join(active, ["attempt_id", "passage_index", "question_id"], "left_anti")
-    return j.select("attempt_id", "passage_index", "question_id", "answer", "weight", "review_version")
+    own = F.coalesce("modality", F.lit("reading")) == modality if "modality" in overrides.columns else F.lit(modality == "reading")
+    active = overrides.filter(~F.col("revoked") & own).select(*place, "question_id")
+    j = w.join(a.select("attempt_id", "review_version"), "attempt_id").join(p, place).join(active, [*place, "question_id"], "left_anti")
+    index = F.lit(-1) if modality == "listening" else F.col("passage_index")
+    return j.select("attempt_id", index.alias("passage_index"), "question_id", "answer", "weight", "review_version")
 
 
 def rejudge_token(affected: DataFrame, rule_text: str) -> DataFrame:
@@ -181,6 +192,17 @@ def rejudge_apply(affected: DataFrame, answers: DataFrame, rule_text: str, expec
     return made, run
 
 
+def rejudge_audit(affected: DataFrame, attempts: DataFrame, run: DataFrame, rule_text: str, operator: str) -> tuple[DataFrame, DataFrame]:
+    """(attempts, audit) after a run: each attempt that an applied run touches
+    is a review version later, and the run has one audit row with how many
+    attempts and answers it touched; a run in conflict has neither."""
+    applied = F.broadcast(run.filter("outcome = 'applied'").select("run_id"))  # one row
+    touched = affected.groupBy("attempt_id").agg(F.count("*").alias("_n")).join(applied)
+    new = attempts.join(touched.select("attempt_id", "_n"), "attempt_id", "left").withColumn("review_version", F.col("review_version") + F.when(F.col("_n").isNotNull(), 1).otherwise(0)).drop("_n")
+    audit = touched.groupBy("run_id").agg(F.count("*").alias("attempts"), F.sum("_n").alias("answers"))
+    return new, audit.select("run_id", F.lit("apply_rejudge").alias("action"), F.lit(operator).alias("operator"), F.lit(rule_text).alias("rule"), "attempts", "answers")
+
+
 def revoke_checked(overrides: DataFrame, requests: DataFrame, attempts: DataFrame) -> DataFrame:
     """Requests (override_id, version) with their outcome: only an active
     override of an attempt at that review version is revoked."""

@@ -162,6 +162,42 @@ def mut_rejudge_scopes(spark: S, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+LISTENING = {"scope": "slot", "modality": "listening", "exam": "E1", "hash": "h1", "slot": "q3", "accepted": ["A1", " a4"]}
+
+
+def _listened(spark: S, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each attempt's first passage as a listening paper: attempts, answers as
+    JSON lists, exams and overrides of both kinds."""
+    k = F.col("attempt_id")
+    a = R.attempts(spark, d).withColumn("review_version", k % 3 + 1)
+    own = R.answers(spark, d).filter("passage_index = 0").drop("passage_index").withColumn("answer", F.to_json(F.array("answer")))
+    exams = a.select("attempt_id", F.concat(F.lit("E"), (k % 3).cast("string")).alias("exam_id"), F.concat(F.lit("h"), (k % 2).cast("string")).alias("content_hash"))
+    return a, own, exams, R.overrides(spark, d).withColumn("modality", F.when(F.col("original_answer") == "Z", "listening").otherwise("reading"))
+
+
+@query("mut_rejudge_listening", BASE + """
+SELECT w.attempt_id, w.question_id, w.attempt_id % 3 + 1 AS review_version FROM answers w JOIN attempts t ON t.attempt_id = w.attempt_id AND t.status = 'submitted'
+WHERE w.passage_index = 0 AND w.is_correct = 0 AND w.attempt_id % 3 = 1 AND w.attempt_id % 2 = 1 AND w.question_id = 'q3' AND w.answer IN ('A1', 'A4')
+  AND NOT EXISTS (SELECT 1 FROM overrides o WHERE o.attempt_id = w.attempt_id AND o.question_id = w.question_id AND NOT o.revoked AND o.original_answer = 'Z')""")
+def mut_rejudge_listening(spark: S, d: str) -> DataFrame:
+    return imports.rejudge(*_listened(spark, d), LISTENING).select("attempt_id", "question_id", "review_version")
+
+
+@query("mut_rejudge_audit", BASE + AFFECTED + """
+, hit AS (SELECT attempt_id, count(*) AS n FROM affected WHERE scope = 'paper' GROUP BY 1)
+SELECT 'versions' AS part, CAST(sum(t.attempt_id % 3 + 1 + CASE WHEN h.n IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n FROM attempts t LEFT JOIN hit h ON h.attempt_id = t.attempt_id
+UNION ALL SELECT 'attempts', count(*) FROM hit UNION ALL SELECT 'answers', CAST(sum(n) AS BIGINT) FROM hit""")
+def mut_rejudge_audit(spark: S, d: str) -> DataFrame:
+    """Review versions and the audit row after a run over a paper."""
+    affected = _rejudged(spark, d, RULES["paper"])
+    seen = imports.rejudge_token(affected, "paper")
+    _, run = imports.rejudge_apply(affected, R.answers(spark, d), "paper", seen, "run-1")
+    a = R.attempts(spark, d).withColumn("review_version", F.col("attempt_id") % 3 + 1)
+    new, audit = imports.rejudge_audit(affected, a, run, "paper", "teacher")
+    versions = new.agg(F.sum("review_version").alias("n")).select(F.lit("versions").alias("part"), "n")
+    return versions.unionByName(audit.select(F.explode(F.array(*(F.struct(F.lit(c).alias("part"), F.col(c).alias("n")) for c in ("attempts", "answers")))).alias("x")).select("x.*"))
+
+
 @query("mut_rejudge_token", BASE + TOKENS + "SELECT scope, n, token FROM tokens")
 def mut_rejudge_token(spark: S, d: str) -> DataFrame:
     parts = [imports.rejudge_token(_rejudged(spark, d, r), s).select(F.lit(s).alias("scope"), "n", "token") for s, r in RULES.items()]
