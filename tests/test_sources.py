@@ -90,3 +90,24 @@ def test_change_feed_and_refetch(spark, tmp_path):
         ingest.refetch(stream(), lambda: spark.createDataFrame(table["rows"], "id long, t string"), ["id"], lambda df, k: fresh.append(sorted(tuple(r) for r in df.collect())), str(tmp_path / "cp4")).awaitTermination()
     assert [i for _, i in sorted(seen)] == [1, 2, 5, 1, 2, 5] and len({s for s, _ in seen}) == 6
     assert fresh == [[(1, "a"), (2, "b0")], [(1, "a"), (2, "b1")]]
+
+
+def test_typed_tables_of_snapshots(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "a.sqlite")
+    con.execute("CREATE TABLE answer_events (attempt_id, event_seq, event_type, clock_id, monotonic_ms, passage_index)")
+    con.executemany("INSERT INTO answer_events VALUES (?, ?, ?, ?, ?, ?)", [("x", 1, "part_enter", "c", 10.5, 0), ("x", 2, "part_leave", "c", 20, 0), ("x", "late", "part_leave", "c", None, 1)])
+    con.execute("CREATE TABLE listening_answers (attempt_id, slot_id, is_correct, weight)")
+    con.execute("INSERT INTO listening_answers VALUES ('x', 's1', 1, 2.5)")
+    con.commit()
+    con.close()
+    e = snapshots.read_tables(spark, str(tmp_path), "answer_events").orderBy("monotonic_ms").collect()
+    assert [(r.event_seq, r.monotonic_ms, r.passage_index, r.error) for r in e] == [(None, None, 1, "not of its kind: event_seq"), (1, 10.5, 0, None), (2, 20.0, 0, None)]
+    (one,) = snapshots.read_tables(spark, str(tmp_path), "listening_answers").collect()
+    assert (one.is_correct, one.weight, one.user_answer_json) == (1, 2.5, None)
+    assert snapshots.read_tables(spark, str(tmp_path), "listening_attempts").count() == 0
+
+
+def test_latest_beacons(spark):
+    rows = [("a", "2024-01-01T10:00:00+09:00", "submitted", "f2"), ("a", "2024-01-01T02:00:00Z", "failed", "f1"), ("b", "no time", "checked_in", "f3"), ("b", None, "x", "f4")]
+    got = snapshots.latest_beacons(spark.createDataFrame(rows, "attemptId string, updatedAt string, status string, file string"))
+    assert {r.attemptId: r.status for r in got.collect()} == {"a": "failed", "b": "checked_in"}
