@@ -291,6 +291,38 @@ def rec_quality_state(spark: S, d: str) -> DataFrame:
     return quality.group_readiness(g, quality.group_issues(g, r, s, ["task_id"]), ["task_id"])
 
 
+@query("rec_references", """
+WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS number, 's' || l_linenumber AS slot_id, 'r' || (l_suppkey % 4) AS response_id, 't' || (l_suppkey % 4) AS task_id, l_returnflag AS f, l_linestatus AS st, CAST(round(l_tax * 100) AS INTEGER) AS tax, CAST(l_quantity AS INTEGER) AS q, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
+, tasks AS (SELECT DISTINCT doc, task_id FROM l WHERE f <> 'R'), responses AS (SELECT DISTINCT doc, response_id, task_id FROM l WHERE st = 'F')
+, slots AS (SELECT doc, slot_id, number, response_id, CASE WHEN q > 25 THEN 1 ELSE 9 END AS word_limit FROM l), known AS (SELECT DISTINCT doc, slot_id, response_id, word_limit FROM slots)
+, answers AS (SELECT doc, CASE WHEN tax > 6 THEN 's' || (number + 50) ELSE slot_id END AS slot_id, p_name AS answer FROM l WHERE f <> 'N')
+, one AS (SELECT doc, slot_id, min(response_id || '/' || word_limit) AS x FROM slots GROUP BY 1, 2)
+SELECT doc, CAST(number AS VARCHAR) AS target, 'question number twice' AS issue FROM slots GROUP BY doc, number HAVING count(*) > 1
+UNION ALL SELECT doc, response_id, 'response without task' FROM responses r WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.doc = r.doc AND t.task_id = r.task_id)
+UNION ALL SELECT doc, slot_id, 'slot without response' FROM one o WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.doc = o.doc AND r.response_id = string_split(o.x, '/')[1])
+UNION ALL SELECT DISTINCT doc, slot_id, 'answer without slot' FROM answers a WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.doc = a.doc AND o.slot_id = a.slot_id)
+UNION ALL SELECT doc, slot_id, 'slot without answer' FROM one o WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.doc = o.doc AND a.slot_id = o.slot_id)
+UNION ALL SELECT DISTINCT o.doc, o.slot_id, 'answer over the word limit' FROM one o JOIN answers a ON a.doc = o.doc AND a.slot_id = o.slot_id JOIN responses r ON r.doc = o.doc AND r.response_id = string_split(o.x, '/')[1] JOIN tasks t ON t.doc = r.doc AND t.task_id = r.task_id
+  WHERE len(string_split(trim(a.answer), ' ')) > CAST(string_split(o.x, '/')[2] AS INTEGER)""")
+def rec_references(spark: S, d: str) -> DataFrame:
+    """References of orders seen as documents: lines as slots, answers by part."""
+    l = read(spark, d, "lineitem").join(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    side = (F.col("l_suppkey") % 4).cast("string")
+    l = l.select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("number"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("slot_id"), F.concat(F.lit("r"), side).alias("response_id"), F.concat(F.lit("t"), side).alias("task_id"),
+        F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("st"), F.round(F.col("l_tax") * 100).cast("int").alias("tax"), F.when(F.col("l_quantity") > 25, 1).otherwise(9).alias("word_limit"), F.col("p_name").alias("answer"),
+    )
+    none = lambda *cs: [F.lit(None).cast(k).alias(c) for c, k in cs]
+    tasks = l.filter("f <> 'R'").select("doc", "task_id").distinct().select("*", F.lit("cloze").alias("task_type"), *none(("alphabet", "array<string>")))
+    first = l.groupBy("doc", "slot_id", "number").agg(F.min(F.struct("response_id", "word_limit")).alias("x"), F.count("*").alias("n"))
+    slots = first.select("doc", "slot_id", "number", "x.*", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")
+    answers = l.filter("f <> 'N'").select("doc", F.when(F.col("tax") > 6, F.concat(F.lit("s"), (F.col("number") + 50).cast("string"))).otherwise(F.col("slot_id")).alias("slot_id"), "answer")
+    nothing = tasks.filter("false")
+    options = nothing.select("doc", "task_id", *none(("label", "string"), ("text", "string")))
+    assets = nothing.select("doc", "task_id", *none(("asset_id", "string"), ("path", "string"), ("stored", "boolean")))
+    return quality.reference_issues(tasks, l.filter("st = 'F'").select("doc", "response_id", "task_id").distinct(), slots, answers, options, assets)
+
+
 @query("rec_groups", """
 WITH l AS (SELECT p_size AS doc, 't' || p_partkey AS task_id, 'n' || p_partkey AS n, p_type AS task_type, p_name AS prompt, p_brand AS response_prompt, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 3 END AS bank, p_partkey AS k FROM part)
 , c AS (SELECT doc, CASE WHEN k % 5 = 0 THEN 'c' || k ELSE task_id END AS task_id, n, CASE WHEN k % 7 = 0 THEN 'OTHER' ELSE task_type END AS task_type, CASE k % 6 WHEN 0 THEN prompt || ' more' WHEN 1 THEN upper(prompt) WHEN 2 THEN '' ELSE prompt END AS prompt,
