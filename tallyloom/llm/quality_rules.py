@@ -25,8 +25,6 @@ from tallyloom.llm._shared import SPACE, free, let, words
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
-    "copyright",
-    "cookie",
     "privacy policy",
     "terms of use",
     "terms of service",
@@ -35,9 +33,7 @@ BOILERPLATE = (
     "subscribe to our",
     "alle rechte vorbehalten",
     "lizenziert unter",
-    "datenschutz",
     "nutzungsbedingungen",
-    "impressum",
     "javascript aktivieren",
     "newsletter abonnieren",
     "tous droits réservés",
@@ -56,6 +52,15 @@ BOILERPLATE = (
     "activar javascript",
     "suscríbete",
 )
+#: Words that prose has too: they tell with a year or sign, with what is done
+#: with them, or at the head of a short line only (fixed values).
+IN_CONTEXT = (
+    r"copyright\s*(?:©|\(c\)|(?:19|20)[0-9]{2})|©\s*(?:19|20)[0-9]{2}|^[^a-z]*(?:copyright|©)[^a-z]*$",
+    r"(?:^|[^a-z])(?:uses?|using|accepts?|enable|allow|manage|reject|set)(?: all| our| of| the| these)* cookies(?:[^a-z]|$)",
+    r"(?:^|[^a-z])cookies? (?:policy|settings|notice|consent|preferences|banner|akzeptieren|zulassen)(?:[^a-z]|$)",
+    r"(?:^|[^a-z])(?:verwende[nt]|utilise|utilisons|utiliza|utilizamos)(?: des| las| los)? cookies(?:[^a-z]|$)",
+    r"^[^a-z]*(?:impressum|datenschutz(?:erklärung|hinweise)?)(?:[^a-z].{0,40})?$",
+)
 SYMBOLS = r"[#*$%&|<>]"
 #: End punctuation, closing quotes and brackets allowed after it.
 ENDS = r"[.!?:;…。！？][\"'”’»)\]]*\s*$"
@@ -78,6 +83,8 @@ def line_fails(
         found = F.lit(False)
         for p in BOILERPLATE:
             found = found | low.contains(p)
+        for p in IN_CONTEXT:
+            found = found | low.rlike(p)
         return found
 
     def judged(ws: Column) -> Column:

@@ -162,3 +162,10 @@ def test_quality_of_rows_without_ids(spark):
     docs = spark.createDataFrame([(None, text, None, None), (None, text, "s", None), (None, None, None, None)], SCHEMA)
     assert [r.quality.kept for r in quality_rules.quality_report(docs).orderBy(F.col("text").isNull()).collect()] == [True, True, False]
     assert quality_rules.clean_documents(docs).count() == 2
+
+
+def test_phrases_in_context(spark):
+    cut = ["Copyright © 2021 Muster GmbH and all its many partners.", "© 2020 The Example Company and its many friends.", "We use cookies to make this site better for you.", "Please read our cookie policy before you go on here.", "Wir verwenden Cookies auf allen unseren vielen Seiten.", "Impressum: Muster GmbH, Musterweg 1, Musterstadt."]
+    stay = ["The cook put the cookies into the oven and waited.", "The history of copyright begins with the printing press.", "Datenschutz ist ein Grundrecht, das in vielen Ländern durch Gesetze geschützt wird.", "Copyright law was changed in the year of 1976."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cut + stay)], "k int, t string")
+    assert [r.k for r in df.filter(quality_rules.line_fails(F.col("t"))).orderBy("k").collect()] == list(range(len(cut)))
