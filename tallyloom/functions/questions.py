@@ -1,4 +1,4 @@
-"""Question numbers, answer lines, answer pages and alignment reports."""
+"""Question numbers, answer lines and alignment reports."""
 
 from __future__ import annotations
 
@@ -52,22 +52,6 @@ def answer_pairs(line: str) -> list[tuple[int, str]]:
     return [(n, " ".join(a)) for n, a in out if 1 <= len(a) <= 8]
 
 
-def answer_pages(pages: list[dict]) -> list[bool]:
-    """Which pages hold answers, in order: each needs its numbered short lines
-    to be dense, and fewer of them once the page before is one. Keys:
-    heading, instruction, questions, answer_heading (flags), numbered_short,
-    lines, prose_lines (counts)."""
-    out: list[bool] = []
-    for p in pages:
-        short = p["numbered_short"]
-        dense = 2 * short >= max(p["lines"], 1)
-        starts = p["answer_heading"] and short >= 3
-        fills = short >= 8 and dense and p["prose_lines"] <= 2
-        goes_on = bool(out) and out[-1] and short >= 3 and dense
-        out.append(not (p["heading"] or p["instruction"] or p["questions"]) and (starts or fills or goes_on))
-    return out
-
-
 def alignment_report(matches: list[tuple[str, float, int]], source_chars: int, text_chars: int, covered: float) -> dict:
     """Verdicts over (sentence, similarity, place) of a text against a source.
 

@@ -635,19 +635,19 @@ def num_seeded_shuffle(spark: S, d: str) -> DataFrame:
 
 
 @query("seg_answer_page", """
-SELECT conv_id, turn, count(*) FILTER (turn % 4 IN (1, 2)) OVER (PARTITION BY conv_id, turn // 4) >= 0 AND turn % 4 IN (1, 2) AS answers FROM conversations""")
+WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+, p AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, coalesce(n, 0) AS n, o_orderstatus = 'F' AS headed, left(o_orderpriority, 1) = '1' AS asks FROM orders LEFT JOIN n ON l_orderkey = o_orderkey)
+, q AS (SELECT *, NOT asks AND ((headed AND n >= 3) OR (n >= 8)) AS starts, NOT asks AND n >= 3 AND 2 * n >= greatest(n + CASE WHEN headed THEN 1 ELSE 0 END + CASE WHEN asks THEN 1 ELSE 0 END, 1) AS goes_on FROM p)
+, i AS (SELECT *, sum(CASE WHEN starts OR goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page) AS island FROM q)
+SELECT CAST(doc AS VARCHAR) AS doc, CAST(page AS INTEGER) AS page, (starts OR goes_on) AND bool_or(starts) OVER (PARTITION BY doc, island ORDER BY page) AS answers FROM i""")
 def seg_answer_page(spark: S, d: str) -> DataFrame:
-    """Pages in order: a dense one starts, a thinner one goes on after it."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        pages = [{"heading": t % 4 == 3, "instruction": False, "questions": t % 4 == 0, "answer_heading": False, "numbered_short": 10 if t % 4 == 1 else 4, "lines": 12 if t % 4 == 1 else 7, "prose_lines": 0} for t in pdf["turn"]]
-        # A thin page is one only after another.
-        flags = questions.answer_pages(pages)
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "answers": flags})
-
-    c = read(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"))
-    kind = c.schema["conv_id"].dataType.simpleString()
-    return c.groupBy("conv_id").applyInPandas(run, f"conv_id {kind}, turn long, answers boolean")
+    """Answer pages of customers seen as booklets, an order a page: a dense page
+    or one under a heading begins them, a thinner one goes on."""
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(" "), x["l_returnflag"])), "\n").alias("t"))
+    o = read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = F.concat_ws("\n", F.when(F.col("o_orderstatus") == "F", "ANSWER KEY"), F.when(F.col("o_orderpriority").startswith("1"), "Questions 1-5"), "t")
+    pages = o.select(F.col("o_custkey").cast("string").alias("doc"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"), text.alias("text"))
+    return split.with_answer_pages(split.page_signals(pages)).select("doc", "page", F.col("is_answers").alias("answers"))
 
 
 @query("js_text_concat", "SELECT c_custkey, c_name || ' ' || c_mktsegment AS t FROM customer")

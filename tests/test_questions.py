@@ -17,11 +17,6 @@ def test_answer_pairs():
     assert Q.answer_pairs("prose 3 x") == [] and Q.answer_pairs("5 " + "w " * 9) == [] and Q.answer_pairs("") == []
 
 
-def test_answer_pages():
-    page = dict(heading=False, instruction=False, questions=False, answer_heading=False, numbered_short=4, lines=6, prose_lines=0)
-    assert Q.answer_pages([page, page | {"answer_heading": True}, page, page | {"questions": True}, page]) == [False, True, True, False, False]
-
-
 def test_alignment_report():
     m = [(f"a sentence of five words {k}", 0.9, 10 * k) for k in range(10)]
     r = Q.alignment_report([*m, ("x", 0.0, -1)], 100, 90, 0.8)
