@@ -43,12 +43,28 @@ def override_conflicts(answers: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.filter(gone | differs).select("o.override_id", F.when(gone, "answer gone").otherwise("evidence changed").alias("conflict"))
 
 
+def with_delta(passages: DataFrame, effective: DataFrame) -> DataFrame:
+    """Stored passages with ``delta``, what overrides add to their points."""
+    delta = effective.groupBy("attempt_id", "passage_index").agg(F.sum(F.coalesce("effective", F.lit(0.0)) - F.coalesce("original", F.lit(0.0))).alias("delta"))
+    return passages.join(delta, ["attempt_id", "passage_index"], "left")
+
+
+def graded_passages(effective: DataFrame) -> DataFrame:
+    """Passages that are nothing but their answers, with ``delta``: points,
+    total and whether any answer is graded, all from one grouping."""
+    graded = F.col("is_correct").isNotNull()
+    return effective.groupBy("attempt_id", "passage_index").agg(
+        F.sum(F.when(F.col("is_correct") == 1, F.col("weight")).otherwise(0.0)).alias("correct"),
+        F.sum(F.when(graded, F.col("weight")).otherwise(0.0)).alias("total"),
+        F.max(graded).alias("gradable"),
+        F.sum(F.coalesce("effective", F.lit(0.0)) - F.coalesce("original", F.lit(0.0))).alias("delta"),
+    )
+
+
 def attempt_scores(passages: DataFrame, effective: DataFrame) -> DataFrame:
     """Raw, effective and total points of each attempt; deltas are summed for
     each passage first."""
-    delta = effective.groupBy("attempt_id", "passage_index").agg(F.sum(F.coalesce("effective", F.lit(0.0)) - F.coalesce("original", F.lit(0.0))).alias("delta"))
-    joined = passages.join(delta, ["attempt_id", "passage_index"], "left")
-    return joined.groupBy("attempt_id").agg(
+    return with_delta(passages, effective).groupBy("attempt_id").agg(
         F.sum("correct").alias("raw_score"), F.sum(F.col("correct") + F.coalesce("delta", F.lit(0.0))).alias("effective_score"), F.sum("total").alias("total")
     )
 
@@ -69,11 +85,11 @@ def validity(attempts: DataFrame, suites: DataFrame, passages: DataFrame) -> Dat
     return j.select("attempt_id", reason.alias("reason"))
 
 
-def valid_attempts(attempts: DataFrame, suites: DataFrame, passages: DataFrame, effective: DataFrame) -> DataFrame:
+def valid_attempts(attempts: DataFrame, suites: DataFrame, passages: DataFrame) -> DataFrame:
     """Submitted attempts that no rule of ``validity`` excludes, with their raw,
-    effective and total points: passages are read and grouped once for both."""
-    delta = effective.groupBy("attempt_id", "passage_index").agg(F.sum(F.coalesce("effective", F.lit(0.0)) - F.coalesce("original", F.lit(0.0))).alias("delta"))
-    p = passages.join(delta, ["attempt_id", "passage_index"], "left").groupBy("attempt_id").agg(
+    effective and total points. passages: attempt_id, correct, total, gradable
+    and delta, read and grouped once for both."""
+    p = passages.groupBy("attempt_id").agg(
         F.count("*").alias("_n"), F.bool_and(F.col("gradable") & (F.col("total") > 0)).alias("_graded"),
         F.sum("correct").alias("raw_score"), F.sum(F.col("correct") + F.coalesce("delta", F.lit(0.0))).alias("effective_score"), F.sum("total").alias("total"),
     )

@@ -24,7 +24,7 @@ def effective(spark: S, d: str) -> DataFrame:
 def valid(spark: S, d: str, original: bool = False) -> DataFrame:
     """Valid attempts with their points, from effective or original answers."""
     e = facts.effective_answers(R.answers(spark, d), None if original else R.overrides(spark, d))
-    return facts.valid_attempts(R.attempts(spark, d), R.suites(spark, d), R.passages(spark, d), e)
+    return facts.valid_attempts(R.attempts(spark, d), R.suites(spark, d), facts.graded_passages(e))
 
 
 @query("agg_summary", ALL + """
