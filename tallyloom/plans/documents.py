@@ -136,8 +136,7 @@ def jn_spatial_dup(spark: S, d: str) -> DataFrame:
 @query("jn_spatial_iou")
 def jn_spatial_iou(spark: S, d: str) -> DataFrame:
     b = _boxes(spark, d)
-    pairs = layout.overlapping_pairs(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"), 0.3)
-    return layout.claim_tokens(pairs.select("doc", "page", F.col("a").alias("ocr"), F.col("b").alias("native"), "iou"))
+    return layout.claim_tokens(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"))
 
 
 @query("win_running_cluster")
