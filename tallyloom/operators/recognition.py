@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import range_numbers
+from tallyloom.functions.text import let, range_numbers
 
 PAGE = ["doc", "page"]
 
@@ -28,6 +28,7 @@ CHROME, VISUAL = ("header", "footer", "page_number"), ("figure", "image", "table
 
 _NUMBER = r"^\s*(\d{1,3})(?:[.)]?(?=\s|$))"
 _LABEL = r"^\s*(?:([A-Za-z])|((?i:viii|vii|iii|ii|iv|vi|ix|x|v|i)))(?:\s+|(?=[.):\]-]))[.):\]-]*\s*(.*)$"
+_MAY_LABEL = r"^\s*[A-Za-z]{1,4}[\s.):\]-]"  # of every text that _LABEL matches
 
 
 def leading_number(text: Column) -> Column:
@@ -38,10 +39,14 @@ def leading_number(text: Column) -> Column:
 def option_rank(text: Column) -> Column:
     """The place of the label that a line with a body begins with: A, B, ...
     count from 0, and so do Roman numbers of more than one letter."""
-    letter, roman = F.upper(F.regexp_extract(text, _LABEL, 1)), F.lower(F.regexp_extract(text, _LABEL, 2))
-    body = F.trim(F.regexp_extract(text, _LABEL, 3))
-    rank = F.when(letter != "", F.ascii(letter) - ord("A")).otherwise(F.array_position(F.lit(list(ROMAN)), roman).cast("int") - 1)
-    return F.when((body != "") & ((letter != "") | (roman != "")), rank)
+    found = F.struct(F.upper(F.regexp_extract(text, _LABEL, 1)).alias("letter"), F.lower(F.regexp_extract(text, _LABEL, 2)).alias("roman"), F.trim(F.regexp_extract(text, _LABEL, 3)).alias("body"))
+
+    def rank(v: Column) -> Column:
+        place = F.when(v["letter"] != "", F.ascii(v["letter"]) - ord("A")).otherwise(F.array_position(F.lit(list(ROMAN)), v["roman"]).cast("int") - 1)
+        return F.when((v["body"] != "") & ((v["letter"] != "") | (v["roman"] != "")), place)
+
+    # Most lines begin otherwise, which is told at less cost.
+    return F.when(text.rlike(_MAY_LABEL), let(found, rank))
 
 
 def has_option_run(texts: Column, least: int = 3) -> Column:
@@ -58,20 +63,14 @@ def has_option_run(texts: Column, least: int = 3) -> Column:
     return F.aggregate(texts, start, step, lambda s: s["best"]) >= least
 
 
-def region_roles(regions: DataFrame) -> DataFrame:
-    """``regions`` with role, role_confidence and evidence (role, score).
-
-    Columns kind, y, height, page_height and texts (its lines). Of equal scores
-    the later in the list of evidence wins; without any the role is unknown.
-    """
-    text = F.array_join("texts", " ")
-    low, n = F.lower(text), F.greatest(F.size("texts"), F.lit(1))
-    numbered = F.size(F.filter("texts", lambda t: leading_number(t).isNotNull())) / n
+def _evidence(v: Column) -> Column:
+    """(score, place, role) of all that speaks for a role of a region."""
+    text, low, n, run = v["text"], v["low"], F.greatest(F.size("texts"), F.lit(1)), v["run"]
     marker = F.lit(False)
     for m in MARKERS:
         marker = marker | low.contains(m)
     edge = (F.col("y") <= F.col("page_height") * 0.08) | (F.col("y") + F.col("height") >= F.col("page_height") * 0.92)
-    chrome, visual, run = F.col("kind").isin(*CHROME), F.col("kind").isin(*VISUAL), has_option_run(F.col("texts"))
+    chrome, visual = F.col("kind").isin(*CHROME), F.col("kind").isin(*VISUAL)
     asks = low.contains("question")
     scores = (
         ("header_footer", F.when(chrome, 1.0).when(edge & (F.length(text) < 80), 0.55)),
@@ -79,12 +78,24 @@ def region_roles(regions: DataFrame) -> DataFrame:
         ("question_instruction", F.when(asks, 0.5 + F.when(marker, 0.25).otherwise(0.0) + F.when(range_numbers(text, high=999).isNotNull(), 0.2).otherwise(0.0))),
         ("option_bank", F.when(low.contains("list of headings"), 0.9)),
         ("option_run", F.when(run, 0.75)),
-        ("question_prompt", F.when(numbered >= 0.25, 0.35 + F.least(numbered, F.lit(0.4)))),
+        ("question_prompt", F.when(v["numbered"] >= 0.25, 0.35 + F.least(v["numbered"], F.lit(0.4)))),
         ("stimulus", F.when(visual, 0.6)),
         ("passage", F.when((F.length(text) / n >= 45) & ~run & ~asks & ~visual, 0.4)),
     )
-    each = [F.when(s.isNotNull(), F.struct(F.round(s, 6).alias("score"), F.lit(k).alias("place"), F.lit(role).alias("role"))) for k, (role, s) in enumerate(scores)]
-    out = regions.withColumn("_e", F.array_compact(F.array(*each))).withColumn("_best", F.array_max("_e"))
+    return F.array_compact(F.array(*(F.when(s.isNotNull(), F.struct(F.round(s, 6).alias("score"), F.lit(k).alias("place"), F.lit(role).alias("role"))) for k, (role, s) in enumerate(scores))))
+
+
+def region_roles(regions: DataFrame) -> DataFrame:
+    """``regions`` with role, role_confidence and evidence (role, score).
+
+    Columns kind, y, height, page_height and texts (its lines). Of equal scores
+    the later in the list of evidence wins; without any the role is unknown.
+    """
+    # What several kinds of evidence ask for is bound once for a region.
+    text = F.array_join("texts", " ")
+    numbered = F.size(F.filter("texts", lambda t: leading_number(t).isNotNull())) / F.greatest(F.size("texts"), F.lit(1))
+    first = F.struct(text.alias("text"), F.lower(text).alias("low"), numbered.alias("numbered"), has_option_run(F.col("texts")).alias("run"))
+    out = regions.withColumn("_e", let(first, _evidence)).withColumn("_best", F.array_max("_e"))
     told = F.transform("_e", lambda e: F.struct(e["role"].alias("role"), e["score"].alias("score")))
     return out.withColumn("role", F.coalesce("_best.role", F.lit("unknown"))).withColumn("role_confidence", F.least(F.coalesce("_best.score", F.lit(0.0)), F.lit(1.0))).withColumn("evidence", told).drop("_e", "_best")
 
@@ -98,13 +109,14 @@ def number_scores(lines: DataFrame, roles: DataFrame) -> DataFrame:
     instructions name are expected on it. Lines of headers and footers don't
     count.
     """
-    told = roles.filter("role = 'question_instruction'").select(*PAGE, range_numbers(F.array_join("texts", " "), high=999).alias("r")).filter("r IS NOT NULL")
-    expected = told.groupBy(*PAGE).agg(F.collect_list("r").alias("_expected"))
-    d = lines.join(roles.select(*PAGE, "region", "role"), [*PAGE, "region"], "left")
+    # One row for each page: its roles are judged once.
+    named = F.when(F.col("role") == "question_instruction", range_numbers(F.array_join("texts", " "), high=999))
+    page = roles.groupBy(*PAGE).agg(F.collect_list(F.struct("region", "role")).alias("_roles"), F.collect_list(named).alias("_expected"))
+    d = lines.join(page, PAGE, "left").withColumn("role", F.get(F.filter("_roles", lambda r: r["region"] == F.col("region")), F.lit(0))["role"]).drop("_roles")
     middle = (1000 * (F.col("y") + F.col("height") / 2)).cast("long")  # ranges are of whole numbers
     row = W.partitionBy(*PAGE).orderBy("_middle").rangeBetween(-1000 * ROW_TOLERANCE, 1000 * ROW_TOLERANCE)
     d = d.withColumn("_middle", middle).withColumn("_beside", F.max(F.when(F.trim("text") != "", F.col("x"))).over(row))
-    d = d.withColumn("value", leading_number(F.col("text"))).filter("value IS NOT NULL AND coalesce(role, '') <> 'header_footer'").join(expected, PAGE, "left")
+    d = d.withColumn("value", leading_number(F.col("text"))).filter("value IS NOT NULL AND coalesce(role, '') <> 'header_footer'")
     font = F.lit(False)
     if "font_size" in lines.columns:
         sizes = F.sort_array(F.collect_list("font_size").over(W.partitionBy(*PAGE)))
@@ -122,10 +134,12 @@ def number_scores(lines: DataFrame, roles: DataFrame) -> DataFrame:
         "year": F.col("value").between(1900, 2100),
         "measure": after.rlike(MEASURE),
     }
-    d = d.withColumn("_h", F.array_compact(F.array(*(F.when(c, n) for n, c in holds.items()))))
-    weights = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
-    score = F.round(F.aggregate("_h", F.lit(0.0), lambda a, n: a + weights[n]), 6)
-    return d.select(*PAGE, "line", "x", "y", "value", score.alias("score"), F.col("_h").alias("evidence"))
+    told = F.array_compact(F.array(*(F.when(c, n) for n, c in holds.items())))
+    score = F.lit(0.0)
+    for n, c in holds.items():
+        score = score + F.when(c, WEIGHTS[n]).otherwise(0.0)
+    score = F.round(score, 6)
+    return d.select(*PAGE, "line", "x", "y", "value", score.alias("score"), told.alias("evidence"))
 
 
 def rising_chain(scored: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -137,9 +151,15 @@ def rising_chain(scored: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     none = F.array().cast("array<struct<total:double,n:int,chain:array<int>,value:int>>")
 
     def step(best: Column, c: Column) -> Column:
-        before = F.array_max(F.filter(best, lambda b: b["value"] < c["value"]))
-        chain = F.concat(F.coalesce(before["chain"], F.array().cast("array<int>")), F.array(c["value"]))
-        return F.concat(best, F.array(F.struct(F.round(F.coalesce(before["total"], F.lit(0.0)) + c["score"], 6).alias("total"), F.size(chain).alias("n"), chain.alias("chain"), c["value"].alias("value"))))
+        def longer(before: Column) -> Column:
+            chain = F.concat(F.coalesce(before["chain"], F.array().cast("array<int>")), F.array(c["value"]))
+            return F.struct(F.round(F.coalesce(before["total"], F.lit(0.0)) + c["score"], 6).alias("total"), (F.coalesce(before["n"], F.lit(0)) + 1).alias("n"), chain.alias("chain"), c["value"].alias("value"))
+
+        new = let(F.array_max(F.filter(best, lambda b: b["value"] < c["value"])), longer)
+        # Of chains that end with one number only the best can go on: there
+        # are no more than numbers, whatever the candidates.
+        same = F.filter(best, lambda b: b["value"] == c["value"])
+        return F.concat(F.filter(best, lambda b: b["value"] != c["value"]), F.array(F.array_max(F.concat(same, F.array(new)))))
 
     found = docs.select("doc", F.array_max(F.aggregate("cs", none, step)).alias("b"))
     return found.select("doc", F.col("b.chain").alias("numbers"), F.col("b.total").alias("total"))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tallyloom import plans
-from tallyloom.operators import layout
+from tallyloom.operators import layout, recognition
 
 SMALL = "/root/testdata/sf0.01"
 BOX = "doc string, page int, id int, x double, y double, width double, height double"
@@ -61,3 +61,11 @@ def test_a_gap_just_over_the_least_is_a_space(spark, folder):
     rows = [(1, 19, 0.0), (2, 19, 6.720000000000001), (3, 19, 13.0), (4, 19, 21.5)]
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{folder}/events.parquet")
     assert same_as_sql(spark, "num_word_gap", folder)
+
+
+def test_a_document_of_many_candidates_has_one_chain(spark):
+    rows = [("d", 0, i, 1.0, float(i), i % 40 + 1, 0.6) for i in range(4000)]
+    began = time.time()
+    found = recognition.rising_chain(spark.createDataFrame(rows, "doc string, page int, line int, x double, y double, value int, score double")).first()
+    assert found.numbers == list(range(1, 41)) and found.total == 24.0
+    assert time.time() - began < 20
