@@ -7,6 +7,7 @@ import pytest
 
 from tallyloom import plans
 from tallyloom.operators import layout, recognition
+from tallyloom.sources import workbook
 
 SMALL = "/root/testdata/sf0.01"
 BOX = "doc string, page int, id int, x double, y double, width double, height double"
@@ -69,3 +70,13 @@ def test_a_document_of_many_candidates_has_one_chain(spark):
     found = recognition.rising_chain(spark.createDataFrame(rows, "doc string, page int, line int, x double, y double, value int, score double")).first()
     assert found.numbers == list(range(1, 41)) and found.total == 24.0
     assert time.time() - began < 20
+
+
+def test_more_rows_than_a_sheet_holds(spark, tmp_path):
+    tables = {"many": spark.range(0, 1000, 1, 3).selectExpr("id", "'t' || id AS t"), "none": spark.createDataFrame([], "only string"), "one": spark.createDataFrame([(True,)], "f boolean")}
+    workbook.write_workbooks(tables, str(tmp_path / "out"), most=101)
+    back = workbook.read_workbooks(spark, str(tmp_path / "out")).collect()
+    assert sorted((tuple(r.cells) for r in back if r.sheet == "many" and r.row), key=lambda c: int(c[0])) == [(str(i), f"t{i}") for i in range(1000)]
+    assert {r.sheet: r.cells for r in back if r.row == 0} == {"many": ["id", "t"], "none": ["only"], "one": ["f"]} and max(r.row for r in back) == 100
+    assert [r.cells for r in back if r.sheet == "one" and r.row] == [["1"]] and not [r for r in back if r.sheet == "none" and r.row]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
