@@ -193,11 +193,16 @@ def _alike(x: str, y: str, edits: int) -> Column:
     return (apart("one") <= 2 * edits) & (apart("two") <= 4 * edits)
 
 
-def _by_ids(lines: DataFrame, ids: DataFrame, how: str = "left_semi", few: int = 1 << 20) -> DataFrame:
-    """``lines`` joined with materialised ``ids`` on id. Up to ``few`` rows of
-    ids are broadcast, so that the lines stay where they are; more are dealt
-    by id."""
-    return lines.join(F.broadcast(ids) if ids.count() <= few else ids, "id", how)
+def _few(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """Materialised ``rows`` for a join: ``most`` at most are broadcast, so that
+    the other side stays where it is; more are dealt by key, whatever the size
+    of their files."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
+def _by_ids(lines: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``lines`` joined with materialised ``ids`` on id."""
+    return lines.join(_few(ids), "id", how)
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -265,7 +270,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     loses (``row`` is the hash of its text), and how many of them as near and
     not as equal lines."""
     verdicts = line_verdicts(docs, doc_id, text, **how).toDF("h1", "h2", "first_doc", "first_row", "first_no", "near")
-    placed = _lines(docs, doc_id, text).drop("line").join(verdicts, ["h1", "h2"])
+    placed = _lines(docs, doc_id, text).drop("line").join(_few(verdicts), ["h1", "h2"])
     first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("row") == F.col("first_row")) & (F.col("no") == F.col("first_no"))
     gone = placed.filter(F.col("near") | ~first)
     return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("removed"), F.count_distinct(F.when(first, F.col("no"))).alias("n_near"))
