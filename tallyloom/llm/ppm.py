@@ -355,10 +355,15 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _low_of(batches):
+    """The low counts of all blocks of a task, added up: a row for each string."""
+    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for t in batches:
         for code, data in zip(t.column("n").to_pylist(), t.column("data").to_pylist()):
             low, n = B.unframed(data)
-            yield pa.RecordBatch.from_arrays([pa.array(B.unpack_sorted(low, np.uint32).astype(np.int32)), pa.array(_widen(n, code))], names=["low", "n"])
+            keys, at = np.unique(np.concatenate([keys, B.unpack_sorted(low, np.uint32)]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, _widen(n, code)]), minlength=len(keys)).astype(np.int64)
+    if len(keys):
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(counts)], names=["low", "n"])
 
 
 def _stats_of(batches):

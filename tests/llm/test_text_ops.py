@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tallyloom.llm import _batches as B
 from tallyloom.llm import decontaminate, html_text, ppm, token_counts
 
 V = [f"w{k}" for k in range(500)]
@@ -181,3 +182,13 @@ def test_token_counts(spark):
     assert token_counts.token_counts(df.limit(0), path).collect() == []
     nameless = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     assert [tuple(r) for r in token_counts.token_counts(nameless, path).collect()] == [(None, 3, 2, False)]
+
+
+def test_low_counts_of_a_task_are_one_row_each():
+    """Blocks of many batches in one task give a row for each string, not for each block."""
+    blocks = [(i, -1, 0, B.framed([B.pack_sorted(np.array([3, 7 + i % 2, 900], np.uint32)), B.pack(np.array([1, 2, i], np.uint8))])) for i in range(50)]
+    t = B.block_table(blocks)
+    out = list(ppm._low_of(t.slice(a, 20).to_batches()[0] for a in (0, 20, 40)))
+    got = [(r["low"], r["n"]) for b in out for r in b.to_pylist()]
+    assert got == [(3, 50), (7, 50), (8, 50), (900, sum(range(50)))]
+    assert list(ppm._low_of(iter([]))) == []
