@@ -92,3 +92,16 @@ def test_random_files_one_by_one(spark):
 def test_empty(spark):
     rows, got, n, _ = result(spark, [(1, "T", None, "P", "2024-01-01T00:00:00Z", None)], [])
     assert (rows, got, n) == ({1: ["T", None, "P", "2024-01-01T00:00:00Z"]}, {}, 1)
+
+
+def test_outcomes_are_computed_once(spark):
+    """All child tables read written verdicts; none folds the events again."""
+    s = spark.createDataFrame([(1, "T1", None, "P", None, None)], STORED)
+    i = spark.createDataFrame([("a", 1, True, "T1", None, "P", "2024-01-01T00:00:00Z", None)], INCOMING)
+    child = spark.createDataFrame([(1, "old")], "attempt_id long, v string")
+    new = spark.createDataFrame([("a", 1, "new")], "file string, attempt_id long, v string")
+    after, outcomes = imports.import_snapshots({"attempts": s, "one": child, "two": child}, {"attempts": i, "one": new, "two": new})
+    for df in (outcomes, after["attempts"], after["one"], after["two"]):
+        assert "kept-" in df.inputFiles()[0]
+        assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString().lower().replace("aggregate [", "")
+    assert [r.v for r in after["two"].collect()] == ["new"]
