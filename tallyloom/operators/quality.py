@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import review_text
+from tallyloom.sources.durable import kept
 
 #: Task types by what their answers are chosen from (fixed values).
 TRUTH = ("true_false", "yes_no")
@@ -89,9 +90,11 @@ def reference_issues(tasks: DataFrame, responses: DataFrame, slots: DataFrame, a
     def told(rows: DataFrame, target: str, issue: str) -> DataFrame:
         return rows.select("doc", F.col(target).cast("string").alias("target"), F.lit(issue).alias("issue"))
 
+    tasks, responses = kept(tasks), kept(responses)
     twice = lambda rows, c: rows.groupBy("doc", c).count().filter("count > 1")
     said = answers.filter(F.trim(F.coalesce("answer", F.lit(""))) != "").select("doc", "slot_id", "answer")
-    known = slots.select("doc", "slot_id", "response_id", "word_limit").dropDuplicates(["doc", "slot_id"])
+    # Several rules read these; each is grouped once.
+    known = kept(slots.select("doc", "slot_id", "response_id", "word_limit").dropDuplicates(["doc", "slot_id"]))
     asked = known.join(responses.select("doc", "response_id", "task_id").dropDuplicates(["doc", "response_id"]), ["doc", "response_id"]).join(tasks.select("doc", "task_id", "task_type", "alphabet").dropDuplicates(["doc", "task_id"]), ["doc", "task_id"])
     given = said.join(asked, ["doc", "slot_id"])
     labels = options.filter(F.trim(F.coalesce("label", F.lit(""))) != "").groupBy("doc", "task_id").agg(F.collect_set(F.upper(F.trim("label"))).alias("labels"), F.count("*").alias("n_options"))

@@ -1,5 +1,7 @@
 """Each rule on references broken by one written case."""
 
+from pyspark.sql import functions as F
+
 from tallyloom.operators import quality
 
 
@@ -17,3 +19,22 @@ def test_each_rule(spark):
         ("d", "lost", "answer without slot"), ("d", "s4", "slot without answer"), ("d", "s3", "answer over the word limit"), ("d", "t1", "option without label"), ("d", "t1", "option without text"),
         ("d", "t1", "options differ from instruction"), ("d", "t2", "too few headings"), ("d", "a4", "asset id twice"), ("d", "a1", "asset path unsafe"), ("d", "a5", "asset path unsafe"), ("d", "a2", "asset missing"), ("d", "a3", "asset of no task"),
     }
+
+
+def test_inputs_are_read_once(spark):
+    """Rules read written tables, and no source is computed for each rule."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    t = spark.createDataFrame([("d", "t", "cloze", None)], "doc string, task_id string, task_type string, alphabet array<string>").withColumn("task_id", seen("task_id"))
+    r = spark.createDataFrame([("d", "r", "t")], "doc string, response_id string, task_id string")
+    s = spark.createDataFrame([("d", "s", "r", 1, 1)], "doc string, slot_id string, response_id string, number int, word_limit int")
+    a = spark.createDataFrame([("d", "s", "two words")], "doc string, slot_id string, answer string")
+    none = lambda c: spark.createDataFrame([], c)
+    got = quality.reference_issues(t, r, s, a, none("doc string, task_id string, label string, text string"), none("doc string, asset_id string, path string, task_id string, stored boolean"))
+    assert [tuple(x) for x in got.collect()] == [("d", "s", "answer over the word limit")]
+    assert calls.value == 1
