@@ -204,3 +204,44 @@ def test_passages_defined_cases(spark):
     assert len(got) == len(rows) and passages.passage_classes(df.limit(0)).collect() == []
     assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 7), (0, 7), (7, 7), (8, 8), (8, 8), (9, 8), (10, 10), (11, 7)]
     assert sum(r.n_links > 0 for r in got) == 4
+
+
+def test_passages_of_versions_unlike_each_other(spark):
+    """Versions resemble an original and not their neighbours: classes are
+    those of a comparison of all pairs by all the seeds that they share."""
+    rnd = random.Random(7)
+    voc = [f"w{k}" for k in range(4000)]
+    own = lambda n: [rnd.choice(voc) for _ in range(n)]
+    line, docs = own(13), []
+    for _ in range(4):
+        p = own(120)
+        docs.append(own(rnd.randint(0, 60)) + p + own(rnd.randint(0, 60)))
+        for _ in range(18):
+            docs.append(own(rnd.randint(0, 60)) + [rnd.choice(voc) if rnd.random() < 0.14 else w for w in p] + own(rnd.randint(0, 60)))
+    docs += [own(40) + line + own(40) for _ in range(30)]
+    rnd.shuffle(docs)
+
+    words = [passages.Words().of(" ".join(d).encode()) for d in docs]
+    every = [[dict(zip(*(x.tolist() for x in f))) for f in (passages.seeds(w, 5, 4), passages.long_seeds(w, 30, 16))] for w in words]
+
+    def linked(i, j):
+        shared = [(a[key], b[key], size) for a, b, size in zip(every[i], every[j], (5, 30)) for key in a.keys() & b.keys()]
+        if not shared:
+            return False
+        a, b = words[i], words[j]
+        for x0, x1, y0, y1 in passages.chains(*passages.merged(*(np.array(c) for c in zip(*shared)), 3), 0.25, 30):
+            head = passages.extended(a[:x0][::-1], b[:y0][::-1], 8)
+            tail = passages.extended(a[x1:], b[y1:], 8)
+            u, v = a[x0 - head : x1 + tail], b[y0 - head : y1 + tail]
+            if min(len(u), len(v)) >= 30 and passages.common_words(u, v) / max(len(u), len(v)) >= 0.8:
+                return True
+        return False
+
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if linked(i, j):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(docs))] == root
