@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tallyloom.llm import components, passages, simhash, suffix_dedup
@@ -245,3 +246,79 @@ def test_passages_of_versions_unlike_each_other(spark):
     rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
     got = {r.doc_id: r.class_id for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(docs))] == root
+
+
+def _met(docs):
+    """Pairs of texts that the second pass would compare, each its own class."""
+    words = [passages.Words().of(" ".join(d).encode()) for d in docs]
+    found = [[(key[i], at[i], long) for long, (key, at) in enumerate((passages.seeds(w, 5, 4), passages.long_seeds(w, 30, 16))) for i in range(len(key))] for w in words]
+    owner = np.repeat(np.arange(len(docs)), [len(f) for f in found])
+    key = np.array([int(x[0]) & ~1 | x[2] for f in found for x in f], np.uint64)
+    at = np.array([x[1] for f in found for x in f], np.int32)
+    around = passages.around_seeds([" ".join(d).encode() for d in docs], owner, at, 5)
+    groups = {}
+    for two, i, close, before, after in zip(*(x.tolist() for x in passages.two_seeds(owner, key, at, around, 5, 4, 14, 30, 64, 56, 24))):
+        groups.setdefault(two, []).append((i, close, before, after))
+    pairs = set()
+    for g in groups.values():
+        for i, close, before, after in g:
+            for j, other, b, a in g:
+                if i < j and (close or other) and (before == 0 or before != b) and (after == 0 or after != a):
+                    pairs.add((i, j))
+    return words, pairs
+
+
+def test_batch_seeds_are_those_of_each_text():
+    rnd = random.Random(4)
+    sizes = [0, 1, 4, 5, 6, 7, 8, 30, 31, 44, 45, 46, 300]
+    for _ in range(40):
+        docs = [" ".join(rnd.choice("abcd") for _ in range(rnd.choice(sizes))) for _ in range(rnd.randint(1, 8))]
+        key, doc, at, words = passages.batch_seeds(pa.table({"text": docs}), 5, 4, 30, 16)
+        want = []
+        for i, d in enumerate(docs):
+            w = passages.Words().of(d.encode())
+            assert (words[i] == w).all()
+            for long, (k, p) in enumerate((passages.seeds(w, 5, 4), passages.long_seeds(w, 30, 16))):
+                want += zip((passages.B.mixed(k) & ~np.uint64(1) | np.uint64(long)).tolist(), [i] * len(k), p.tolist())
+        assert list(zip(key.tolist(), doc.tolist(), at.tolist())) == sorted(want)
+
+
+def test_frequent_lines_do_not_meet_and_passages_do():
+    """Texts that share a line of up to 24 words are no pairs; every two texts
+    that a comparison of all shared seeds links are."""
+    rnd = random.Random(11)
+    voc = [f"w{k}" for k in range(6000)]
+    own = lambda n: [rnd.choice(voc) for _ in range(n)]
+    for size in range(14, 25):
+        line = own(size)
+        assert len(_met([own(40) + line + own(40) for _ in range(20)])[1]) <= 10  # of 190
+
+    links = 0
+    for _ in range(60):
+        p = own(rnd.randint(28, 75))
+        docs = []
+        for _ in range(8):
+            q = [w for w in p]
+            for _ in range(rnd.randint(0, len(p) // 5)):
+                i = rnd.randrange(len(q))
+                q[i : i + rnd.choice([1, 1, 0])] = own(rnd.choice([1, 1, 1, 0, rnd.randint(2, 8)]))
+            docs.append(own(rnd.choice([0, 1, 3, 20])) + q + own(rnd.choice([0, 1, 3, 20])))
+        words, pairs = _met(docs)
+        every = [[dict(zip(*(x.tolist() for x in f))) for f in (passages.seeds(w, 5, 4), passages.long_seeds(w, 30, 16))] for w in words]
+        for i in range(len(docs)):
+            for j in range(i + 1, len(docs)):
+                shared = [(a[key], b[key], n) for a, b, n in zip(every[i], every[j], (5, 30)) for key in a.keys() & b.keys()]
+                if not shared:
+                    continue
+                a, b = words[i], words[j]
+                for x0, x1, y0, y1 in passages.chains(*passages.merged(*(np.array(c) for c in zip(*shared)), 3), 0.25, 30):
+                    if min(x1 - x0, y1 - y0) < 14:
+                        continue
+                    head = passages.extended(a[max(0, x0 - 8) : x0][::-1], b[max(0, y0 - 8) : y0][::-1], 8)
+                    tail = passages.extended(a[x1:], b[y1:], 8)
+                    u, v = a[x0 - head : x1 + tail], b[y0 - head : y1 + tail]
+                    if min(len(u), len(v)) >= 30 and passages.common_words(u, v) / max(len(u), len(v)) >= 0.8:
+                        links += 1
+                        assert (i, j) in pairs
+                        break
+    assert links > 300
