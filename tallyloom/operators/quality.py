@@ -84,44 +84,50 @@ def reference_issues(tasks: DataFrame, responses: DataFrame, slots: DataFrame, a
 
     Every rule is a grouping or a join of the tables, so a document's size
     doesn't matter. An id that stands twice is an issue once; a null or empty
-    answer counts as none; a slot takes any of its answers.
+    answer counts as none; a slot takes any of its answers. No side of a join
+    goes through the driver: a written table's compressed size says little of
+    its rows, and a dozen joins run at a time.
     """
 
     def told(rows: DataFrame, target: str, issue: str) -> DataFrame:
         return rows.select("doc", F.col(target).cast("string").alias("target"), F.lit(issue).alias("issue"))
 
+    def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        return left.join(right.hint("merge"), on, how)
+
     tasks, responses = kept(tasks), kept(responses)
     twice = lambda rows, c: rows.groupBy("doc", c).count().filter("count > 1")
     said = answers.filter(F.trim(F.coalesce("answer", F.lit(""))) != "").select("doc", "slot_id", "answer")
     # Several rules read these; each is grouped once.
     known = kept(slots.select("doc", "slot_id", "response_id", "word_limit").dropDuplicates(["doc", "slot_id"]))
-    asked = known.join(responses.select("doc", "response_id", "task_id").dropDuplicates(["doc", "response_id"]), ["doc", "response_id"]).join(tasks.select("doc", "task_id", "task_type", "alphabet").dropDuplicates(["doc", "task_id"]), ["doc", "task_id"])
-    given = said.join(asked, ["doc", "slot_id"])
+    asked = met(known, responses.select("doc", "response_id", "task_id").dropDuplicates(["doc", "response_id"]), ["doc", "response_id"])
+    asked = met(asked, tasks.select("doc", "task_id", "task_type", "alphabet").dropDuplicates(["doc", "task_id"]), ["doc", "task_id"])
+    given = met(said, asked, ["doc", "slot_id"])
     labels = options.filter(F.trim(F.coalesce("label", F.lit(""))) != "").groupBy("doc", "task_id").agg(F.collect_set(F.upper(F.trim("label"))).alias("labels"), F.count("*").alias("n_options"))
     n_slots = asked.groupBy("doc", "task_id", "task_type").agg(F.count("*").alias("n_slots"))
     words = F.size(F.filter(F.split("answer", r"\s+"), lambda x: x != ""))
-    chosen = given.filter(F.col("task_type").isin(*CHOICE, *BANK)).join(labels, ["doc", "task_id"])
-    alphabets = tasks.filter("alphabet IS NOT NULL").join(labels, ["doc", "task_id"])
+    chosen = met(given.filter(F.col("task_type").isin(*CHOICE, *BANK)), labels, ["doc", "task_id"])
+    alphabets = met(tasks.filter("alphabet IS NOT NULL"), labels, ["doc", "task_id"])
     apart = (F.size(F.array_except("alphabet", "labels")) > 0) | (F.size(F.array_except("labels", "alphabet")) > 0)
     unsafe = F.col("path").rlike(r"^(?:[A-Za-z]:|[/\\])|(?:^|[/\\])\.\.(?:[/\\]|$)|[\x00-\x1f]") | (F.trim(F.coalesce("path", F.lit(""))) == "")
     parts = [
         told(twice(tasks, "task_id"), "task_id", "task id twice"),
         told(twice(responses, "response_id"), "response_id", "response id twice"),
         told(twice(slots, "number").filter("number IS NOT NULL"), "number", "question number twice"),
-        told(responses.join(tasks.select("doc", "task_id"), ["doc", "task_id"], "left_anti"), "response_id", "response without task"),
-        told(known.join(responses.select("doc", "response_id"), ["doc", "response_id"], "left_anti"), "slot_id", "slot without response"),
-        told(said.join(known, ["doc", "slot_id"], "left_anti").select("doc", "slot_id").distinct(), "slot_id", "answer without slot"),
-        told(known.join(said, ["doc", "slot_id"], "left_anti"), "slot_id", "slot without answer"),
+        told(met(responses, tasks.select("doc", "task_id"), ["doc", "task_id"], "left_anti"), "response_id", "response without task"),
+        told(met(known, responses.select("doc", "response_id"), ["doc", "response_id"], "left_anti"), "slot_id", "slot without response"),
+        told(met(said, known, ["doc", "slot_id"], "left_anti").select("doc", "slot_id").distinct(), "slot_id", "answer without slot"),
+        told(met(known, said, ["doc", "slot_id"], "left_anti"), "slot_id", "slot without answer"),
         told(given.filter(words > F.col("word_limit")).select("doc", "slot_id").distinct(), "slot_id", "answer over the word limit"),
         told(chosen.filter(~F.array_contains("labels", F.upper(F.trim("answer")))).select("doc", "slot_id").distinct(), "slot_id", "answer not among the options"),
         told(options.filter(F.trim(F.coalesce("label", F.lit(""))) == "").select("doc", "task_id").distinct(), "task_id", "option without label"),
         told(options.filter(F.trim(F.coalesce("text", F.lit(""))) == "").select("doc", "task_id").distinct(), "task_id", "option without text"),
         told(alphabets.filter(apart), "task_id", "options differ from instruction"),
-        told(n_slots.filter("task_type = 'matching_headings'").join(labels, ["doc", "task_id"], "left").filter(F.coalesce("n_options", F.lit(0)) <= F.col("n_slots")), "task_id", "too few headings"),
+        told(met(n_slots.filter("task_type = 'matching_headings'"), labels, ["doc", "task_id"], "left").filter(F.coalesce("n_options", F.lit(0)) <= F.col("n_slots")), "task_id", "too few headings"),
         told(twice(assets, "asset_id"), "asset_id", "asset id twice"),
         told(assets.filter(unsafe).select("doc", "asset_id").distinct(), "asset_id", "asset path unsafe"),
         told(assets.filter("NOT coalesce(stored, false)").select("doc", "asset_id").distinct(), "asset_id", "asset missing"),
-        told(assets.filter("task_id IS NOT NULL").join(tasks.select("doc", "task_id"), ["doc", "task_id"], "left_anti").select("doc", "asset_id").distinct(), "asset_id", "asset of no task"),
+        told(met(assets.filter("task_id IS NOT NULL"), tasks.select("doc", "task_id"), ["doc", "task_id"], "left_anti").select("doc", "asset_id").distinct(), "asset_id", "asset of no task"),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -38,3 +38,15 @@ def test_inputs_are_read_once(spark):
     got = quality.reference_issues(t, r, s, a, none("doc string, task_id string, label string, text string"), none("doc string, asset_id string, path string, task_id string, stored boolean"))
     assert [tuple(x) for x in got.collect()] == [("d", "s", "answer over the word limit")]
     assert calls.value == 1
+
+
+def test_no_table_goes_through_the_driver(spark):
+    """Joins are broadcast by no estimate, however small the tables look."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    t = frame([("d", "t", "cloze", None)], "doc string, task_id string, task_type string, alphabet array<string>")
+    r, s = frame([("d", "r", "t")], "doc string, response_id string, task_id string"), frame([("d", "s", "r", 1, 1)], "doc string, slot_id string, response_id string, number int, word_limit int")
+    a, o = frame([("d", "s", "two words")], "doc string, slot_id string, answer string"), frame([("d", "t", "A", "x")], "doc string, task_id string, label string, text string")
+    assets = frame([("d", "a", "a.png", "t", True)], "doc string, asset_id string, path string, task_id string, stored boolean")
+    found = quality.reference_issues(t, r, s, a, o, assets)
+    assert [tuple(x) for x in found.collect()] == [("d", "s", "answer over the word limit")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
