@@ -17,6 +17,16 @@ def _newer(e: Column, s: Column) -> Column:
     return F.when(e["at"].isNotNull() & s["at"].isNotNull(), e["at"] > s["at"]).otherwise(F.coalesce(a > b, a.isNotNull() & b.isNull()))
 
 
+#: A list of files of so many rows goes to every task; a longer one is dealt.
+_MOST_SENT = 1 << 18
+
+
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the attempts: neither side goes through
+    the driver, however small its compressed files look."""
+    return left.join(right.hint("merge"), on, how)
+
+
 _STATE = ("known", "terminal", "install", "paper", "exported", "at", "facts")
 _OUT = "array<struct<file:{file},seq:int,main:boolean,clash:boolean,changed:boolean,outcome:string,note:string,paper:string,install:string>>"
 
@@ -54,9 +64,13 @@ def _step(s: Column, e: Column) -> Column:
     return _bound(F.struct(clash.alias("clash"), old.alias("old")), judged)
 
 
-def _folded(events: DataFrame, failed: DataFrame | None) -> DataFrame:
+def _folded(events: DataFrame, failed: DataFrame | None, n_failed: int = 0) -> DataFrame:
     """Outcome of every event, each attempt's files taken in order."""
-    e = events.withColumn("failed", F.lit(False)) if failed is None else events.join(failed.select("file", F.lit(True).alias("failed")), "file", "left").fillna(False, ["failed"])
+    if failed is None:
+        e = events.withColumn("failed", F.lit(False))
+    else:
+        names = failed.select("file", F.lit(True).alias("failed")).hint("broadcast" if n_failed <= _MOST_SENT else "merge")
+        e = events.join(names, "file", "left").fillna(False, ["failed"])
     rows = F.sort_array(F.collect_list(F.struct("file", "seq", "main", "failed", "terminal", "install", "paper", "exported", "at", "facts")))
     start = [F.first(f"s_{c}").alias(f"s_{c}") for c in _STATE]
     per = e.groupBy("attempt_id").agg(rows.alias("rows"), *start)
@@ -96,16 +110,16 @@ def judge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     own = stored.select("attempt_id", F.lit(True).alias("s_known"), *(value(c).alias(f"s_{n}") for n, c in names.items()))
     again = W.partitionBy("file", "attempt_id").orderBy(*(value(c) for c in names.values()))
     events = incoming.select("file", "attempt_id", F.coalesce("main", F.lit(False)).alias("main"), F.row_number().over(again).alias("seq"), *(value(c).alias(n) for n, c in names.items()))
-    events = events.join(own, "attempt_id", "left").fillna(False, ["s_known"])
+    events = _met(events, own, "attempt_id", "left").fillna(False, ["s_known"])
     events = kept(events.withColumns({"at": F.try_to_timestamp("exported"), "s_at": F.try_to_timestamp("s_exported")}))
     failed: DataFrame | None = None
     n_failed = 0
     while True:
-        found = kept(_folded(events, failed))
+        found = kept(_folded(events, failed, n_failed))
         fails = (F.bool_or(F.col("main") & F.col("clash")) | F.bool_or("changed") | ~F.bool_or("main")).alias("f")
         now = kept(found.groupBy("file").agg(fails).filter("f").select("file"))
         n = now.count()
-        if n == n_failed and (n == 0 or now.join(failed, "file", "left_anti").isEmpty()):
+        if n == n_failed and (n == 0 or _met(now, failed, "file", "left_anti").isEmpty()):
             return found.select("file", "attempt_id", "seq", "outcome", "note", "last", "paper", "install")
         failed, n_failed = now, n
 
@@ -120,13 +134,13 @@ def import_snapshots(stored: dict[str, DataFrame], incoming: dict[str, DataFrame
     names = stored["attempts"].columns
     order = [F.col(c).cast("string") for c in ("terminal_id", "install_id", "paper_id", "exported_at", *(["facts"] if "facts" in names else []))]
     rows = incoming["attempts"].withColumn("seq", F.row_number().over(W.partitionBy("file", "attempt_id").orderBy(*order)))
-    new = rows.join(taken, ["file", "attempt_id", "seq"]).withColumn("paper_id", F.col("paper")).withColumn("install_id", F.col("install")).select(*names)
-    out = {"attempts": stored["attempts"].join(taken, "attempt_id", "left_anti").unionByName(new)}
+    new = _met(rows, taken, ["file", "attempt_id", "seq"]).withColumn("paper_id", F.col("paper")).withColumn("install_id", F.col("install")).select(*names)
+    out = {"attempts": _met(stored["attempts"], taken, "attempt_id", "left_anti").unionByName(new)}
     for name, old in stored.items():
         if name != "attempts":
-            rows = incoming[name].join(taken, ["file", "attempt_id"], "left_semi").select(*old.columns)
+            rows = _met(incoming[name], taken, ["file", "attempt_id"], "left_semi").select(*old.columns)
             # Old rows go even where the new snapshot has none.
-            out[name] = old.join(taken, "attempt_id", "left_anti").unionByName(rows)
+            out[name] = _met(old, taken, "attempt_id", "left_anti").unionByName(rows)
     return out, outcomes
 
 

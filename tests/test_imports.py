@@ -105,3 +105,12 @@ def test_outcomes_are_computed_once(spark):
         assert "kept-" in df.inputFiles()[0]
         assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString().lower().replace("aggregate [", "")
     assert [r.v for r in after["two"].collect()] == ["new"]
+
+
+def test_children_send_no_table_through_the_driver(spark):
+    """Attempts are joined by no estimate of their files; only the list of
+    failed files, after a count, goes to every task."""
+    from tallyloom import plans
+
+    plan = plans.QUERIES["mut_import_children"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
