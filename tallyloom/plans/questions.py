@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom import roles as R
 from tallyloom.operators import recognition
 from tallyloom.plans.registry import query
+from tallyloom.sources.durable import kept
 
 S = SparkSession
 read = R.read
@@ -24,9 +25,18 @@ WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS value, l_returnflag AS mode
 """
 
 
+#: Lines of orders in a task's share of them, so that sorting needs no disk.
+_SHARE = 100_000
+
+
 def _lines(spark: S, d: str) -> DataFrame:
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    i = read(spark, d, "lineitem").withColumn("rn", F.row_number().over(order))
+    """Lines of pages. Orders are dealt by page before lines are made of them:
+    all that groups, sorts or joins by page needs no other exchange."""
+    order = W.partitionBy("doc").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    i = read(spark, d, "lineitem").withColumn("doc", F.col("l_orderkey").cast("string"))
+    shares = i.count() // _SHARE
+    i = i.repartition(shares, "doc") if shares > spark.sparkContext.defaultParallelism else i.repartition("doc")
+    i = i.withColumns({"rn": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("doc"))})
     number, q = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")
     three = F.col("l_returnflag") != "N"
     texts = [
@@ -36,10 +46,10 @@ def _lines(spark: S, d: str) -> DataFrame:
         (F.lit(3), F.when(three, "C not at all")),
         (F.lit(5), F.concat(q, F.lit(" % of the whole"))),
     ]
-    rows = F.explode(F.array(*(F.struct((10 * F.col("rn") + k).cast("int").alias("line"), t.alias("text")) for k, t in texts)))
-    body = i.select(F.col("l_orderkey").cast("string").alias("doc"), rows.alias("r")).select("doc", "r.*").filter("text IS NOT NULL").withColumn("region", F.lit(1))
-    head = i.groupBy(F.col("l_orderkey").cast("string").alias("doc")).agg(F.max("rn").alias("n")).select("doc", F.lit(1).alias("line"), F.concat(F.lit("Questions 1-"), F.col("n").cast("string"), F.lit(" Choose the correct letter")).alias("text"), F.lit(0).alias("region"))
-    every = body.unionByName(head)
+    head = F.when(F.col("rn") == 1, F.concat(F.lit("Questions 1-"), F.col("n").cast("string"), F.lit(" Choose the correct letter")))
+    rows = [F.struct((10 * F.col("rn") + k).cast("int").alias("line"), t.alias("text"), F.lit(1).alias("region")) for k, t in texts]
+    rows.append(F.struct(F.lit(1).alias("line"), head.alias("text"), F.lit(0).alias("region")))
+    every = i.select("doc", F.explode(F.array(*rows)).alias("r")).select("doc", "r.*").filter("text IS NOT NULL")
     return every.select("doc", F.lit(0).alias("page"), "line", "text", F.lit(60.0).alias("x"), (F.lit(90.0) + F.col("line") * 12).alias("y"), F.lit(200.0).alias("width"), F.lit(10.0).alias("height"), "region")
 
 
@@ -63,13 +73,13 @@ def seg_role(spark: S, d: str) -> DataFrame:
 def num_number_score(spark: S, d: str) -> DataFrame:
     """How much speaks for each leading number to be a question's."""
     lines = _lines(spark, d)
-    return recognition.number_scores(lines, _roles(lines)).select("doc", "line", "value", "score")
+    return kept(recognition.number_scores(lines, _roles(lines)).select("doc", "line", "value", "score"))
 
 
 @query("num_rising_chain")
 def num_rising_chain(spark: S, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    return recognition.rising_chain(recognition.number_scores(lines, _roles(lines)))
+    return kept(recognition.rising_chain(recognition.number_scores(lines, _roles(lines))))
 
 
 @query("seg_blocks", ITEMS + """
@@ -80,4 +90,4 @@ def seg_blocks(spark: S, d: str) -> DataFrame:
     """Stem and options of the accepted numbers that have options."""
     lines = _lines(spark, d)
     found = recognition.question_blocks(lines, recognition.number_scores(lines, _roles(lines)))
-    return found.filter("size(options) > 0").select("doc", "number", "stem", F.size("options").alias("options"))
+    return kept(found.filter("size(options) > 0").select("doc", "number", "stem", F.size("options").alias("options")))

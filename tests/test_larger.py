@@ -1,5 +1,6 @@
 """Tables with shifted and missing keys: what only larger or odder inputs show."""
 
+import re
 import time
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import plans
 from tallyloom.operators import layout, recognition
+from tallyloom.plans import questions
 from tallyloom.sources import workbook
 
 SMALL = "/root/testdata/sf0.01"
@@ -88,3 +90,17 @@ def test_more_rows_than_a_sheet_holds(spark, tmp_path):
     assert {r.sheet: r.cells for r in back if r.row == 0} == {"many": ["id", "t"], "none": ["only"], "one": ["f"]} and max(r.row for r in back) == 100
     assert [r.cells for r in back if r.sheet == "one" and r.row] == [["1"]] and not [r for r in back if r.sheet == "none" and r.row]
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_pages_of_questions_are_dealt_once(spark):
+    """Lines are made where their page's orders lie; no step deals them again."""
+    lines = questions._lines(spark, SMALL)
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(key, "false")  # as in the queries
+    try:
+        found = recognition.question_blocks(lines, recognition.number_scores(lines, questions._roles(lines)))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and all(re.fullmatch(r"doc#\d+", keys) for keys in dealt) and "SortMergeJoin" in plan
